@@ -72,6 +72,7 @@ KIND_SETS = {
     "constraint": ("trait",),
     "defined_type": ("struct", "enum", "trait", "type_alias", "interface"),
     "constant": ("const", "static"),
+    "call_target": ("struct", "enum", "function", "macro", "const"),
     "alias_link": ("type_alias", "type_parameter"),
 }
 MEMBER_ORDER = ("method", "function", "field", "variable", "const", "static")

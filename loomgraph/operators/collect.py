@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kinds import EDGE_KINDS, NOMINAL
+from ..kinds import EDGE_KINDS
+from ..session import settle
 from .graph import Graph
 from .relations import mapped
 
@@ -16,6 +17,7 @@ def _edge(pairs: DataFrame, collector: str, start: str, end: str, kind: str) ->
 
 def field_edges(graph: Graph) -> DataFrame:
     """field, nested_field and type_arg edges; a field edge stands if the last event of its pair is not a removal."""
+    graph = graph.store()
     ids = graph.visible().select("block_id")
     shown = lambda df, c: df.join(ids.withColumnRenamed("block_id", c), c, "left_semi")
     types = shown(shown(graph.field_types(), "owner"), "type_id")
@@ -45,22 +47,24 @@ def _suppress(pairs: DataFrame, edges: DataFrame, either_way: bool) -> DataFrame
 
 def collected_edges(graph: Graph) -> DataFrame:
     """(collector, from_id, to_id, kind) of every visible block, before the collectors' sets are united."""
+    graph = graph.store()
     ids = graph.visible().select("block_id")
+    forward = lambda pairs, kind: _edge(pairs, "src", "src", "dst", kind)
+    backward = lambda pairs, kind: _edge(pairs, "src", "dst", "src", kind)
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(ids.withColumnRenamed("block_id", "src"), "src", "left_semi")
-        return pairs.join(ids.withColumnRenamed("block_id", "dst"), "dst", "left_semi").select("src", "dst")
+    def shown(edges: DataFrame) -> DataFrame:
+        """Both ends visible; the collector is one of them."""
+        edges = edges.distinct().join(ids.withColumnRenamed("block_id", "from_id"), "from_id", "left_semi")
+        return edges.join(ids.withColumnRenamed("block_id", "to_id"), "to_id", "left_semi").select("collector", "from_id", "to_id", "kind")
 
-    forward = lambda pairs, kind: _edge(ends(pairs), "src", "src", "dst", kind)
-    backward = lambda pairs, kind: _edge(ends(pairs), "src", "dst", "src", kind)
-    edges = (
-        field_edges(graph).unionAll(forward(graph.callees(), "call")).unionAll(backward(graph.param_types(), "param")).unionAll(forward(graph.return_types(), "return"))
-        .unionAll(backward(graph.contracts(), "conformance")).unionAll(backward(graph.bases(), "specialization")).distinct()
+    simple = (
+        forward(graph.callees(), "call").unionAll(backward(graph.param_types(), "param")).unionAll(forward(graph.return_types(), "return"))
+        .unionAll(backward(graph.contracts(), "conformance")).unionAll(backward(graph.bases(), "specialization"))
     )
-    deps = _suppress(forward(graph.type_deps(), "type_dep"), edges, either_way=True)
-    edges = edges.unionAll(deps)
-    args = _suppress(backward(graph.impl_args(), "impl_arg"), edges, either_way=False)
-    return edges.unionAll(args).unionAll(backward(graph.annotations(), "annotation"))
+    late = shown(forward(graph.type_deps(), "type_dep").unionAll(backward(graph.impl_args(), "impl_arg")).unionAll(backward(graph.annotations(), "annotation")))
+    edges, late = settle(shown(simple).unionAll(field_edges(graph).distinct()), "edges"), settle(late, "edges-late")
+    edges = settle(edges.unionAll(_suppress(late.where("kind = 'type_dep'"), edges, either_way=True)), "edges")
+    return edges.unionAll(_suppress(late.where("kind = 'impl_arg'"), edges, either_way=False)).unionAll(late.where("kind = 'annotation'"))
 
 
 def edges(graph: Graph) -> DataFrame:
@@ -98,6 +102,3 @@ def without_orphans(node: DataFrame, edge: DataFrame) -> DataFrame:
     ends = edge.select(F.col("from_id").alias("block_id")).unionAll(edge.select(F.col("to_id").alias("block_id"))).distinct()
     return node.join(ends, "block_id", "left_semi")
 
-
-def nominal_kinds() -> tuple[str, ...]:
-    return NOMINAL

@@ -19,6 +19,13 @@ class Graph:
     block: DataFrame
     relation: DataFrame
     unit_meta: DataFrame | None = None
+    stored: bool = False
+
+    def store(self) -> Graph:
+        """Written once and read many times; relations lie in a folder each, so a hop reads its own only."""
+        if self.stored:
+            return self
+        return Graph(settle(self.block, "block"), settle(self.relation, "relation", "relation"), self.unit_meta, True)
 
     # filters and lookups
 
@@ -41,7 +48,8 @@ class Graph:
         return self.block.agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("name").alias("names"), F.countDistinct("unit_id").alias("units"))
 
     def symbol_of(self, block_id: int) -> DataFrame:
-        return self.block_info(block_id).select("symbol_id", "symbol_kind", "name").limit(1)
+        shown = [c for c in ("symbol_id", "symbol_kind", "name") if c in self.block.columns]
+        return self.block_info(block_id).select(*shown).limit(1)
 
     def visible(self) -> DataFrame:
         return self.blocks(*VISIBLE)

@@ -55,6 +55,8 @@ class Star:
         )
 
     def facts(self) -> DataFrame:
+        """Facts, repeated ones included: `with_inverses` makes them distinct."""
+
         def rows(df, src, relation, dst):
             return df.select(src.alias("src"), F.lit(relation).alias("relation"), dst.alias("dst"))
 
@@ -72,7 +74,6 @@ class Star:
             .unionAll(rows(sold.where("l_returnflag = 'N'"), customer, "has_field", line)).unionAll(rows(self.lineitem, line, "type_of", part))
             .unionAll(rows(own.where("o_orderstatus = 'P'"), order, "impl_for", customer)).unionAll(rows(sold.where("o_orderstatus = 'P' and l_linenumber = 1"), order, "implements", supplier))
             .unionAll(rows(near, key("c_custkey", "customer"), "implements", key("s_suppkey", "supplier"))).unionAll(next_part.select("src", F.lit("extends").alias("relation"), "dst"))
-            .distinct()
         )
 
     def type_deps(self) -> DataFrame:

@@ -27,8 +27,8 @@ def work_dir(spark: SparkSession) -> str:
     return _OWN[0]
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write and reread: cuts lineage in loops and survives lost executors."""
+def settle(df: DataFrame, name: str, *folders: str) -> DataFrame:
+    """Write (in a folder for each value of `folders`) and reread: cuts lineage in loops and survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*folders).parquet(path) if folders else df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
