@@ -96,6 +96,15 @@ def _vectors(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([v.tobytes() for v in got], pa.binary())], names=["label", "vec"])
 
 
+def _leading(a: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """The k leading right singular vectors by subspace iteration: needs a few columns beside `a`, not its Gram matrix."""
+    q = np.linalg.qr(np.random.default_rng(11).normal(size=(a.shape[1], min(k + 16, *a.shape))))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(a.T @ (a @ q.astype(a.dtype)).astype(a.dtype))[0]
+    _, _, v = np.linalg.svd(np.asarray(a @ q.astype(a.dtype), np.float64), full_matrices=False)
+    return (q.astype(np.float64) @ v.T)[:, :k]
+
+
 class Model:
     """What is broadcast: weights, projection, labelled latent vectors and their labels."""
 
@@ -105,12 +114,11 @@ class Model:
         self.ready = len(set(y.tolist())) == 2
         if not self.ready:
             return
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+        self.idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
         weighted = x * self.idf
-        weighted = weighted / np.linalg.norm(weighted, axis=1, keepdims=True)
-        values, vectors = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-        self.basis = vectors[:, ::-1][:, :latent].astype(np.float32)
-        self.idf = self.idf.astype(np.float32)
+        weighted /= np.linalg.norm(weighted, axis=1, keepdims=True)
+        self.basis = _leading(weighted, latent).astype(np.float32)
+        del weighted
         order = np.argsort(y, kind="stable")
         self.y = y[order].astype(np.float32)
         self.latent = self.project(x)[order]
@@ -143,9 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
     texts = texts.groupBy("_id", "label").agg(F.min("text").alias("text"))  # repeated ids count once
     got = map_batches(texts.select("label", "text"), _vectors, "label int, vec binary").toArrow()
-    x = np.array([np.frombuffer(v, np.float32) for v in got.column("vec").to_pylist()], np.float32).reshape(-1, DIMS)
     y = got.column("label").to_numpy()
-    order = np.lexsort((*x.T[:8], y)) if len(y) else []
+    x = np.empty((len(y), DIMS), np.float32)
+    for i, v in enumerate(got.column("vec")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float32)
+    del got
+    order = np.lexsort((*x.T[:8], y)) if len(y) else slice(None)
     return Model(x[order], y[order])
 
 
