@@ -4,7 +4,8 @@ Lines are normalised (A-Z lowered, blanks collapsed); those of at least `min_byt
 if their edit distance, in UTF-8 bytes, is `threshold` or less. A line of length l is cut into threshold + 1 segments; an
 edit script of `threshold` edits leaves one untouched, so the partner holds it at one of a few places that
 depend on both lengths. Lines are indexed under (l, segment number, segment), and probe with their own substrings under
-every length from l - threshold to l. Keys that only one line holds go; the rest are verified by
+every length from l - threshold to l. Keys that only one line holds go, by an aggregate that is summed up before the shuffle, so
+that a key of a third of all lines is no row more than others; the lines of the rest are verified by
 banded bit-parallel edit distance on what common ends leave.
 
 A key held by many lines is cut into blocks of `GROUP` lines, and each pair of blocks is a task of its own: no group is
@@ -21,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_key, map_batches, materialize, raw_bytes
@@ -30,7 +31,7 @@ from .components import connected_components
 THRESHOLD = 2
 MIN_BYTES = 20
 GROUP = 1024
-BROADCAST_IDS = 2_000_000  # 16 MB of ids; more are joined
+BROADCAST_KEYS = 2_000_000  # 16 MB; more are joined
 
 
 def normal_lines(text: bytes | None, min_bytes: int) -> list[tuple[int, bytes]]:
@@ -172,32 +173,33 @@ def _keys(min_bytes: int, threshold: int):
     return run
 
 
-def _wanted(min_bytes: int, shared):
+def _holders(min_bytes: int, threshold: int, shared):
+    """(key, h1, line) of the lines that hold a wanted key; without `shared` of all lines."""
+
     def run(batches):
-        ids = None if shared is None else shared.value
+        wanted = None if shared is None else shared.value
         done: set[int] = set()
         for batch in batches:
-            h1, lines = [], []
-            if len(done) > 1_000_000:
+            keys, owners, lines = [], [], []
+            if len(done) > 2_000_000:
                 done.clear()
             for text in raw_bytes(batch.column("_text")):
-                got = [line for _, line in normal_lines(text, min_bytes)]
-                if not got:
-                    continue
-                hs = [xxhash.xxh3_128_intdigest(x) & 0xFFFFFFFFFFFFFFFF for x in got]
-                if ids is not None:
-                    arr = np.array(hs, np.uint64).view(np.int64)
-                    at = np.searchsorted(ids, arr)
-                    at[at == len(ids)] = 0
-                    mask = (ids[at] == arr).tolist() if len(ids) else [False] * len(hs)
-                else:
-                    mask = [True] * len(hs)
-                for h, line, ok in zip(hs, got, mask):
-                    if ok and h not in done:
+                for _, line in normal_lines(text, min_bytes):
+                    h = xxhash.xxh3_128_intdigest(line) & 0xFFFFFFFFFFFFFFFF
+                    if h not in done:
                         done.add(h)
-                        h1.append(h)
+                        keys.append([xxhash.xxh3_64_intdigest(line[a:b], s) for s, a, b, _ in plan(len(line), threshold)])
+                        owners.append(h)
                         lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(lines, pa.binary())], names=["h1", "line"])
+            signed = lambda x: np.array(x, np.uint64).view(np.int64)
+            flat = signed([k for ks in keys for k in ks])
+            at = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])
+            if wanted is not None and len(flat):
+                place = np.searchsorted(wanted, flat)
+                place[place == len(wanted)] = 0
+                hit = wanted[place] == flat if len(wanted) else np.zeros(len(flat), bool)
+                flat, at = flat[hit], at[hit]
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(signed(owners)[at]), pa.array(lines, pa.binary()).take(pa.array(at))], names=["key", "h1", "line"])
 
     return run
 
@@ -264,20 +266,19 @@ def near_links(rows: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN
     """Edges (u, v) between line ids; `rows(_text)`."""
     spark = rows.sparkSession
     keys = map_batches(rows.select("_text"), _keys(min_bytes, threshold), "key long, h1 long, role byte")
-    own = Window.partitionBy("key")
-    shared = keys.select("key", "h1", "role", F.min("h1").over(own).alias("a"), F.max("h1").over(own).alias("b"), F.min("role").over(own).alias("r")).where("a <> b and r = 0")
-    shared = materialize(shared.select("key", "h1").distinct(), "line-keys")
-    wanted = shared.select("h1").distinct()
-    n = wanted.count()
-    ids = None
-    if n <= BROADCAST_IDS:
-        ids = spark.sparkContext.broadcast(np.sort(wanted.toArrow().column("h1").to_numpy()))
-    texts = map_batches(rows.select("_text"), _wanted(min_bytes, ids), "h1 long, line binary").groupBy("h1").agg(F.min("line").alias("line"))
+    held = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("role").alias("r")).where("a <> b and r = 0").select("key")
+    held = materialize(held, "line-keys")  # keys that two lines hold, one of them as its own segment
+    n = held.count()
+    ids = spark.sparkContext.broadcast(np.sort(held.toArrow().column("key").to_numpy())) if n <= BROADCAST_KEYS else None
+    shared = map_batches(rows.select("_text"), _holders(min_bytes, threshold, ids), "key long, h1 long, line binary")
+    if ids is None:
+        shared = shared.join(held, "key", "left_semi")
+    shared = materialize(shared.groupBy("key", "h1").agg(F.min("line").alias("line")), "line-holders")
     sizes = shared.groupBy("key").agg(F.count("*").alias("k"))
     put = shared.join(sizes, "key").withColumn("nb", F.ceil(F.col("k") / group).cast("int"))
     put = put.withColumn("at", F.pmod(F.xxhash64("h1"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    put = put.select("key", "h1", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
-    put = put.join(texts, "h1").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1")
+    put = put.select("key", "h1", "line", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
+    put = put.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1")
     return map_batches(put, _verify(threshold), "u long, v long").distinct()
 
 

@@ -343,8 +343,9 @@ def lines_by_brute_force(docs, threshold, min_bytes):
     return removed
 
 
-@pytest.mark.parametrize("group", [1024, 3])
-def test_lines_against_brute_force(spark, group, monkeypatch):
+@pytest.mark.parametrize("group, keys", [(1024, 2_000_000), (3, 2_000_000), (64, 0)])
+def test_lines_against_brute_force(spark, group, keys, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", keys)
     rng = random.Random(9)
     base = [prose(rng, rng.choice((3, 5, 8))) for _ in range(25)]
     texts = []
