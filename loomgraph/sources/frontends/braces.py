@@ -70,6 +70,10 @@ def lex(text: str) -> list[Tok]:
     return out
 
 
+#: TypeScript types that stand for what they hold (fixed values)
+_WRAPPERS = {"Promise", "Array", "ReadonlyArray", "Set", "Map", "WeakMap", "WeakSet", "Generator", "AsyncGenerator", "Iterable", "AsyncIterable", "Iterator", "AsyncIterator"}
+
+
 def type_names(toks: list[Tok]) -> list[str]:
     """Names in a type expression in order: `Map<K, Vec<T>>` -> [Map, K, Vec, T]; paths give their dotted form."""
     out: list[str] = []
@@ -130,6 +134,12 @@ class Scanner:
         self.body(0, len(self.toks), 0, "root")
         return self.out
 
+    def types(self, toks: list[Tok]) -> list[str]:
+        names = type_names(toks)
+        while self.language == "typescript" and len(names) > 1 and names[0] in _WRAPPERS:
+            names = names[1:]
+        return names
+
     # one sequence of declarations and statements
 
     def body(self, i: int, stop: int, parent: int, where: str) -> None:
@@ -234,7 +244,7 @@ class Scanner:
         while j < stop and self.toks[j].text not in ("{", ";"):
             j += 1
         at = next((k for k, x in enumerate(head) if x.text == "for"), None)
-        target, contract = (type_names(head[at + 1 :]), type_names(head[:at])[:1]) if at is not None else (type_names(head), [])
+        target, contract = (self.types(head[at + 1 :]), self.types(head[:at])[:1]) if at is not None else (self.types(head), [])
         if not skip:
             me = self.add("impl", target[0] if target else None, "impl", parent, i, self.end(j), types=target, contracts=contract, names_symbol=False)
             if j < stop and self.toks[j].text == "{":
@@ -261,7 +271,7 @@ class Scanner:
             while j < stop and self.toks[j].text != ";" and not (self.language == "typescript" and j > begin + 1 and self.toks[j].line > self.toks[j - 1].line and self.toks[j].text not in ("|", "&", "}", ">")):
                 j = self.end(j) + 1 if self.toks[j].text in _PAIRS else j + 1
             if not skip:
-                self.add(kind, name, symbol, parent, i, j - 1, types=type_names(self.toks[begin:j]))
+                self.add(kind, name, symbol, parent, i, j - 1, types=self.types(self.toks[begin:j]))
             return min(j + 1, stop) if j < stop and self.toks[j].text == ";" else j
         into = None
         while j < stop and self.toks[j].text not in ("{", ";", "("):
@@ -297,7 +307,7 @@ class Scanner:
             if tuple_body:
                 if self.spec.typed and self.language == "rust":
                     for n, part in enumerate(self.split(j + 1, e)):
-                        self.add("field", str(n), "field", me, part[0], part[-1], types=type_names([self.toks[x] for x in part]), names_symbol=False)
+                        self.add("field", str(n), "field", me, part[0], part[-1], types=self.types([self.toks[x] for x in part]), names_symbol=False)
             elif kind == "enum":
                 self.enum(j + 1, e, me)
             elif not self.spec.go:
@@ -335,7 +345,7 @@ class Scanner:
                 for n, inner in enumerate(self.split(part[1] + 1, self.end(part[1]))):
                     toks = [self.toks[k] for k in inner]
                     at = next((k for k, x in enumerate(toks) if x.text == ":"), None)
-                    self.add("field", toks[0].text if at else str(n), "field", variant, inner[0], inner[-1], types=type_names(toks[at + 1 :] if at else toks), names_symbol=False)
+                    self.add("field", toks[0].text if at else str(n), "field", variant, inner[0], inner[-1], types=self.types(toks[at + 1 :] if at else toks), names_symbol=False)
 
     def function(self, i: int, name_at: int, stop: int, parent: int, where: str, marks: list[str], skip: bool, method: bool = False) -> int:
         j = self.angle(name_at + 1)
@@ -367,7 +377,7 @@ class Scanner:
                 self.typed_part("parameter", part, me, "variable")
             where_at = next((n for n, x in enumerate(ret) if x.text == "where"), len(ret))
             arrow = next((n for n, x in enumerate(ret[:where_at]) if x.text in ("->", ":")), None)
-            names = type_names(ret[arrow + 1 : where_at]) if arrow is not None else []
+            names = self.types(ret[arrow + 1 : where_at]) if arrow is not None else []
             if names and self.spec.returns:
                 self.add("return", None, None, me, min(e + 1, len(self.toks) - 1), max(e + 1, k - 1), types=names, names_symbol=False)
         if has_body:
@@ -386,12 +396,12 @@ class Scanner:
             if at is None:
                 return self.add(kind, toks[words[0]].text, symbol, me, part[0], part[-1], names_symbol=False)
             before = [n for n in words if n < at]
-            name, types = (toks[before[-1]].text if before else None), type_names(toks[at + 1 : equals])
+            name, types = (toks[before[-1]].text if before else None), self.types(toks[at + 1 : equals])
         else:
             inside = [n for n in words if n < equals]
             if len(inside) < 2:
-                return self.add(kind, None if kind == "parameter" else toks[words[0]].text, symbol, me, part[0], part[-1], types=type_names(toks[:equals]), names_symbol=False)
-            name, types = toks[inside[-1]].text, type_names(toks[: inside[-1]])
+                return self.add(kind, None if kind == "parameter" else toks[words[0]].text, symbol, me, part[0], part[-1], types=self.types(toks[:equals]), names_symbol=False)
+            name, types = toks[inside[-1]].text, self.types(toks[: inside[-1]])
         return self.add(kind, name, symbol, me, part[0], part[-1], types=types, names_symbol=False)
 
     def member(self, i: int, stop: int, parent: int, where: str, marks: list[str], skip: bool) -> int:

@@ -60,6 +60,8 @@ def test_frontends_declare():
     for want in [("module", "n"), ("class", "A"), ("method", "go"), ("field", "items"), ("enum", "E"), ("func", "run"), ("parameter", "a")]:
         assert want in cpp, want
     assert ("class", "S") not in cpp and sum(k == "call" for k, _ in cpp) >= 1
+    fields = {f.name: f.types for f in frontend("typescript")("class A { a: Promise<B>; b: Array<Set<C>>; c: D<E>; d: F | G }") if f.kind == "field"}
+    assert fields == {"a": ["B"], "b": ["C"], "c": ["D", "E"], "d": ["F", "G"]}
     cs = names_of("csharp", "namespace N { class A : B { public int Go(int x) { return Run(x); } } interface I { void P(); } }")
     assert ("class", "A") in cs and ("interface", "I") in cs and ("method", "Go") in cs
     go = names_of("go", "package p\ntype S struct { a int }\ntype I interface { F() }\nfunc (s *S) M() { s.N() }\nfunc F() {}")
