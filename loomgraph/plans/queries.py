@@ -90,12 +90,13 @@ def inverse_relations(spark, sf_dir):
     return graph(spark, sf_dir).relation
 
 
-@query("select relation, count(*) as n, count(distinct src) as sources from relation group by rollup(relation)")
+@query("""select relation, cast(sum(n) as bigint) as n, count(*) as sources from (select src, relation, count(*) as n from relation group by 1, 2) group by relation
+union all select null, count(*), count(distinct src) from relation""")
 def relation_stats(spark, sf_dir):
     return R.stats(graph(spark, sf_dir).relation)
 
 
-@query("""select relation, count(*) as n from relation where not (relation in ('calls', 'called_by')) and src % 8 <> 1 and dst % 8 <> 1 group by relation""")
+@query("""select relation, cast(sum(n) as bigint) as n from (select src % 2 as half, relation, count(*) as n from relation where not (relation in ('calls', 'called_by')) and src % 8 <> 1 and dst % 8 <> 1 group by 1, 2) group by relation""")
 def relation_maintenance(spark, sf_dir):
     g = graph(spark, sf_dir)
     less = R.remove(g.relation, g.relation.where("relation = 'calls'"))
@@ -164,7 +165,7 @@ def edges_visible(spark, sf_dir):
     return C.edges(graph(spark, sf_dir, deps=True))
 
 
-@query("," + _SIMPLE + "select kind, count(*) as n, count(*) filter (from_id = to_id) as loops from every group by kind")
+@query("," + _SIMPLE + "select kind, cast(sum(n) as bigint) as n, cast(sum(loops) as bigint) as loops from (select collector % 2 as half, kind, count(*) as n, count(*) filter (from_id = to_id) as loops from every group by 1, 2) group by kind")
 def edges_no_self(spark, sf_dir):
     edges = C.collected_edges(graph(spark, sf_dir, deps=True))
     return edges.groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(F.col("from_id") == F.col("to_id"), 1)).alias("loops"))
