@@ -299,7 +299,7 @@ def _cleaner(text_col: str, min_bytes: int):
     def run(batches):
         for batch in batches:
             texts, removed, totals = [], [], []
-            for text, kept in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column("kept").to_pylist()):
+            for text, kept in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column("_loom_kept").to_pylist()):
                 kept = set(kept or ())
                 gone = [n for n, _ in normal_lines(text, min_bytes) if n not in kept]
                 removed.append(gone)
@@ -307,7 +307,7 @@ def _cleaner(text_col: str, min_bytes: int):
                 totals.append(len(raw))
                 out = set(gone)
                 texts.append(text if not gone else b"\n".join(x for n, x in enumerate(raw) if n not in out))
-            names = [n for n in batch.schema.names if n not in ("kept", text_col)]
+            names = [n for n in batch.schema.names if n not in ("_loom_kept", text_col)]
             new = {text_col: pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(totals, pa.int64()), "removed": pa.array(removed, pa.list_(pa.int32()))}
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new.values()], names=[*names, *new])
 
@@ -317,10 +317,10 @@ def _cleaner(text_col: str, min_bytes: int):
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """`docs` with its text cleaned, n_lines (before) and removed array<int> (line numbers from 0);
     columns of docs so named are replaced."""
-    docs = docs.drop("n_lines", "removed", "kept")
+    docs = docs.drop("n_lines", "removed")
     kept = kept_lines(docs, text_col, id_col, threshold, min_bytes)
     dk, th = doc_key(id_col, text_col)
     keyed = docs.withColumns({"_loom_dk": dk, "_loom_th": th})
-    both = keyed.join(kept.select(F.col("dk").alias("_loom_dk"), F.col("th").alias("_loom_th"), "kept"), ["_loom_dk", "_loom_th"], "left").select(*[keyed[c] for c in docs.columns], "kept")
+    both = keyed.join(kept.select(F.col("dk").alias("_loom_dk"), F.col("th").alias("_loom_th"), F.col("kept").alias("_loom_kept")), ["_loom_dk", "_loom_th"], "left").select(*[keyed[c] for c in docs.columns], "_loom_kept")
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
     return map_batches(both, _cleaner(text_col, min_bytes), f"{ddl}, `{text_col}` string, n_lines long, removed array<int>")

@@ -28,42 +28,42 @@ DEFAULT = "allow"
 
 
 def split_url(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds host (A-Z lowered) and path."""
+    """Adds host (A-Z lowered), path and, for `tokens`, what follows the path."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     at = F.locate("://", url)
-    rest = F.when(at > 0, F.expr(f"substring(coalesce({url_col}, ''), locate('://', coalesce({url_col}, '')) + 3)")).otherwise("")
-    pages = pages.withColumn("_rest", rest)
-    return (
-        pages.withColumn("host", F.translate(F.regexp_extract("_rest", "^([^/?#]*)", 1), UPPER, LOWER))
-        .withColumn("path", F.regexp_extract("_rest", "^[^/?#]*([^?#]*)", 1)).withColumn("_tail", F.regexp_extract("_rest", "^[^?#]*((?s).*)$", 1))
-    )
+    pages = pages.withColumn("_loom_rest", F.when(at > 0, F.substr(url, at + 3)).otherwise(""))
+    return pages.withColumns({
+        "host": F.translate(F.regexp_extract("_loom_rest", "^([^/?#]*)", 1), UPPER, LOWER),
+        "path": F.regexp_extract("_loom_rest", "^[^/?#]*([^?#]*)", 1),
+        "_loom_tail": F.regexp_extract("_loom_rest", "^[^?#]*((?s).*)$", 1),
+    }).drop("_loom_rest")
 
 
-def apply_rules(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Adds rule and rule_verdict of the longest rule that fits host and path."""
+def apply_rules(pages: DataFrame, rules=RULES, verdict_col: str = "rule_verdict") -> DataFrame:
+    """Adds rule and `verdict_col`, the rule's verdict, of the longest rule that fits host and path."""
     verdict, rule = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, host, path in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         verdict, rule = F.when(fits, F.lit(what)).otherwise(verdict), F.when(fits, F.lit(host + path)).otherwise(rule)
-    return pages.withColumn("rule", rule).withColumn("rule_verdict", verdict)
+    return pages.withColumn("rule", rule).withColumn(verdict_col, verdict)
 
 
-def tokens(pages: DataFrame, url_col: str = "url") -> DataFrame:
-    """Adds items array<string>, at most one for each slot."""
+def tokens(pages: DataFrame, url_col: str = "url", items_col: str = "items") -> DataFrame:
+    """Adds `items_col` array<string>, at most one for each slot, to what `split_url` gave."""
     labels = F.filter(F.split("host", "\\."), lambda x: x != "")
     segments = F.filter(F.split("path", "/"), lambda x: x != "")
     shape = lambda x: F.regexp_replace(x, "[0-9]+", "#")
-    n = F.size("_l")
+    n = F.size("_loom_labels")
     slot = lambda name, value: F.when(value.isNotNull() & (value != ""), F.concat(F.lit(name + "="), F.substring(value, 1, 64)))
-    pages = pages.withColumn("_l", labels).withColumn("_p", segments)
+    pages = pages.withColumn("_loom_labels", labels).withColumn("_loom_segments", segments)
     items = F.array_compact(F.array(
         slot("scheme", F.when(F.col("host") != "", F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), "^([^:/?#]*)://", 1)))),
-        slot("top", F.get("_l", n - 1)), slot("domain", F.get("_l", n - 2)), slot("sub", F.when(n > 2, F.get("_l", F.lit(0)))),
-        slot("first", shape(F.get("_p", F.lit(0)))), slot("second", shape(F.regexp_extract(F.get("_p", F.lit(1)), "^([^.]*)", 1))),
-        slot("ext", F.regexp_extract(F.element_at(F.concat(F.array(F.lit("")), F.col("_p")), -1), "\\.([A-Za-z0-9]+)$", 1)),
-        slot("query", F.regexp_extract("_tail", "^\\?([^=&#]*)", 1)), F.when(F.contains(F.col("_tail"), F.lit("#")), F.lit("fragment")),
+        slot("top", F.get("_loom_labels", n - 1)), slot("domain", F.get("_loom_labels", n - 2)), slot("sub", F.when(n > 2, F.get("_loom_labels", F.lit(0)))),
+        slot("first", shape(F.get("_loom_segments", F.lit(0)))), slot("second", shape(F.regexp_extract(F.get("_loom_segments", F.lit(1)), "^([^.]*)", 1))),
+        slot("ext", F.regexp_extract(F.element_at(F.concat(F.array(F.lit("")), F.col("_loom_segments")), -1), "\\.([A-Za-z0-9]+)$", 1)),
+        slot("query", F.regexp_extract("_loom_tail", "^\\?([^=&#]*)", 1)), F.when(F.contains(F.col("_loom_tail"), F.lit("#")), F.lit("fragment")),
     ))
-    return pages.withColumn("items", items).drop("_l", "_p")
+    return pages.withColumn(items_col, items).drop("_loom_labels", "_loom_segments", "_loom_tail")
 
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -80,15 +80,19 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """`pages` with host, path, rule, verdict and confidence (of the mined rule, null where none was used)."""
-    seen = tokens(apply_rules(split_url(pages, url_col), rules), url_col)
-    labelled = materialize(seen.where("rule is not null").select("items", F.col("rule_verdict").alias("verdict")), "url-labelled")
+    """`pages` with host, path, rule, verdict and confidence (of the mined rule, null where none was used).
+
+    Columns of `pages` so named, in any case of letters, are replaced; all others are kept as they are.
+    """
+    pages = pages.drop("host", "path", "rule", "verdict", "confidence")
+    seen = tokens(apply_rules(split_url(pages, url_col), rules, "_loom_verdict"), url_col, "_loom_items")
+    labelled = materialize(seen.where("rule is not null").select(F.col("_loom_items").alias("items"), F.col("_loom_verdict").alias("verdict")), "url-labelled")
     index = mine(labelled, min_support, min_confidence)
-    kinds = seen.where("rule is null and host <> ''").select("items").distinct()
+    kinds = seen.where("rule is null and host <> ''").select(F.col("_loom_items").alias("items")).distinct()
     met = kinds.select("items", F.explode("items").alias("anchor")).join(index, "anchor")
     fired = met.where(F.size(F.array_except("parts", "items")) == 0)
-    best = fired.groupBy("items").agg(F.max(F.struct("confidence", "support", F.size("parts").alias("n"), "verdict")).alias("best"))
-    out = seen.join(best, "items", "left")
-    verdict = F.coalesce("rule_verdict", F.when(F.col("rule").isNull(), F.col("best.verdict")), F.lit(DEFAULT))
-    confidence = F.when(F.col("rule").isNull(), F.col("best.confidence"))
-    return out.select(*[out[c] for c in pages.columns if c not in ("host", "path", "rule", "verdict", "confidence")], "host", "path", "rule", verdict.alias("verdict"), confidence.alias("confidence"))
+    best = fired.groupBy("items").agg(F.max(F.struct("confidence", "support", F.size("parts").alias("n"), "verdict")).alias("_loom_best"))
+    out = seen.join(best.withColumnRenamed("items", "_loom_items"), "_loom_items", "left")
+    verdict = F.coalesce("_loom_verdict", F.when(F.col("rule").isNull(), F.col("_loom_best.verdict")), F.lit(DEFAULT))
+    confidence = F.when(F.col("rule").isNull(), F.col("_loom_best.confidence"))
+    return out.select(*[out[c] for c in pages.columns], "host", "path", "rule", verdict.alias("verdict"), confidence.alias("confidence"))
