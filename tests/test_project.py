@@ -103,6 +103,18 @@ def test_typescript_graph(spark, tmp_path):
     assert {("Store", "conformance", "Shop"), ("Base", "specialization", "Shop"), ("Item", "field", "Shop"), ("Mark", "annotation", "Shop"), ("top", "call", "helper"), ("helper", "return", "Item"), ("Shop", "param", "top")} <= plain
 
 
+def test_member_calls_on_declared_variables(spark, tmp_path):
+    text = (
+        "struct Other;\nimpl Other { fn go(&self) {} }\nstruct Engine;\nimpl Engine { fn go(&self) {} fn stop(&self) {} }\nstruct Car { engine: Engine, spare: Option<Engine> }\n"
+        "impl Car { fn drive(&self) { self.engine.go(); self.engine.fly(); } }\nfn halt(e: &Engine, n: u32) { e.stop(); n.stop(); unknown.stop(); }\nfn both(e: Other) { e.go(); }\n"
+    )
+    p = project.load(spark, [write(tmp_path, {"a.rs": text})], languages=["rust"])
+    block = {r.block_id: r for r in p.graph.block.collect()}
+    owner = lambda b: block[block[b].parent_id].name
+    got = {(block[r.enclosing_id].name, owner(r.symbol_id), block[r.symbol_id].name) for r in p.calls.collect()}
+    assert got == {("drive", "Engine", "go"), ("halt", "Engine", "stop"), ("both", "Other", "go")}
+
+
 def test_command_line(tmp_path):
     folder = write(tmp_path / "src", {"a.py": SAME["python"][1]})
     out = tmp_path / "o.dot"
