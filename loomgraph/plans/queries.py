@@ -51,10 +51,10 @@ def related_two_hop_types(spark, sf_dir):
     return g.param_types().withColumn("via", F.lit("has_parameters")).unionAll(g.return_types().withColumn("via", F.lit("has_return")))
 
 
-@query("select dst, src from relation where relation = 'implements' and dst % 8 = 1 and dst // 8 <= 50")
+@query("select dst, src from relation where relation = 'implements' and dst in (select block_id from block where kind = 'trait')")
 def reverse_related(spark, sf_dir):
     g = graph(spark, sf_dir)
-    targets = g.blocks("trait").where("start_line <= 50").select(F.col("block_id").alias("dst"))
+    targets = g.blocks("trait").select(F.col("block_id").alias("dst"))
     return R.reverse_related(g.relation, targets, "implements")
 
 
@@ -64,9 +64,9 @@ def contracts_bag_union(spark, sf_dir):
     return graph(spark, sf_dir).contracts()
 
 
-@query("select src, relation, array_to_string(list_sort(list(distinct dst)), ',') as dsts from relation where src % 8 in (0, 4, 5) group by src, relation")
+@query("select src, relation, array_to_string(list_sort(list(distinct dst)), ',') as dsts from relation group by src, relation")
 def relations_grouped(spark, sf_dir):
-    out = R.relations_from(graph(spark, sf_dir).relation.where("src % 8 in (0, 4, 5)"))
+    out = R.relations_from(graph(spark, sf_dir).relation)
     return out.select("src", "relation", F.array_join(F.col("dsts").cast("array<string>"), ",").alias("dsts"))
 
 
@@ -75,9 +75,9 @@ def related_blocks(spark, sf_dir):
     return R.related_blocks(graph(spark, sf_dir).relation, ["calls", "uses", "implements"])
 
 
-@query("select r.src, r.dst from relation r join block b on b.block_id = r.dst where r.relation = 'uses' and b.kind = 'enum' and b.start_line % 2 = 0")
+@query("select r.src, r.dst from relation r join block b on b.block_id = r.dst where r.relation = 'uses' and b.kind in ('enum', 'trait') and b.name is not null")
 def related_matching(spark, sf_dir):
-    return graph(spark, sf_dir).matching("uses", (F.col("kind") == "enum") & (F.col("start_line") % 2 == 0))
+    return graph(spark, sf_dir).matching("uses", F.col("kind").isin("enum", "trait") & F.col("name").isNotNull())
 
 
 @query("select distinct src from relation where relation = 'has_impl'")
@@ -223,11 +223,12 @@ def orphans_removed(spark, sf_dir):
     return C.without_orphans(C.nodes(s.graph()), near_edges(s)).select("block_id", "kind")
 
 
-@query("," + _ORIENTED + "select from_id, to_id, kind from near_edge where (from_id // 8) % 3 = 0 and (to_id // 8) % 3 = 0")
+@query("," + _ORIENTED.rstrip() + ", placed as (select block_id from visible v join unit_meta m on m.unit_id = v.unit_id where m.module_name is not null) select from_id, to_id, kind from near_edge where from_id in (select block_id from placed) and to_id in (select block_id from placed)")
 def retain_subset(spark, sf_dir):
     s = Star(spark, sf_dir)
     nodes = C.nodes(s.graph())
-    return C.retain(nodes, near_edges(s), nodes.where("start_line % 3 = 0"))[1]
+    placed = nodes.join(s.unit_meta().where("module_name is not null").select("unit_id"), "unit_id", "left_semi")
+    return C.retain(nodes, near_edges(s), placed)[1]
 
 
 # roll-up
@@ -486,11 +487,14 @@ def symbol_dedupe(spark, sf_dir):
     return N.declare(rows).select("scope_id", "name", "symbol_id", "declared_kind")
 
 
-@query("""with new as (select c_custkey, c_nationkey, 'new' as state from customer where c_custkey % 2 = 0 and c_nationkey >= 10)
+@query("""with new as (select c_custkey, c_nationkey, 'new' as state from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey where c_mktsegment = 'BUILDING' and r_name = 'ASIA')
 select c_custkey, c_nationkey, 'old' as state from customer where c_nationkey not in (select c_nationkey from new) union all select * from new""", star=False)
 def unit_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    return R.replace_units(rows.withColumn("state", F.lit("old")), rows.where("c_custkey % 2 = 0 and c_nationkey >= 10").withColumn("state", F.lit("new")), "c_nationkey")
+    s = Star(spark, sf_dir)
+    asia = s.nation.join(s.region.where("r_name = 'ASIA'"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"))
+    new = s.customer.where("c_mktsegment = 'BUILDING'").join(asia, "c_nationkey", "left_semi")
+    rows = lambda df, state: df.select("c_custkey", "c_nationkey", F.lit(state).alias("state"))
+    return R.replace_units(rows(s.customer, "old"), rows(new, "new"), "c_nationkey")
 
 
 @query(f"select k as kind, s as set_name from (values {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{s}{chr(39)})' for s, ks in KIND_SETS.items() if s != 'all' for k in ks)}) t(k, s)", star=False)
