@@ -113,7 +113,7 @@ def build(files: DataFrame, unit_meta: DataFrame) -> Project:
     )
 
     # calls: a bare name lexically; self and this in the own type; Type.name in that type; variables in their declared type
-    calls = facts.where("callee is not null").select("block_id", "callee", F.split("callee", "\\.").alias("parts"), "enclosing_id", "holder")
+    calls = facts.where("callee is not null").select("block_id", "callee", F.split("callee", "\\.").alias("parts"), "enclosing_id", "holder", "start_byte")
     callee = last(F.col("callee"))
     bare = calls.where(F.size("parts") == 1).select(F.col("block_id").alias("ref_id"), "block_id", F.col("callee").alias("name"))
     bare_hit = resolve(bare, "call_target")
@@ -123,17 +123,19 @@ def build(files: DataFrame, unit_meta: DataFrame) -> Project:
     on_self = calls.where((F.size("parts") == 2) & self_words).join(holder_type, "holder").select("block_id", callee.alias("name"), F.col("target").alias("receiver_id"))
     typed = calls.where((F.size("parts") >= 2) & ~self_words & (F.col("parts")[0] != "?")).select(F.col("block_id").alias("ref_id"), "block_id", F.element_at("parts", -2).alias("name"), callee.alias("member"))
     typed = typed.join(resolve(typed.select("ref_id", "block_id", "name"), "defined_type"), "ref_id").select("block_id", F.col("member").alias("name"), F.col("symbol_id").alias("receiver_id"))
-    # a parameter's or an own field's declared type receives the calls on it; such a variable hides a type of its name
-    declared_type = facts.where("kind in ('parameter', 'field') and name is not null").select("block_id", "kind", F.col("parent_id").alias("owner"), F.col("name").alias("variable"))
-    declared_type = declared_type.join(per.select("block_id", F.col("own_type").alias("receiver_id")), "block_id").where("receiver_id is not null")
-    declared_type = declared_type.groupBy("kind", "owner", "variable").agg(F.min_by("receiver_id", "block_id").alias("receiver_id"))
-    on_parameter = calls.where((F.size("parts") == 2) & ~self_words).select("block_id", callee.alias("name"), F.col("enclosing_id").alias("owner"), F.col("parts")[0].alias("variable"))
-    on_parameter = on_parameter.join(declared_type.where("kind = 'parameter'"), ["owner", "variable"]).select("block_id", "name", "receiver_id")
+    # the type of a parameter, local variable or own field receives the calls on it; of the variables the last before the
+    # call counts, which hides a type of its name even if its own type is unknown
+    declared_type = facts.where("kind in ('parameter', 'local', 'field') and name is not null").select("block_id", "kind", F.col("parent_id").alias("owner"), F.col("name").alias("variable"), "end_byte")
+    declared_type = declared_type.join(per.select("block_id", F.col("own_type").alias("receiver_id")), "block_id", "left").withColumnRenamed("block_id", "variable_id")
+    on_local = calls.where((F.size("parts") == 2) & ~self_words).select("block_id", callee.alias("name"), F.col("enclosing_id").alias("owner"), F.col("parts")[0].alias("variable"), "start_byte")
+    on_local = on_local.join(declared_type.where("kind <> 'field'"), ["owner", "variable"]).where("end_byte <= start_byte")
+    on_local = on_local.groupBy("block_id", "name").agg(F.max_by("receiver_id", "variable_id").alias("receiver_id"))
     on_field = calls.where((F.size("parts") == 3) & self_words).join(holder_type, "holder").select("block_id", callee.alias("name"), F.col("target").alias("owner"), F.col("parts")[1].alias("variable"))
-    on_field = on_field.join(declared_type.where("kind = 'field'"), ["owner", "variable"]).select("block_id", "name", "receiver_id")
-    on_variable = settle(on_parameter.unionAll(on_field), "variable-calls")
+    fields = declared_type.where("kind = 'field' and receiver_id is not null").groupBy("owner", "variable").agg(F.min_by("receiver_id", "variable_id").alias("receiver_id"))
+    on_field = on_field.join(fields, ["owner", "variable"]).select("block_id", "name", "receiver_id")
+    on_variable = settle(on_local.unionAll(on_field), "variable-calls")
     typed = typed.join(on_variable.select("block_id"), "block_id", "left_anti")
-    wanted = on_self.unionAll(typed).unionAll(on_variable).join(facts.select("block_id", F.col("unit_id").alias("ref_unit")), "block_id").join(where.select(F.col("unit_id").alias("ref_unit"), F.col("package_index").alias("ref_package")), "ref_unit")
+    wanted = on_self.unionAll(typed).unionAll(on_variable.where("receiver_id is not null")).join(facts.select("block_id", F.col("unit_id").alias("ref_unit")), "block_id").join(where.select(F.col("unit_id").alias("ref_unit"), F.col("package_index").alias("ref_package")), "ref_unit")
     members_up = impl_target.select(F.col("target").alias("scope_id"), F.col("holder").alias("parent_id"), F.lit(0).cast("long").alias("ordinal"))
     bases_up = per.join(facts.where("kind = 'class'").select("block_id"), "block_id").where("own_type is not null").select(F.col("block_id").alias("scope_id"), F.col("own_type").alias("parent_id"), F.lit(1).cast("long").alias("ordinal"))
     identity = symbols.select("symbol_id", F.col("symbol_id").alias("target_id"))
@@ -147,7 +149,7 @@ def build(files: DataFrame, unit_meta: DataFrame) -> Project:
         F.col("block_id"), F.col("block_id").alias("owned_scope_id"), F.coalesce("met", none).alias("nested_types"), F.coalesce("marks", none).alias("decorators"),
     )
     symbol = settle(symbol, "symbol-table")
-    block = facts.join(per, "block_id", "left").select(
+    block = facts.where("kind <> 'local'").join(per, "block_id", "left").select(
         "block_id", "unit_id", "kind", "name", "parent_id", F.col("local_id").cast("long").alias("ordinal"), F.when(F.col("names_symbol") & F.col("name").isNotNull(), F.col("block_id")).alias("symbol_id"), "symbol_kind",
         F.col("own_type").alias("type_ref"), F.col("own_type").alias("type_symbol_id"), F.col("start_line").cast("long").alias("start_line"), F.when(F.size("arguments") > 0, F.col("arguments")).alias("nested_types"), F.coalesce("marks", none).alias("decorators"),
     )

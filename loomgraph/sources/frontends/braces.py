@@ -93,6 +93,7 @@ class Scanner:
     def __init__(self, text: str, language: str):
         self.text, self.language, self.spec = text, language, SPECS[language]
         self.not_calls = _NOT_CALLS | _NOT_CALLS_IN.get(language, set())
+        self.local_words = {"rust": ("let",), "typescript": ("let", "const", "var")}.get(language, ())
         self.toks = lex(text)
         self.out = [Fact("root", None, "file", -1, 0, len(text), 1)]
         self.close = self._match()
@@ -170,6 +171,8 @@ class Scanner:
                 i = self.end(i) + 1
                 marks, skip_next = [], False
                 continue
+            if t.text in self.local_words and where in ("func", "code"):
+                self.local(i, stop, parent)
             if t.kind == "word" and where not in ("class", "interface", "enum"):
                 self.call(i, parent)
             if t.text in (";", "}"):
@@ -193,6 +196,47 @@ class Scanner:
             path.insert(0, "?")
         return self.add("call", None, None, parent, k, self.end(j), callee=".".join(path), names_symbol=False)
 
+    def local(self, i: int, stop: int, parent: int) -> None:
+        """A local variable up to the end of its statement: declared type, or that of a constructor that is the whole value.
+
+        Other values give a variable without a type, which still hides what its name meant before.
+        """
+        text = lambda k: self.toks[k].text if k < stop else ";"
+        at = i + 1 + (text(i + 1) == "mut")
+        if at >= stop or self.toks[at].kind != "word" or text(at + 1) not in (":", "="):
+            return
+        j = at + 1
+        while j < stop and text(j) not in ("=", ";", "}"):
+            j = self.end(j) + 1 if text(j) in _PAIRS else j + 1
+        types = self.types(self.toks[at + 2 : j]) if text(at + 1) == ":" else []
+        value = j + 1
+        last = value
+        while last < stop and text(last) not in (";", "}") and not (self.language == "typescript" and self.toks[last].line > self.toks[last - 1].line and text(last) != "."):
+            last = self.end(last) + 1 if text(last) in _PAIRS else last + 1
+        if not types and text(j) == "=":
+            types = self.constructed(value, last, text)
+        self.add("local", self.toks[at].text, "variable", parent, i, max(at, min(last, stop) - 1), types=types, names_symbol=False)
+
+    def constructed(self, i: int, last: int, text) -> list[str]:
+        """The type that `new T(...)`, `T { ... }`, `T::new(...)` or `T::default()` makes, if nothing follows."""
+        i += made if (made := text(i) == "new" and self.language == "typescript") else 0
+        path, j = [], i
+        while j < last and self.toks[j].kind == "word":
+            path.append(text(j))
+            j = self.angle(j + 1)
+            if text(j) not in ("::", "."):
+                break
+            j += 1
+        if not path or text(j) not in ("(", "{") or self.end(j) + 1 < last:
+            return []
+        if made:
+            return [".".join(path)]
+        if self.language != "rust":
+            return []
+        if text(j) == "(":
+            path = path[:-1] if path[-1] in ("new", "default") else []
+        return [".".join(path)] if path and path[-1] not in ("Self", "match", "if", "loop", "unsafe", "while", "for") else []
+
     def declaration(self, i: int, stop: int, parent: int, where: str, marks: list[str], skip: bool) -> int:
         """Index after a declaration that begins at i, or i."""
         t, spec = self.toks[i], self.spec

@@ -115,6 +115,21 @@ def test_member_calls_on_declared_variables(spark, tmp_path):
     assert got == {("drive", "Engine", "go"), ("halt", "Engine", "stop"), ("both", "Other", "go")}
 
 
+def test_member_calls_on_local_variables(spark, tmp_path):
+    text = (
+        "struct Other;\nimpl Other { fn go(&self) {} }\nstruct Engine;\nimpl Engine { fn go(&self) {} fn stop(&self) {} }\n"
+        "fn made() { let mut a = Engine::new(); a.stop(); let b: Other = pick(); b.go(); if true { let c = Engine {}; c.go(); } let d = find(); d.go(); let n = Engine::new().count(); n.stop(); }\n"
+        "fn hidden(e: &Engine) { let x = e.stop(); let e = Other::new(); e.go(); let e = e.stop(); e.go(); if let Some(e) = find() { } }\n"
+    )
+    p = project.load(spark, [write(tmp_path, {"a.rs": text})], languages=["rust"])
+    block = {r.block_id: r for r in p.graph.block.collect()}
+    got = sorted((block[r.enclosing_id].name, block[block[r.symbol_id].parent_id].name, block[r.symbol_id].name) for r in p.calls.collect())
+    assert got == [("hidden", "Engine", "stop"), ("hidden", "Other", "go"), ("made", "Engine", "go"), ("made", "Engine", "stop"), ("made", "Other", "go")]
+    assert "local" not in {r.kind for r in block.values()}
+    ts = frontend("typescript")("function f() { const a = new Shop<Item>(1); let b: Map<string, Item> = x\n  var c = new Shop().make(); let { d } = a; const e = () => new Shop() }")
+    assert [(f.name, f.types) for f in ts if f.kind == "local"] == [("a", ["Shop"]), ("b", ["string", "Item"]), ("c", []), ("e", [])]
+
+
 def test_command_line(tmp_path):
     folder = write(tmp_path / "src", {"a.py": SAME["python"][1]})
     out = tmp_path / "o.dot"
