@@ -4,6 +4,10 @@ A text is cut into sentences, each is normalised (A-Z lowered, runs of other tha
 known licence sentences become identifiers, and the sequence of identifiers of a document is matched against an
 ordered list of rules; a rule is a run of identifiers. Unknown sentences between two known ones do not break a run.
 
+Sentences end at .!? and at a newline; a known sentence may also run over several lines (hard-wrapped, with or without
+comment marks), from the start of a line or sentence to the end of one, but not over a blank line. Of those that start at
+one place the longest counts. `n_sentences` counts by lines.
+
 Null and empty texts have no sentences; no rule: `license` is null.
 """
 
@@ -15,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CUT = "[.!?]+([ \\t\\n\\f\\r]|$)|\\n"
+STOP = "[.!?]+([ \\t\\n\\f\\r]|$)"
+#: between two words of a known sentence: a blank or one line break
+GAP = "(?: ?\u0002 ?| )"
 
 #: identifier -> sentence (fixed values: wordings of public licences and the notices that refer to them).
 SENTENCES = {
@@ -72,20 +78,30 @@ def known_sentences() -> dict[str, int]:
     return {normal_form(cut.split(s)[0]): n for n, s in SENTENCES.items()}
 
 
-def sentences(text: Column) -> Column:
+def flattened(text: Column) -> Column:
+    """Normalised text; sentence ends are \\u0001, other newlines \\u0002."""
+    lower = F.translate(F.coalesce(text, F.lit("")), UPPER + "\u0002", LOWER + " ")
+    return F.regexp_replace(F.translate(F.regexp_replace(lower, STOP, "\u0001"), "\n", "\u0002"), "[^a-z0-9\u0001\u0002]+", " ")
+
+
+def sentences(flat: Column) -> Column:
     """array<string> of normalised sentences, empty ones left out."""
-    cut = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), CUT, "\u0001")
-    flat = F.regexp_replace(cut, "[^a-z0-9\u0001]+", " ")
-    return F.filter(F.transform(F.split(flat, "\u0001"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(flat, "[\u0001\u0002]"), lambda s: F.trim(s)), lambda s: s != "")
+
+
+def known_pattern() -> str:
+    longest_first = sorted(known_sentences(), key=len, reverse=True)
+    return "(?:^|[\u0001\u0002]) ?(" + "|".join(s.replace(" ", GAP) for s in longest_first) + ")(?= ?(?:[\u0001\u0002]|$))"
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with n_sentences long, sentence_ids array<int>, matches array<string> (in rule order), license string."""
     known = known_sentences()
     ids = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    out = docs.withColumn("_loom_s", sentences(F.col(text_col)))
-    out = out.withColumn("n_sentences", F.size("_loom_s").cast("long"))
-    out = out.withColumn("sentence_ids", F.transform(F.filter("_loom_s", lambda s: s.isin(*known)), lambda s: F.element_at(ids, s)))
+    out = docs.withColumn("_loom_s", flattened(F.col(text_col)))
+    out = out.withColumn("n_sentences", F.size(sentences(F.col("_loom_s"))).cast("long"))
+    met = F.regexp_extract_all("_loom_s", F.lit(known_pattern()), F.lit(1))
+    out = out.withColumn("sentence_ids", F.transform(met, lambda s: F.element_at(ids, F.regexp_replace(s, GAP, " "))))
     run = F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ","), F.lit(","))
     hits = F.array_compact(F.array(*[F.when(F.contains(F.col("_loom_run"), F.lit("," + ",".join(map(str, r)) + ",")), F.lit(name)) for name, r in RULES]))
     out = out.withColumn("_loom_run", run).withColumn("matches", F.array_distinct(hits))
