@@ -5,9 +5,8 @@ have groups of their own, all others the group of their last two bytes. States e
 group has the smoothed share of its count in the group, an unknown word the share of half a count. Group counts, word
 counts and the smoothing come from all training texts.
 
-Training: Baum-Welch. Partitions return expected counts, which are summed by group with an aggregate; `warm_rounds` run on a
-bounded sample of whole texts to break the symmetry, `full_rounds` on every training text. In training, texts are
-cut into pieces of `PIECE` tokens. Scoring is the scaled forward recursion over whole texts.
+Training: Baum-Welch, every one of the `rounds` over all training texts. Partitions return expected counts, which are summed by
+group with an aggregate. In training, texts are cut into pieces of `PIECE` tokens. Scoring is the scaled forward recursion over whole texts.
 
 Only tables of fixed size are broadcast: the dictionary of the `DICTIONARY` most frequent words and the states' parameters.
 The counts of all other words reach the texts by a join on the word, so vocabulary may grow with the corpus.
@@ -34,9 +33,7 @@ OWN_GROUPS = 8192
 ENDINGS = 512
 DICTIONARY = 131_072
 PIECE = 512
-WARM_DOCS = 4000
-WARM_ROUNDS = 12
-FULL_ROUNDS = 2
+ROUNDS = 14
 PRIOR = 200.0
 FLUSH = 400_000
 END = ""
@@ -299,7 +296,7 @@ def _forward(shared):
     return run
 
 
-def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, warm_rounds: int = WARM_ROUNDS, full_rounds: int = FULL_ROUNDS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns where `held_out` is false."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("_text"))
@@ -318,13 +315,9 @@ def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str
     )
     coded = materialize(coded, "lm-coded")
 
-    train = coded.where(~F.col("held_out")).select("rid", "doc_id", "seq")
-    part = min(1.0, WARM_DOCS / max(1, ends))
-    few = materialize(train.where(F.pmod(F.xxhash64("doc_id", "rid"), F.lit(1 << 20)) < int(part * (1 << 20)) + (part >= 1)).select("seq").coalesce(8), "lm-warm")
+    train = coded.where(~F.col("held_out")).select("seq")
     model = Hmm.fresh(vocabulary.mass, states)
-    for _ in range(warm_rounds if ends else 0):
-        model = baum_welch_round(model, few, vocabulary.mass)
-    for _ in range(full_rounds if ends else 0):
+    for _ in range(rounds if ends else 0):
         model = baum_welch_round(model, train, vocabulary.mass)
 
     rare = coded.select("rid", F.explode("rare").alias("token")).join(counts, "token")
