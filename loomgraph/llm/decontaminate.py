@@ -1,7 +1,8 @@
 """Benchmark decontamination: item-sized windows, SimHash candidates, exact verification.
 
 A window of as many words as an item has is compared with it by weighted Jaccard similarity of five-word shingles
-(weight: how often a shingle occurs); 0.8 or more is a hit. Fewer than five words make one shingle.
+(weight: how often a shingle occurs); 0.8 or more is a hit. Fewer than five words make one shingle. A text shorter than
+an item is compared with it as one window.
 
 Candidates: windows and items have 256-bit SimHashes; 16 blocks of 16 bits are indexed with all values within 3 bits,
 so by the pigeonhole rule every pair within 63 bits meets in some block. At similarity 0.8 the expected distance is 39 bits
@@ -116,6 +117,7 @@ class Index:
             return []
         ids = np.fromiter((self.words.get(w, 0) for w in words), np.uint64, n)
         windows: dict[int, list[tuple[int, int]]] = defaultdict(list)  # size -> ranges of starts
+        longer: set[int] = set()  # sizes of items that the whole text may still be similar to
         for width in {SHINGLE, *self.short}:
             if n < width:
                 continue
@@ -129,6 +131,8 @@ class Index:
                 for size in self.key_sizes[int(keys[j])]:
                     if size <= n and (size >= SHINGLE) == (width == SHINGLE) and (size >= SHINGLE or size == width):
                         windows[size].append((max(0, j - max(0, size - SHINGLE)), min(j, n - size)))
+                    elif size > n >= SHINGLE and n - SHINGLE + 1 >= SIMILARITY * (size - SHINGLE + 1) - 1e-9:
+                        longer.add(size)
         best: dict[int, tuple[float, int, int]] = {}
         for size, ranges in windows.items():
             ranges.sort()
@@ -140,10 +144,12 @@ class Index:
                     merged.append([a, b])
             for a, b in merged:
                 for lo in range(a, b + 1, 4096):
-                    self._windows(words, size, lo, min(b, lo + 4095), best)
+                    self._windows(words, size, lo, min(b, lo + 4095), best, {size})
+        if longer:
+            self._windows(words, n, 0, 0, best, longer)
         return [(k, *v) for k, v in sorted(best.items())]
 
-    def _windows(self, words, size, a, b, best):
+    def _windows(self, words, size, a, b, best, item_sizes):
         grams = shingles(words[a : b + size])
         width = max(1, size - SHINGLE + 1)
         if size < SHINGLE:
@@ -151,7 +157,7 @@ class Index:
         sums = np.vstack([np.zeros((1, 256), np.int32), np.cumsum(votes(grams), axis=0, dtype=np.int32)])
         prints = packed(sums[width:] - sums[:-width])
         for s, met in enumerate(self.near(prints)):
-            met = [k for k in met.tolist() if self.sizes[k] == size]
+            met = [k for k in met.tolist() if self.sizes[k] in item_sizes]
             if met:
                 bag = Counter(grams[s : s + width])
                 for k in met:
