@@ -1,18 +1,25 @@
 """A hidden Markov language model over whole texts.
 
-Tokens are A-Z lowered runs of non-blanks, then one end. A token belongs to a group: the most frequent words and the end
-have groups of their own, all others the group of their last two bytes. States emit groups; a word given its
-group has the smoothed share of its count in the group, an unknown word the share of half a count. Group counts, word
-counts and the smoothing come from all training texts.
+Tokens are A-Z lowered runs of non-blanks, then one end. A token belongs to a class: the most frequent words and the end
+have classes of their own, all others the class of their last two bytes.
 
-Training: Baum-Welch, every one of the `rounds` over all training texts. Partitions return expected counts, which are summed by
-group with an aggregate. In training, texts are cut into pieces of `PIECE` tokens. Scoring is the scaled forward recursion over whole texts.
+Training: Baum-Welch over classes, every one of the `rounds` over all training texts, whole. Partitions return expected counts,
+which are summed by class with an aggregate. The last maximisation is by word: a last forward-backward pass gives the expected
+count of every training word in every state, and
 
-Only tables of fixed size are broadcast: the dictionary of the `DICTIONARY` most frequent words and the states' parameters.
-The counts of all other words reach the texts by a join on the word, so vocabulary may grow with the corpus.
+    emission(word | s) = (count(word, s) + 1/2 share(s | class)) / (count(s) + 1/2 sum over classes of share(s | class) * words),
 
-Null texts are empty: one token, the end. Rows of the same id are scored apart. Without training texts all words are
-unknown and the states are uniform.
+where a class's words are its distinct training words and, for classes of endings, one unknown word. Scoring is the scaled forward recursion
+over whole texts with these emissions. Texts of any length are laid out step by step; what is longer than `BATCH` tokens
+is taken in stretches whose first alphas are kept and whose rest is computed again on the way back, so nothing is cut.
+
+Only tables of fixed size are broadcast: the dictionary of the `DICTIONARY` most frequent words with their emissions, and the states'
+parameters. The counts of all other words are summed by a window over the word (none of them is frequent: each has less than a
+`DICTIONARY`-th of all tokens) and go back to their texts by a join, so the vocabulary may grow with the corpus. Their shares of states are kept in
+steps of 1/65535.
+
+Null texts are empty: one token, the end. Rows of the same id or text are scored apart, and all count in training. Without training texts all words
+are unknown and the states are uniform. An empty table gives no rows. Nothing depends on partitions but the order of sums of doubles.
 """
 
 from __future__ import annotations
@@ -23,19 +30,22 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, raw_bytes
+from .common import discard, map_batches, materialize, raw_bytes
 
 STATES = 8
-OWN_GROUPS = 8192
+OWN_CLASSES = 8192
 ENDINGS = 512
-DICTIONARY = 131_072
-PIECE = 512
-ROUNDS = 14
+DICTIONARY = 262_144
+ROUNDS = 8
 PRIOR = 200.0
 FLUSH = 400_000
+BATCH = 400_000
+HOLD = 4_000_000
+RESCALE = 16
 END = ""
 
 
@@ -55,36 +65,38 @@ def _counter(batches):
     for batch in batches:
         for text in raw_bytes(batch.column("_text")):
             seen.update(tokens(text))
-        if len(seen) > FLUSH:
-            yield out()
+            if len(seen) > FLUSH:
+                yield out()
     yield out()
 
 
-def ending(token: bytes) -> int:
-    return 1 + OWN_GROUPS + crc32(token[-2:]) % ENDINGS
-
-
 class Vocabulary:
-    """The dictionary (rank -> group, log10(c + 1/2)) and what is known of each group."""
+    """The dictionary (place 0: the end) and what is known of each class."""
 
-    def __init__(self, top: list[tuple[bytes, int]], ends: int, n: int, v: int):
+    def __init__(self, top: list[tuple[bytes, int]], ends: int, n: int, v: int, own: int = OWN_CLASSES):
         self.place = {w: i + 1 for i, (w, _) in enumerate(top)}
         self.place[b""] = 0
+        self.size, self.own = len(top), own
         counts = np.array([ends, *[c for _, c in top]], np.float64)
         self.logs = np.log10(counts + 0.5)
         self.known = counts > 0
-        self.group = np.array([0, *[i + 1 if i < OWN_GROUPS else ending(w) for i, (w, _) in enumerate(top)]], np.uint16)
+        self.cls = np.array([0, *[i + 1 if i < own else self.ending(w) for i, (w, _) in enumerate(top)]], np.uint16)
         self.n, self.v = n, v
-        self.groups = 1 + OWN_GROUPS + ENDINGS
-        self.mass = np.zeros(self.groups)
-        self.mass[: 1 + min(OWN_GROUPS, len(top))] = counts[: 1 + OWN_GROUPS] + 0.5
-        self.log_mass = np.zeros(self.groups)  # log10 of an ending's denominator, 0 for a word of its own
-
-    def add_endings(self, group: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
-        tail = np.full(ENDINGS, 0.5)
-        tail[group - 1 - OWN_GROUPS] += n + 0.5 * v
-        self.mass[1 + OWN_GROUPS :] = tail
-        self.log_mass[1 + OWN_GROUPS :] = np.log10(tail)
+        self.classes = 1 + own + ENDINGS
+        self.mass = np.zeros(self.classes)
+        self.words = np.zeros(self.classes)
+        single = 1 + min(own, len(top))
+        self.mass[:single] = counts[:single] + 0.5
+        self.words[:single] = 1
+
+    def ending(self, token: bytes) -> int:
+        return 1 + self.own + crc32(token[-2:]) % ENDINGS
+
+    def add_endings(self, cls: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
+        """n tokens and v distinct words of each class of an ending; one unknown word besides."""
+        self.mass[1 + self.own :], self.words[1 + self.own :] = 0.5, 1
+        self.mass[cls] += n + 0.5 * v
+        self.words[cls] += v
 
     @property
     def log_total(self) -> float:
@@ -94,13 +106,13 @@ class Vocabulary:
 def _endings(shared):
     def run(batches):
         vocabulary = shared.value
-        n, v = np.zeros(vocabulary.groups), np.zeros(vocabulary.groups)
+        n, v = np.zeros(vocabulary.classes), np.zeros(vocabulary.classes)
         for batch in batches:
             words = raw_bytes(batch.column("token"))
-            own = [0 <= vocabulary.place.get(w, OWN_GROUPS + 1) <= OWN_GROUPS for w in words]
-            groups = np.array([0 if o else ending(w) for w, o in zip(words, own)], np.int64)
-            n += np.bincount(groups, batch.column("c").to_numpy(), vocabulary.groups)
-            v += np.bincount(groups, minlength=vocabulary.groups)
+            own = [0 <= vocabulary.place.get(w, vocabulary.own + 1) <= vocabulary.own for w in words]
+            classes = np.array([0 if o else vocabulary.ending(w) for w, o in zip(words, own)], np.int64)
+            n += np.bincount(classes, batch.column("c").to_numpy(), vocabulary.classes)
+            v += np.bincount(classes, minlength=vocabulary.classes)
         at = np.flatnonzero(v[1:]) + 1
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(v[at])], names=["g", "n", "v"])
 
@@ -108,40 +120,84 @@ def _endings(shared):
 
 
 def _encoder(shared):
+    """seq: class of each token; fine: of tokens whose class is an ending, the place in the dictionary or, past it, in `rare`,
+    the text's distinct words that the dictionary lacks."""
+
     def run(batches):
         vocabulary = shared.value
-        get = vocabulary.place.get
+        get, own, size = vocabulary.place.get, vocabulary.own, vocabulary.size
         for batch in batches:
-            sizes, known, own, rest, denominators, seqs, rare = [], [], [], [], [], [], []
+            sizes, known, logs, seqs, fines, rare = [], [], [], [], [], []
             for text in raw_bytes(batch.column("_text")):
                 words = tokens(text)
                 at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                groups = vocabulary.group[at]
-                out = np.flatnonzero(at < 0).tolist()
-                strangers = [words[i] for i in out]
-                if out:
-                    groups[out] = [ending(w) for w in strangers]
+                classes = vocabulary.cls[at]
                 inside = at >= 0
-                single = groups <= OWN_GROUPS
-                logs = vocabulary.logs[at]
                 sizes.append(len(words))
                 known.append(int(vocabulary.known[at[inside]].sum()))
-                own.append(float(logs[inside & single].sum()))
-                rest.append(float(logs[inside & ~single].sum()))
-                denominators.append(float(vocabulary.log_mass[groups].sum()))
-                seqs.append(groups.astype("<u2").tobytes())
-                rare.append(strangers)
+                logs.append(float(vocabulary.logs[at[inside]].sum()))
+                strangers: dict[bytes, int] = {}
+                if not inside.all():
+                    out = np.flatnonzero(~inside).tolist()
+                    for i in out:
+                        w = words[i]
+                        at[i] = size + 1 + strangers.setdefault(w, len(strangers))
+                        classes[i] = vocabulary.ending(w)
+                seqs.append(classes.astype("<u2").tobytes())
+                fines.append(at[classes > own].astype("<u4").tobytes())
+                rare.append(list(strangers))
             keep = [n for n in batch.schema.names if n != "_text"]
             flat = pa.array([w for r in rare for w in r], pa.binary()).cast(pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rare])]), pa.int32()), flat)
-            new = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(own, pa.float64()), pa.array(rest, pa.float64()), pa.array(denominators, pa.float64()), pa.array(seqs, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *new], names=[*keep, "n_tokens", "n_inside", "own", "rest", "denominators", "seq", "rare"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), flat)
+            new = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(seqs, pa.binary()), pa.array(fines, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *new], names=[*keep, "n_tokens", "n_inside", "logs", "seq", "fine", "rare"])
 
     return run
 
 
+class Packed:
+    """Sequences, longest first, laid out step by step: the tokens of step t are the rows off[t] to off[t] + live[t]."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        sizes = np.fromiter(map(len, seqs), np.int64, len(seqs))
+        longest, n = int(sizes[0]), int(sizes.sum())
+        live = np.searchsorted(-sizes, -np.arange(longest), side="left")
+        off = np.concatenate([[0], np.cumsum(live)])
+        first = np.cumsum(sizes) - sizes
+        step = np.arange(n) - np.repeat(first, sizes)
+        self.pos = off[step] + np.repeat(np.arange(len(seqs)), sizes)  # of the tokens, text by text
+        self.ids = np.empty(n, seqs[0].dtype)
+        self.ids[self.pos] = np.concatenate(seqs)
+        self.first, self.sizes, self.last = first, sizes, off[sizes - 1] + np.arange(len(seqs))
+        self.live, self.off, self.longest = [*live.tolist(), 0], off.tolist(), longest
+
+    def stretches(self) -> list[tuple[int, int]]:
+        """Ranges of steps of at most `BATCH` tokens (or one step)."""
+        out, at = [], 0
+        while at < self.longest:
+            to = int(np.searchsorted(self.off, self.off[at] + BATCH, side="right")) - 1
+            to = min(self.longest, max(at + 1, to))
+            out.append((at, to))
+            at = to
+        return out
+
+
+def batches_of(seqs: list[np.ndarray]):
+    """Places of sequences of like length, longest first, `BATCH` tokens at a time."""
+    order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
+    held, size = [], 0
+    for i in order:
+        if held and size + len(seqs[i]) > BATCH:
+            yield held
+            held, size = [], 0
+        held.append(i)
+        size += len(seqs[i])
+    if held:
+        yield held
+
+
 class Hmm:
-    """start (k), move (k, k), emit (groups, k): emit[g] is what the states give to group g."""
+    """start (k), move (k, k), emit (symbols, k): emit[g] is what the states give to symbol g."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
@@ -155,73 +211,120 @@ class Hmm:
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         return cls(np.full(states, 1 / states), move, emit / emit.sum(0))
 
+    def _lift(self) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions over their mean, so that products stay near one, and log10 of the mean."""
+        mean = self.emit.mean(1)
+        mean[mean <= 0] = 1.0
+        return self.emit / mean[:, None], np.log10(mean)
+
+    def _alphas(self, pack: Packed, lift: np.ndarray, a: int, b: int, before: np.ndarray | None, logs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Emissions and alphas of the steps a to b, and by what some steps were scaled."""
+        live, off, base = pack.live, pack.off, pack.off[a]
+        shown = lift[pack.ids[base : off[b]]]
+        out, buf, scales = np.empty_like(shown), np.empty((live[a], shown.shape[1])), {}
+        for t in range(a, b):
+            n, o = live[t], off[t] - base
+            now = out[o : o + n]
+            if t:
+                np.matmul(before[:n], self.move, out=buf[:n])
+                np.multiply(buf[:n], shown[o : o + n], out=now)
+            else:
+                np.multiply(self.start, shown[:n], out=now)
+            if t % RESCALE == RESCALE - 1:
+                s = np.maximum(now.sum(1), 1e-300)
+                now /= s[:, None]
+                scales[t] = s
+                if logs is not None:
+                    logs[:n] += np.log10(s)
+            before = now
+        return shown, out, scales
+
+    def _forward(self, pack: Packed, lift: np.ndarray, mean: np.ndarray, keep: bool):
+        """log10 likelihoods, the last alphas' sums, the alphas before each stretch and (`keep`) the last stretch's arrays."""
+        logs, sums, edges, got = np.zeros(len(pack.sizes)), np.zeros(len(pack.sizes)), [], None
+        for a, b in pack.stretches():
+            edges.append((a, b, None if got is None else got[1][pack.off[a - 1] - got[3] :].copy()))
+            base = pack.off[a]
+            got = (*self._alphas(pack, lift, a, b, edges[-1][2], logs), base)
+            ends = np.flatnonzero((pack.last >= base) & (pack.last < pack.off[b]))
+            sums[ends] = got[1][pack.last[ends] - base].sum(1)
+        whole = np.empty(len(pack.ids))
+        whole[:] = mean[pack.ids]
+        logs = logs + np.log10(np.maximum(sums, 1e-300)) + np.add.reduceat(whole[pack.pos], pack.first)
+        return logs, sums, edges, got if keep else None
+
     def log10_likelihood(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """Scaled forward recursion over whole sequences, many at a time, longest first."""
+        """Scaled forward recursion over whole sequences, many at a time."""
         out = np.zeros(len(seqs))
-        order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
-        at = 0
-        while at < len(order):
-            longest = len(seqs[order[at]])
-            part = order[at : at + max(1, min(4096, 8_000_000 // max(1, longest)))]
-            at += len(part)
-            sizes = np.array([len(seqs[i]) for i in part])
-            grid = np.zeros((longest, len(part)), np.uint16)
-            for c, i in enumerate(part):
-                grid[: sizes[c], c] = seqs[i]
-            live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # sequences longer than t
-            alpha = np.tile(self.start, (len(part), 1))
-            logs = np.zeros(len(part))
-            for t in range(longest):
-                n = live[t]
-                a = alpha[:n] @ self.move if t else alpha[:n]
-                a *= self.emit[grid[t, :n]]
-                if t % 8 == 7:
-                    s = a.sum(1)
-                    logs[:n] += np.log10(s)
-                    a /= s[:, None]
-                alpha[:n] = a
-            out[part] = logs + np.log10(alpha.sum(1))
+        lift, mean = self._lift()
+        for part in batches_of(seqs):
+            out[part] = self._forward(Packed([seqs[i] for i in part]), lift, mean, False)[0]
         return out
 
+    def posteriors(self, pack: Packed, lift: np.ndarray, mean: np.ndarray):
+        """Yields (first row, ids, state shares) for stretches of a layout, from the last to the first; then returns sums: start, move, log-likelihood."""
+        k = len(self.start)
+        logs, sums, edges, got = self._forward(pack, lift, mean, True)
+        beta = np.repeat(1 / np.maximum(sums, 1e-300)[:, None], k, axis=1)
+        back, moves, starts, ahead = np.ascontiguousarray(self.move.T), np.zeros((k, k)), np.zeros(k), None
+        live, off = pack.live, pack.off
+        for a, b, before in reversed(edges):
+            shown, alphas, scales, base = got if got is not None else (*self._alphas(pack, lift, a, b, before, None), off[a])
+            got = None
+            share = np.empty_like(alphas)
+            for t in range(b - 1, a - 1, -1):
+                n, o = live[t], off[t] - base
+                rest, now = beta[:n], shown[o : o + n]
+                np.multiply(alphas[o : o + n], rest, out=share[o : o + n])
+                np.multiply(now, rest, out=now)
+                if t in scales:
+                    now /= scales[t][:, None]
+                np.matmul(now, back, out=rest)
+            n0 = live[a]
+            steps = np.array(live[a:b])
+            if b - a > 1:
+                prev = np.arange(n0, len(alphas)) - np.repeat(steps[:-1], steps[1:])
+                moves += alphas[prev].T @ shown[n0:]
+            if ahead is not None:
+                last = off[b - 1] - base
+                moves += alphas[last : last + len(ahead)].T @ ahead
+            ahead = shown[:n0].copy() if a else None
+            if not a:
+                starts += share[:n0].sum(0)
+            yield base, pack.ids[base : off[b]], share
+        return starts, moves * self.move, float(logs.sum())
+
     def expected(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected counts (start, move, emit) and the log-likelihood of pieces, by forward-backward."""
+        """Expected counts (start, move, emit) and the log-likelihood of whole sequences, by forward-backward."""
         k = len(self.start)
-        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit), 0.0
-        emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
-        seqs = sorted(seqs, key=len, reverse=True)
-        for lo in range(0, len(seqs), 1024):
-            part = seqs[lo : lo + 1024]
-            sizes = np.array([len(s) for s in part])
-            longest, width = int(sizes[0]), len(part)
-            grid = np.zeros((longest, width), np.uint16)
-            for c, s in enumerate(part):
-                grid[: sizes[c], c] = s
-            live = np.searchsorted(-sizes, -np.arange(longest), side="left")
-            shown = emit[grid]
-            alphas, scales = np.zeros((longest, width, k), np.float32), np.ones((longest, width), np.float32)
-            for t in range(longest):
-                n = live[t]
-                a = (alphas[t - 1, :n] @ move if t else self.start.astype(np.float32)) * shown[t, :n]
-                s = np.maximum(a.sum(1), 1e-30)
-                alphas[t, :n] = a / s[:, None]
-                scales[t, :n] = s
-            mask = np.arange(longest)[:, None] < sizes[None, :]
-            total += float(np.log10(scales, where=mask, out=np.zeros_like(scales)).sum())
-            beta = np.ones((width, k), np.float32)
-            for t in range(longest - 1, -1, -1):
-                n = live[t]
-                if t + 1 < longest:
-                    m = live[t + 1]
-                    ahead = shown[t + 1, :m] * beta[:m] / scales[t + 1, :m, None]
-                    moves += alphas[t, :m].T @ ahead
-                    beta[:m] = ahead @ move.T
-                shown_t = alphas[t, :n] * beta[:n]
-                alphas[t, :n] = shown_t / np.maximum(shown_t.sum(1, keepdims=True), 1e-30)
-            starts += alphas[0].sum(0)
-            ids, weights = grid[mask], alphas[mask]
-            for s in range(k):
-                emits[:, s] += np.bincount(ids, weights[:, s], len(self.emit))
-        return starts, moves * self.move, emits, total
+        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(self.emit))), 0.0
+        lift, mean = self._lift()
+        for part in batches_of(seqs):
+            run = self.posteriors(Packed([seqs[i] for i in part]), lift, mean)
+            while True:
+                try:
+                    _, ids, share = next(run)
+                except StopIteration as done:
+                    s, m, logs = done.value
+                    break
+                for i in range(k):
+                    emits[i] += np.bincount(ids, share[:, i], len(self.emit))
+            starts, moves, total = starts + s, moves + m, total + logs
+        return starts, moves, emits.T, total
+
+    def state_shares(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
+        """Per sequence (tokens, k): the states' posterior shares."""
+        out: list = [None] * len(seqs)
+        lift, mean = self._lift()
+        for part in batches_of(seqs):
+            pack = Packed([seqs[i] for i in part])
+            whole = np.empty((len(pack.ids), len(self.start)))
+            for base, ids, share in self.posteriors(pack, lift, mean):
+                whole[base : base + len(ids)] = share
+            flat = whole[pack.pos]
+            for i, a, n in zip(part, pack.first, pack.sizes):
+                out[i] = flat[a : a + n]
+        return out
 
     @classmethod
     def from_counts(cls, starts, moves, emits, mass) -> Hmm:
@@ -232,11 +335,6 @@ class Hmm:
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _pieces(seq: bytes) -> list[np.ndarray]:
-    whole = np.frombuffer(seq, "<u2")
-    return [whole[i : i + PIECE] for i in range(0, len(whole), PIECE)]
-
-
 def _expectation(shared, states: int):
     def run(batches):
         model = shared.value
@@ -249,12 +347,12 @@ def _expectation(shared, states: int):
             held.clear()
 
         for batch in batches:
-            for seq in batch.column("seq").to_pylist():
-                held += _pieces(seq)
-                size += len(seq)
-            if size > 4_000_000:
-                flush()
-                size = 0
+            for seq in batch.column("seq"):
+                held.append(np.frombuffer(seq.as_buffer(), "<u2"))
+                size += len(held[-1])
+                if size >= HOLD:
+                    flush()
+                    size = 0
         if held:
             flush()
         at = np.flatnonzero(emits.any(1))
@@ -265,14 +363,18 @@ def _expectation(shared, states: int):
     return run
 
 
+def _summed(got: DataFrame, key: str, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    sums = got.groupBy(key).agg(*[F.sum(c).alias(c) for c in cols]).toArrow()
+    return sums.column(key).to_numpy(), np.column_stack([sums.column(c).to_numpy() for c in cols]) if sums.num_rows else np.zeros((0, len(cols)))
+
+
 def baum_welch_round(model: Hmm, seqs: DataFrame, mass: np.ndarray) -> Hmm:
-    """One round over `seqs(seq)`: expected counts are summed over partitions by group."""
+    """One round over `seqs(seq)`: expected counts are summed over partitions by class."""
     states = len(model.start)
     shared = seqs.sparkSession.sparkContext.broadcast(model)
     cols = [f"s{s}" for s in range(states)]
     got = map_batches(seqs.select("seq"), _expectation(shared, states), "g int, " + ", ".join(f"{c} double" for c in cols))
-    sums = got.groupBy("g").agg(*[F.sum(c).alias(c) for c in cols]).toArrow()  # groups + states + 1 rows at most
-    g, rows = sums.column("g").to_numpy(), np.column_stack([sums.column(c).to_numpy() for c in cols]) if sums.num_rows else np.zeros((0, states))
+    g, rows = _summed(got, "g", cols)  # classes + states + 1 rows at most
     starts, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((len(mass), states))
     for i, row in zip(g.tolist(), rows):
         if i >= 0:
@@ -285,51 +387,190 @@ def baum_welch_round(model: Hmm, seqs: DataFrame, mass: np.ndarray) -> Hmm:
     return Hmm.from_counts(starts, moves, emits, mass)
 
 
+def _in_texts(batch, own: int):
+    """Of a batch of coded texts: classes and places of tokens in the dictionary, or past it."""
+    out = []
+    for seq, fine in zip(batch.column("seq"), batch.column("fine")):
+        classes = np.frombuffer(seq.as_buffer(), "<u2")
+        at = classes.astype(np.int64)
+        at[classes > own] = np.frombuffer(fine.as_buffer(), "<u4")
+        out.append((classes, at))
+    return out
+
+
+def _dictionary_counts(shared, states: int):
+    """Expected counts of dictionary words by place; those of whole classes of endings by the places past the dictionary."""
+
+    def run(batches):
+        model, own, size = shared.value
+        sums = np.zeros((states, size + 1 + ENDINGS))
+        for batch in batches:
+            texts = _in_texts(batch, own)
+            if not texts:
+                continue
+            shares = np.concatenate(model.state_shares([c for c, _ in texts]))
+            classes, at = (np.concatenate(x) for x in zip(*texts))
+            inside, ends = at <= size, classes > own
+            for s in range(states):
+                sums[s, : size + 1] += np.bincount(at[inside], shares[inside, s], size + 1)
+                sums[s, size + 1 :] += np.bincount(classes[ends].astype(np.int64) - own - 1, shares[ends, s], ENDINGS)
+        at = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(sums[s, at]) for s in range(states)]], names=["g", *[f"s{s}" for s in range(states)]])
+
+    return run
+
+
+def _pack(shares: np.ndarray) -> list[np.ndarray]:
+    """Rows of shares as numbers of 16 bits, four to a long."""
+    units = np.rint(np.clip(shares, 0, 1) * 65535).astype(np.uint64)
+    units = np.pad(units, ((0, 0), (0, -units.shape[1] % 4)))
+    return [(units[:, i] << 48 | units[:, i + 1] << 32 | units[:, i + 2] << 16 | units[:, i + 3]).view(np.int64) for i in range(0, units.shape[1], 4)]
+
+
+def _unpacked(packed: Column, i: int) -> Column:
+    return F.shiftrightunsigned(packed, 48 - 16 * (i % 4)).bitwiseAND(F.lit(65535))
+
+
+def _rare_words(shared, states: int):
+    """(rid, j, token, n, p0, ...): each text's words past the dictionary; n and the mean shares of states only of training texts."""
+
+    def run(batches):
+        model, own, size = shared.value
+        for batch in batches:
+            texts = _in_texts(batch, own)
+            held = batch.column("held_out").to_pylist()
+            words = batch.column("rare")
+            counts = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(counts) - counts
+            n, sums = np.zeros(counts.sum(), np.int64), np.zeros((states, counts.sum()))
+            learn = [i for i, h in enumerate(held) if not h and counts[i]]
+            for i, share in zip(learn, model.state_shares([texts[i][0] for i in learn])):
+                past = np.flatnonzero(texts[i][1] > size)
+                j, here = texts[i][1][past] - size - 1, slice(first[i], first[i] + counts[i])
+                n[here] = np.bincount(j, minlength=counts[i])
+                for s in range(states):
+                    sums[s, here] = np.bincount(j, share[past, s], counts[i])
+            packs = _pack((sums / np.maximum(n, 1)).T)
+            rid = batch.column("rid").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            j = np.arange(counts.sum()) - np.repeat(first, counts)
+            yield pa.RecordBatch.from_arrays([rid, pa.array(j.astype(np.int32)), words.flatten(), pa.array(n), *map(pa.array, packs)], names=["rid", "j", "token", "n", *[f"p{i}" for i in range(len(packs))]])
+
+    return run
+
+
+class Emissions:
+    """Emissions of the dictionary's words, and what gives those of other words."""
+
+    def __init__(self, model: Hmm, vocabulary: Vocabulary, places: np.ndarray, counts: np.ndarray):
+        k = len(model.start)
+        self.own, self.size = vocabulary.own, vocabulary.size
+        whole = np.zeros((self.size + 1 + ENDINGS, k))
+        whole[places] = counts
+        words, ends = whole[: self.size + 1], whole[self.size + 1 :]
+        seen = np.zeros((vocabulary.classes, k))
+        single = 1 + min(self.own, self.size)
+        seen[:single], seen[1 + self.own :] = words[:single], ends
+        total = seen.sum(1, keepdims=True)
+        self.share = np.where(total > 0, seen / np.where(total > 0, total, 1), 1 / k)  # of states, by class
+        self.norm = seen.sum(0) + 0.5 * (self.share * vocabulary.words[:, None]).sum(0)
+        emit = (words + 0.5 * self.share[vocabulary.cls]) / self.norm
+        self.model = Hmm(model.start, model.move, emit)
+
+    def others(self, classes: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        total = shares.sum(1, keepdims=True)
+        return (counts[:, None] * np.divide(shares, total, out=np.zeros_like(shares), where=total > 0) + 0.5 * self.share[classes]) / self.norm
+
+
 def _forward(shared):
+    """n_known, logs (of the base score) and forward (of the model) of whole texts."""
+
     def run(batches):
-        model = shared.value
+        emissions = shared.value
+        model, size, k = emissions.model, emissions.size, len(emissions.model.start)
+        longs = -(-k // 4)
         for batch in batches:
-            seqs = [np.frombuffer(s, "<u2") for s in batch.column("seq").to_pylist()]
-            keep = [n for n in batch.schema.names if n != "seq"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(model.log10_likelihood(seqs))], names=[*keep, "forward"])
+            texts = _in_texts(batch, emissions.own)
+            known, logs = batch.column("n_inside").to_numpy().copy(), batch.column("logs").to_numpy().copy()
+            met = batch.column("met")
+            each = met.flatten()
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(met), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            first = np.cumsum(sizes) - sizes
+            c = each.field("c").to_numpy(zero_copy_only=False).astype(np.float64)
+            packs = [each.field(f"q{i}").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(longs)]
+            shares = np.column_stack([(packs[s // 4] >> np.uint64(48 - 16 * (s % 4)) & np.uint64(65535)).astype(np.float64) for s in range(k)]) if len(c) else np.zeros((0, k))
+            classes, seqs = np.zeros(len(c), np.int64), []
+            for i, (cls, at) in enumerate(texts):
+                past = np.flatnonzero(at > size)
+                if len(past):
+                    place = first[i] + at[past] - size - 1
+                    classes[place] = cls[past]
+                    known[i] += int((c[place] > 0).sum())
+                    logs[i] += float(np.log10(c[place] + 0.5).sum())
+                    at = at.copy()
+                    at[past] = size + 1 + place
+                seqs.append(at)
+            wide = Hmm(model.start, model.move, np.vstack([model.emit, emissions.others(classes, c, shares)]))
+            keep = ["doc_id", "held_out", "n_tokens"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(known), pa.array(logs), pa.array(wide.log10_likelihood(seqs))], names=[*keep, "n_known", "logs", "score"])
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns where `held_out` is false."""
+def train(docs: DataFrame, held_out: Column, text_col: str, id_col: str, states: int, rounds: int, own: int, dictionary: int):
+    """(coded texts, vocabulary, class model)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("_text"))
     counts = map_batches(rows.where(~F.col("held_out")).select("_text"), _counter, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
     counts = materialize(counts, "lm-counts")
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0))).first()
-    top = counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(DICTIONARY).toArrow()
-    vocabulary = Vocabulary(list(zip((w.encode() for w in top.column("token").to_pylist()), top.column("c").to_pylist())), ends, n, v)
-    tails = map_batches(counts, _endings(spark.sparkContext.broadcast(vocabulary)), "g int, n double, v double").groupBy("g").agg(F.sum("n"), F.sum("v")).toArrow()
-    vocabulary.add_endings(*[tails.column(i).to_numpy() for i in range(3)])
-
+    top = counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(dictionary).toArrow()
+    vocabulary = Vocabulary(list(zip((w.encode() for w in top.column("token").to_pylist()), top.column("c").to_pylist())), ends, n, v, own)
     shared = spark.sparkContext.broadcast(vocabulary)
+    tails = map_batches(counts, _endings(shared), "g int, n double, v double").groupBy("g").agg(F.sum("n"), F.sum("v")).toArrow()
+    tails = [tails.column(i).to_numpy() for i in range(3)]
+    ending = tails[0] > own
+    vocabulary.add_endings(*[x[ending] for x in tails])
+    discard(counts)
     coded = map_batches(
         rows.withColumn("rid", F.monotonically_increasing_id()), _encoder(shared),
-        "doc_id long, held_out boolean, rid long, n_tokens long, n_inside long, own double, rest double, denominators double, seq binary, rare array<string>",
+        "doc_id long, held_out boolean, rid long, n_tokens long, n_inside long, logs double, seq binary, fine binary, rare array<string>",
     )
     coded = materialize(coded, "lm-coded")
-
-    train = coded.where(~F.col("held_out")).select("seq")
+    shared.unpersist()
     model = Hmm.fresh(vocabulary.mass, states)
+    seqs = coded.where(~F.col("held_out")).select("seq")
     for _ in range(rounds if ends else 0):
-        model = baum_welch_round(model, train, vocabulary.mass)
+        model = baum_welch_round(model, seqs, vocabulary.mass)
+    return coded, vocabulary, model
 
-    rare = coded.select("rid", F.explode("rare").alias("token")).join(counts, "token")
-    rare = rare.groupBy("rid").agg(F.count("*").alias("met"), F.sum(F.log10(F.col("c") + 0.5)).alias("met_log"))
-    scored = map_batches(
-        coded.select("doc_id", "held_out", "rid", "n_tokens", "n_inside", "own", "rest", "denominators", F.size("rare").cast("long").alias("n_rare"), "seq"), _forward(spark.sparkContext.broadcast(model)),
-        "doc_id long, held_out boolean, rid long, n_tokens long, n_inside long, own double, rest double, denominators double, n_rare long, forward double",
-    )
-    met = F.coalesce("met", F.lit(0))
-    words = F.col("rest") + F.coalesce("met_log", F.lit(0.0)) + (F.col("n_rare") - met) * float(np.log10(0.5))
-    return scored.join(rare, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_inside") + met).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("own") + words - F.col("n_tokens") * vocabulary.log_total).alias("base_score"),
-        (F.col("forward") + words - F.col("denominators")).alias("score"),
+
+def score(
+    docs: DataFrame, held_out: Column, text_col: str = "text", id_col: str = "doc_id", states: int = STATES, rounds: int = ROUNDS, own: int = OWN_CLASSES, dictionary: int = DICTIONARY
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns where `held_out` is false."""
+    spark = docs.sparkSession
+    coded, vocabulary, model = train(docs, held_out, text_col, id_col, states, rounds, own, dictionary)
+    shared = spark.sparkContext.broadcast((model, vocabulary.own, vocabulary.size))
+    cols = [f"s{s}" for s in range(states)]
+    learn = coded.where(~F.col("held_out")).select("seq", "fine")
+    sums = _summed(map_batches(learn, _dictionary_counts(shared, states), "g int, " + ", ".join(f"{c} double" for c in cols)), "g", cols)
+    emissions = spark.sparkContext.broadcast(Emissions(model, vocabulary, *sums))
+
+    packs = [f"p{i}" for i in range(-(-states // 4))]
+    rare = map_batches(
+        coded.where(F.size("rare") > 0).select("rid", "held_out", "seq", "fine", "rare"), _rare_words(shared, states), "rid long, j int, token string, n long, " + ", ".join(f"{p} long" for p in packs)
+    )
+    whole = Window.partitionBy("token")
+    sums = [F.sum(F.col("n") * _unpacked(F.col(packs[s // 4]), s)).over(whole).alias(f"s{s}") for s in range(states)]
+    rare = rare.select("rid", "j", F.sum("n").over(whole).alias("c"), *sums)
+    units = [F.coalesce(F.round(F.try_divide(F.col(c) * 65535.0, F.greatest(*cols) if len(cols) > 1 else F.col(c))), F.lit(0.0)).cast("long") for c in cols]
+    units += [F.lit(0).cast("long")] * (-states % 4)
+    packed = [F.shiftleft(units[i], 48).bitwiseOR(F.shiftleft(units[i + 1], 32)).bitwiseOR(F.shiftleft(units[i + 2], 16)).bitwiseOR(units[i + 3]) for i in range(0, len(units), 4)]
+    rare = rare.select("rid", F.struct("j", "c", *[p.alias(f"q{i}") for i, p in enumerate(packed)]).alias("w"))
+    met = rare.groupBy("rid").agg(F.sort_array(F.collect_list("w")).alias("met"))  # a text's own words
+    texts = coded.join(met, "rid", "left").select("doc_id", "held_out", "n_tokens", "n_inside", "logs", "seq", "fine", "met")
+    out = map_batches(texts, _forward(emissions), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double")
+    return out.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(vocabulary.n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * vocabulary.log_total).alias("base_score"), "score",
     )
