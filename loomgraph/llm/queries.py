@@ -66,11 +66,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 OP5_SQL = f"""
-with v as (select vec_id, list_transform(embedding, lambda x: cast(floor({topk_search.SCALE} * cast(x as double)) as bigint)) as e from embeddings
+with v as materialized (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor({topk_search.SCALE} * cast(x as double)) as bigint)) as e from embeddings
     where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-c as (select vec_id, unnest(e) as x, unnest(range(len(e))) as d from v),
-s as (select q.vec_id as query_id, c.vec_id, cast(sum(q.x * c.x) as bigint) as score from c join (select * from c where vec_id % 20 = 0) q on q.d = c.d and q.vec_id <> c.vec_id group by 1, 2)
-select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= {topk_search.TOP_K}"""
+c as (select r, vec_id, unnest(e) as x, unnest(range(len(e))) as d from v),
+s as (select q.r as q, c.r as r, sum(q.x * c.x) as score from c join (select * from c where vec_id % 20 = 0) q on q.d = c.d and q.r <> c.r group by 1, 2
+    union all select q.r, v.r, 0 from v join v q on q.vec_id % 20 = 0 and q.r <> v.r and (len(q.e) = 0 or len(v.e) = 0)),
+named as (select s.q, a.vec_id as query_id, b.vec_id, cast(s.score as bigint) as score from s join v a on s.q = a.r join v b on s.r = b.r)
+select query_id, cast(rank as integer) as rank, vec_id, score from (select *, row_number() over (partition by q order by score desc, vec_id) as rank from named) where rank <= {topk_search.TOP_K}"""
 
 
 def oracle_sql() -> dict[str, str]:

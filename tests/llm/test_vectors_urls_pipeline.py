@@ -13,15 +13,17 @@ from .test_text_operators import DOCS, WORDS, classes, fingerprint_by_hand, line
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(rng.normal(0, 0.3, 24 if i % 7 else 9), 2)], i) for i in range(400)]
-    rows += [(500, None, 1), (501, [0.1, None], 1), (502, [float("nan")], 1), (503, [float("inf")], 1), (None, [1.0] * 24, 1), (504, [], 1), (20, rows[20][1], 5)]
+    rows += [(500, None, 1), (501, [0.1, None], 1), (502, [float("nan")], 1), (503, [float("inf")], 1), (None, [1.0] * 24, 1), (504, [], 1), (20, rows[20][1], 5), (40, rows[41][1], 5), (520, [], 1)]
     rows += [(600 + i, [0.5] * 24, 1) for i in range(30)]
+    rows += [(701, [1e18, 0.0, -0.25], 1), (702, [0.0, 1e30], 1), (720, [0.0, 3e18, 1.5], 1), (740, [1e6] * 24, 1)]  # beyond what a long, or a double's sum, holds
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     vectors = topk_search.quantized(df)
-    fine = [(i, np.floor(64 * np.array(v, np.float32).astype(np.float64)).astype(int)) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [(i, [int(x) for x in np.floor(64 * np.array(v, np.float32).astype(np.float64))]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, qv in {i: v for i, v in fine if i % 20 == 0}.items():
-        got = sorted((-int(np.dot(qv[: len(v)], v[: len(qv)])), i) for i, v in fine if i != q)[:20]
-        want += [(q, r, i, -s) for r, (s, i) in enumerate(got, 1)]
+    for at, (q, qv) in enumerate(fine):
+        if q % 20 == 0:
+            got = sorted((-sum(a * b for a, b in zip(qv, v)), i) for n, (i, v) in enumerate(fine) if n != at)[:20]
+            want += [(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(got, 1)]
     for per_pass in (16384, 5):
         out = topk_search.top_k(vectors.repartition(3), vectors.where("vec_id % 20 = 0"), queries_per_pass=per_pass).collect()
         assert sorted(map(tuple, out)) == sorted(want)
@@ -35,10 +37,11 @@ def test_bounds_prune_without_loss():
     q = c[:20]
     none = np.zeros(0, np.int64)
     best = [(none, none)] * 20
+    seeds = topk_search._seeds(q.astype(float), c[:300].astype(float), 21)
     for lo in range(0, 5000, 700):
-        topk_search.search_block(np.arange(20), q, np.arange(lo, min(5000, lo + 700)), c[lo : lo + 700], 20, best)
+        topk_search.search_block(np.arange(20), q, np.arange(lo, min(5000, lo + 700)), c[lo : lo + 700], 21, best, seeds=seeds)
     for i in range(20):
-        want = sorted((-int(s), j) for j, s in enumerate(c @ q[i]) if j != i)[:20]
+        want = sorted((-int(s), j) for j, s in enumerate(c @ q[i]))[:21]
         assert [(-int(s), int(j)) for s, j in zip(*best[i])] == want
 
 
