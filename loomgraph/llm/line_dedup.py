@@ -1,20 +1,25 @@
 """Line dedup: exact copies by hash, near copies by a segment-partition edit join.
 
-Lines are normalised (A-Z lowered, blanks collapsed); those of at least `min_bytes` take part. Two lines are linked
-if their edit distance, in UTF-8 bytes, is `threshold` or less. A line of length l is cut into threshold + 1 segments; an
+Lines are normalised (A-Z lowered, blanks collapsed); blank lines never take part. Lines that are equal are copies, whatever their length; of those of at least `min_bytes`
+two are also linked if their edit distance, in UTF-8 bytes, is `threshold` or less (shorter ones would be linked with almost anything).
+A line of length l is cut into threshold + 1 segments; an
 edit script of `threshold` edits leaves one untouched, so the partner holds it at one of a few places that
 depend on both lengths. Lines are indexed under (l, segment number, segment), and probe with their own substrings under
 every length from l - threshold to l. Keys that only one line holds go, by an aggregate that is summed up before the shuffle, so
-that a key of a third of all lines is no row more than others; the lines of the rest are verified by
-banded bit-parallel edit distance on what common ends leave.
+that a key of a third of all lines is no row more than others; (key, line) pairs of the keys that are left come by a semi-join, the bytes of each line
+that is in a pair once, and pairs are verified by banded bit-parallel edit distance on what common ends leave.
 
-A key held by many lines is cut into blocks of `GROUP` lines, and each pair of blocks is a task of its own: no group is
+Both joins are preceded by a bitmap of fixed size (`BITS`) over the wanted keys or lines, which keeps most others from being
+shuffled while those are few; it drops none that is wanted, and full of ones it merely lets all through.
+
+A key held by many lines is cut into blocks of `GROUP` lines or `GROUP_BYTES` bytes, and each pair of blocks is a task of its own: no group is
 collected whole and none is capped. Before edit distance, byte-class histograms discard pairs that differ by more
 than 2 * threshold counts, which no pair within the threshold does. A task reports the links that join its
 lines into classes, not all pairs.
 
 The first line of each class (smallest doc_id, nulls last, then line number) stays; the others are removed, also
-within a document. Null texts have no lines. Rows equal in id and text count as one document and are treated alike.
+within a document. Null texts have no lines. Rows equal in id and text count as one document and are treated alike. Lines are told apart by
+128 bits of hash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,8 +35,10 @@ from .components import connected_components
 
 THRESHOLD = 2
 MIN_BYTES = 20
-GROUP = 1024
-BROADCAST_KEYS = 2_000_000  # 16 MB; more are joined
+GROUP, GROUP_BYTES = 1024, 8 << 20
+BITS = 1 << 27  # of a bitmap: 16 MB
+_SHORT = 1 << 20  # lines that a task remembers not to report again
+_IS = [bytes(49 if x == c else 48 for x in range(256)) for c in range(256)]
 
 
 def normal_lines(text: bytes | None, min_bytes: int) -> list[tuple[int, bytes]]:
@@ -98,113 +105,126 @@ def within(a: bytes, b: bytes, threshold: int) -> bool:
         return len(a) + len(b) <= threshold
     n, width = len(a), 2 * threshold + 1
     # Band of diagonals -t..t: bit d of level e is set if diagonal d reaches the column with e errors (Wu-Manber in a band).
-    full = (1 << width) - 1
-    levels = [0] * (threshold + 1)
-    for e in range(threshold + 1):
-        for d in range(width):
-            if abs(d - threshold) <= e and d - threshold >= 0:
-                levels[e] |= 1 << d  # column 0: the first d - t bytes of a deleted
-    for j in range(len(b)):
-        same = 0
-        for d in range(width):  # row of a on diagonal d once byte j of b is read
-            i = j + d - threshold
-            if 0 <= i < n and a[i] == b[j]:
-                same |= 1 << d
-        before, below_old, below_new = levels, 0, 0
-        levels = []
-        for e in range(threshold + 1):
-            now = before[e] & same
-            if e:
-                now |= below_old  # substitution stays on the diagonal
-                now |= below_old >> 1  # a byte of b inserted: one diagonal down
-                now |= (below_new << 1) & full  # a byte of a deleted: one diagonal up
-            ok = 0
-            for d in range(width):
-                if now >> d & 1 and 0 <= j + 1 + d - threshold <= n:
-                    ok |= 1 << d
-            below_old, below_new = before[e], ok
-            levels.append(ok)
+    full, turned, places = (1 << width) - 1, a[::-1], {}
+    levels = [((1 << (e + 1)) - 1) << threshold for e in range(threshold + 1)]  # column 0: the first bytes of a deleted
+    for j, byte in enumerate(b):
+        at = places.get(byte)
+        if at is None:
+            at = places[byte] = int(turned.translate(_IS[byte]), 2)  # bit i: a[i] is this byte
+        same = (at >> (j - threshold) if j >= threshold else at << (threshold - j)) & full
+        inside = (1 << max(0, min(width, n - j + threshold))) - 1  # rows 0 to n of a
+        if j + 1 < threshold:
+            inside &= -1 << (threshold - j - 1)
+        old, below_old, below_new, levels = levels, 0, 0, []
+        for e, before in enumerate(old):
+            now = before & same
+            if e:  # a substitution stays on the diagonal, a byte of b goes one down, a byte of a one up
+                now |= below_old | below_old >> 1 | below_new << 1
+            below_old, below_new = before, now & inside & full
+            levels.append(below_new)
         if not levels[-1]:
             return False
     last = n - len(b) + threshold
     return 0 <= last < width and bool(levels[-1] >> last & 1)
 
 
-def _occurrences(min_bytes: int):
-    def run(batches):
-        for batch in batches:
-            h1, h2, sizes, nums, counts = [], [], [], [], []
-            for text in raw_bytes(batch.column("_text")):
-                lines = normal_lines(text, min_bytes)
-                counts.append(len(lines))
-                for n, line in lines:
-                    d = xxhash.xxh3_128_intdigest(line)
-                    h1.append(d & 0xFFFFFFFFFFFFFFFF)
-                    h2.append(d >> 64)
-                    nums.append(n)
-            del sizes
-            at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("dk").take(at), batch.column("th").take(at), pa.array(nums, pa.int32()), signed(h1), signed(h2)], names=["dk", "th", "ln", "h1", "h2"])
+def _signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+def _halves(digests: list[int]) -> list[pa.Array]:
+    return [pa.array(_signed([d & 0xFFFFFFFFFFFFFFFF for d in digests])), pa.array(_signed([d >> 64 for d in digests]))]
 
-    return run
+
+def _occurrences(batches):
+    for batch in batches:
+        digests, nums, counts = [], [], []
+        for text in raw_bytes(batch.column("_text")):
+            lines = normal_lines(text, 1)
+            counts.append(len(lines))
+            for n, line in lines:
+                digests.append(xxhash.xxh3_128_intdigest(line))
+                nums.append(n)
+        at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        yield pa.RecordBatch.from_arrays([batch.column("dk").take(at), batch.column("th").take(at), pa.array(nums, pa.int32()), *_halves(digests)], names=["dk", "th", "ln", "h1", "h2"])
+
+
+def _new_lines(batches, min_bytes: int):
+    """Lists of (digest, line) of a batch, without lines that this task has lately seen."""
+    done: set[int] = set()
+    for batch in batches:
+        out = []
+        if len(done) > _SHORT:
+            done.clear()
+        for text in raw_bytes(batch.column("_text")):
+            for _, line in normal_lines(text, min_bytes):
+                d = xxhash.xxh3_128_intdigest(line)
+                if d not in done:
+                    done.add(d)
+                    out.append((d, line))
+        yield out
 
 
 def _keys(min_bytes: int, threshold: int):
     def run(batches):
-        done: set[int] = set()
-        for batch in batches:
+        for lines in _new_lines(batches, min_bytes):
             keys, owners, roles = [], [], []
-            if len(done) > 2_000_000:
-                done.clear()
-            for text in raw_bytes(batch.column("_text")):
-                for _, line in normal_lines(text, min_bytes):
-                    h = xxhash.xxh3_128_intdigest(line) & 0xFFFFFFFFFFFFFFFF
-                    if h in done:
-                        continue
-                    done.add(h)
-                    todo = plan(len(line), threshold)
-                    keys += [xxhash.xxh3_64_intdigest(line[a:b], s) for s, a, b, _ in todo]
-                    roles += [r for *_, r in todo]
-                    owners += [h] * len(todo)
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([signed(keys), signed(owners), pa.array(roles, pa.int8())], names=["key", "h1", "role"])
+            for d, line in lines:
+                todo = plan(len(line), threshold)
+                keys += [xxhash.xxh3_64_intdigest(line[a:b], s) for s, a, b, _ in todo]
+                roles += [r for *_, r in todo]
+                owners += [d & 0xFFFFFFFFFFFFFFFF] * len(todo)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(_signed(owners)), pa.array(roles, pa.int8())], names=["key", "h1", "role"])
 
     return run
 
 
-def _holders(min_bytes: int, threshold: int, shared):
-    """(key, h1, line) of the lines that hold a wanted key; without `shared` of all lines."""
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of the last bits of `column`: at most BITS / 8 bytes, whatever the table."""
+    at = F.col(column).bitwiseAND(F.lit(BITS - 1)) + 1
+    got = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toArrow()
+    out = np.zeros((-(-BITS // 32768), 4096), np.uint8)
+    for b, bits in zip(got.column("b").to_pylist(), got.column("bits").to_pylist()):
+        out[b - 1] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
+
+
+def _met(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values & (BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _pairs(min_bytes: int, threshold: int, shared):
+    """(key, h1, h2, size) of lines and those of their keys that the bitmap lets through."""
 
     def run(batches):
-        wanted = None if shared is None else shared.value
-        done: set[int] = set()
-        for batch in batches:
-            keys, owners, lines = [], [], []
-            if len(done) > 2_000_000:
-                done.clear()
-            for text in raw_bytes(batch.column("_text")):
-                for _, line in normal_lines(text, min_bytes):
-                    h = xxhash.xxh3_128_intdigest(line) & 0xFFFFFFFFFFFFFFFF
-                    if h not in done:
-                        done.add(h)
-                        keys.append([xxhash.xxh3_64_intdigest(line[a:b], s) for s, a, b, _ in plan(len(line), threshold)])
-                        owners.append(h)
-                        lines.append(line)
-            signed = lambda x: np.array(x, np.uint64).view(np.int64)
-            flat = signed([k for ks in keys for k in ks])
+        bits = shared.value
+        for lines in _new_lines(batches, min_bytes):
+            keys = [[xxhash.xxh3_64_intdigest(line[a:b], s) for s, a, b, _ in plan(len(line), threshold)] for _, line in lines]
+            flat = _signed([k for ks in keys for k in ks])
             at = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])
-            if wanted is not None and len(flat):
-                place = np.searchsorted(wanted, flat)
-                place[place == len(wanted)] = 0
-                hit = wanted[place] == flat if len(wanted) else np.zeros(len(flat), bool)
-                flat, at = flat[hit], at[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(signed(owners)[at]), pa.array(lines, pa.binary()).take(pa.array(at))], names=["key", "h1", "line"])
+            hit = _met(bits, flat)
+            at = pa.array(at[hit])
+            sizes = pa.array([len(line) for _, line in lines], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), *[h.take(at) for h in _halves([d for d, _ in lines])], sizes.take(at)], names=["key", "h1", "h2", "size"])
 
     return run
 
 
-def links_in(ids: list[int], lines: list[bytes], sides: list[int], threshold: int) -> list[tuple[int, int]]:
+def _bytes(min_bytes: int, shared):
+    """(h1, h2, line) of the lines that the bitmap lets through."""
+
+    def run(batches):
+        bits = shared.value
+        for lines in _new_lines(batches, min_bytes):
+            h1, h2 = _halves([d for d, _ in lines])
+            hit = pa.array(np.flatnonzero(_met(bits, h1.to_numpy())))
+            yield pa.RecordBatch.from_arrays([h1.take(hit), h2.take(hit), pa.array([line for _, line in lines], pa.binary()).take(hit)], names=["h1", "h2", "line"])
+
+    return run
+
+
+def links_in(ids: list, lines: list[bytes], sides: list[int], threshold: int) -> list[tuple]:
     """Links that join the lines of one group into classes; sides: 0 and 1 are compared with each other, 2 with all."""
     n = len(ids)
     root = list(range(n))
@@ -243,65 +263,68 @@ def _verify(threshold: int):
     def run(batches):
         held: tuple | None = None
         ids, lines, sides = [], [], []
+
+        def found():
+            got = links_in(ids, lines, sides, threshold) if len(ids) > 1 else []
+            ends = [pa.array([(x[i][0] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") + (x[i][1] & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "big") for x in got], pa.binary()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(ends, names=["u", "v"])
+
         for batch in batches:
-            found = []
             groups = zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j")])
-            for group, h, line, side in zip(groups, batch.column("h1").to_pylist(), batch.column("line").to_pylist(), batch.column("side").to_pylist()):
+            for group, *row in zip(groups, *[batch.column(c).to_pylist() for c in ("h1", "h2", "line", "side")]):
                 if group != held:
-                    if len(ids) > 1:
-                        found += links_in(ids, lines, sides, threshold)
+                    yield found()
                     held, ids, lines, sides = group, [], [], []
-                ids.append(h)
-                lines.append(line)
-                sides.append(side)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
-        if len(ids) > 1:
-            found = links_in(ids, lines, sides, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
+                ids.append((row[0], row[1]))
+                lines.append(row[2])
+                sides.append(row[3])
+        yield found()
 
     return run
 
 
 def near_links(rows: DataFrame, threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES, group: int = GROUP) -> DataFrame:
-    """Edges (u, v) between line ids; `rows(_text)`."""
+    """Edges (u, v) between lines, by the 16 bytes of their hashes; `rows(_text)`."""
     spark = rows.sparkSession
-    keys = map_batches(rows.select("_text"), _keys(min_bytes, threshold), "key long, h1 long, role byte")
+    texts = rows.select("_text")
+    keys = map_batches(texts, _keys(min_bytes, threshold), "key long, h1 long, role byte")
     held = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("role").alias("r")).where("a <> b and r = 0").select("key")
     held = materialize(held, "line-keys")  # keys that two lines hold, one of them as its own segment
-    n = held.count()
-    ids = spark.sparkContext.broadcast(np.sort(held.toArrow().column("key").to_numpy())) if n <= BROADCAST_KEYS else None
-    shared = map_batches(rows.select("_text"), _holders(min_bytes, threshold, ids), "key long, h1 long, line binary")
-    if ids is None:
-        shared = shared.join(held, "key", "left_semi")
-    shared = materialize(shared.groupBy("key", "h1").agg(F.min("line").alias("line")), "line-holders")
-    sizes = shared.groupBy("key").agg(F.count("*").alias("k"))
-    put = shared.join(sizes, "key").withColumn("nb", F.ceil(F.col("k") / group).cast("int"))
+    pairs = map_batches(texts, _pairs(min_bytes, threshold, spark.sparkContext.broadcast(bitmap(held, "key"))), "key long, h1 long, h2 long, size long")
+    pairs = materialize(pairs.join(held, "key", "left_semi").distinct(), "line-pairs")
+    wanted = materialize(pairs.select("h1", "h2").distinct(), "line-wanted")
+    bodies = map_batches(texts, _bytes(min_bytes, spark.sparkContext.broadcast(bitmap(wanted, "h1"))), "h1 long, h2 long, line binary")
+    bodies = materialize(bodies.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.any_value("line").alias("line")), "line-bytes")
+    blocks = F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("size") / GROUP_BYTES)).cast("int")
+    put = pairs.join(pairs.groupBy("key").agg(blocks.alias("nb")), "key")
     put = put.withColumn("at", F.pmod(F.xxhash64("h1"), F.col("nb")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    put = put.select("key", "h1", "line", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side"))
-    put = put.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1")
-    return map_batches(put, _verify(threshold), "u long, v long").distinct()
+    side = F.when(F.col("at") == F.col("o"), 2).when(F.col("at") < F.col("o"), 0).otherwise(1).alias("side")
+    put = put.select("key", "h1", "h2", F.least("at", "o").alias("i"), F.greatest("at", "o").alias("j"), side).join(bodies, ["h1", "h2"])
+    put = put.select("key", "i", "j", "h1", "h2", "line", "side").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1", "h2")
+    return map_batches(put, _verify(threshold), "u binary, v binary").distinct()
 
 
 def kept_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(dk, th, kept array<int>): the numbers of the lines that a document keeps among those that take part."""
+    """(dk, th, kept array<int>): the numbers of the lines that a document keeps, of those that are not blank."""
     rows = docs.select(*doc_key(id_col, text_col), F.col(text_col).alias("_text"))
     place = F.struct((F.col("dk") == -(2**63)).alias("none"), "dk", "th", "ln")
-    seen = map_batches(rows, _occurrences(min_bytes), "dk long, th long, ln int, h1 long, h2 long")
+    seen = map_batches(rows, _occurrences, "dk long, th long, ln int, h1 long, h2 long")
     lines = materialize(seen.groupBy("h1", "h2").agg(F.min(place).alias("first")), "lines")
     roots = materialize(connected_components(near_links(rows, threshold, min_bytes)), "line-roots")
-    tied = lines.join(roots.withColumnRenamed("id", "h1"), "h1", "left")
+    half = lambda at: F.conv(F.hex(F.substring("id", at, 8)), 16, -10).cast("long")
+    tied = lines.join(roots.select(half(1).alias("h1"), half(9).alias("h2"), "root"), ["h1", "h2"], "left")
     alone = tied.where("root is null").select("first")
     led = tied.where("root is not null").groupBy("root").agg(F.min("first").alias("first")).select("first")
     return alone.unionAll(led).select("first.*").groupBy("dk", "th").agg(F.sort_array(F.collect_list("ln")).alias("kept"))
 
 
-def _cleaner(text_col: str, min_bytes: int):
+def _cleaner(text_col: str):
     def run(batches):
         for batch in batches:
             texts, removed, totals = [], [], []
             for text, kept in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column("_loom_kept").to_pylist()):
                 kept = set(kept or ())
-                gone = [n for n, _ in normal_lines(text, min_bytes) if n not in kept]
+                gone = [n for n, _ in normal_lines(text, 1) if n not in kept]
                 removed.append(gone)
                 raw = text.split(b"\n") if text is not None else []
                 totals.append(len(raw))
@@ -323,4 +346,4 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     keyed = docs.withColumns({"_loom_dk": dk, "_loom_th": th})
     both = keyed.join(kept.select(F.col("dk").alias("_loom_dk"), F.col("th").alias("_loom_th"), F.col("kept").alias("_loom_kept")), ["_loom_dk", "_loom_th"], "left").select(*[keyed[c] for c in docs.columns], "_loom_kept")
     ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text_col)
-    return map_batches(both, _cleaner(text_col, min_bytes), f"{ddl}, `{text_col}` string, n_lines long, removed array<int>")
+    return map_batches(both, _cleaner(text_col), f"{ddl}, `{text_col}` string, n_lines long, removed array<int>")
