@@ -9,8 +9,9 @@ so by the pigeonhole rule every pair within 63 bits meets in some block. At simi
 with a deviation under 6; pairs that meet are verified exactly. Windows that share no shingle with any
 item of their size have similarity 0 and are skipped before hashing, which loses nothing.
 
-Items are taken in blocks of `ITEMS_PER_PASS`, each a bounded broadcast; the corpus is read once for each block.
-Words are A-Z lowered runs of non-blanks. Null or wordless texts and items never match; repeated items all report;
+Items are taken in blocks of `ITEMS_PER_PASS` or `PASS_BYTES`, each a bounded broadcast (but for an item that is longer by itself); the corpus is read once for each block.
+Items and texts may have any length: sums over long windows slide, and similarities are counted up and down as a window slides.
+Words are A-Z lowered runs of non-blanks. Null or wordless texts and items never match; repeated items and repeated document rows all report; an empty table gives no rows;
 result: one row for a document row and item, the best window, the first among equals.
 """
 
@@ -33,7 +34,8 @@ SIMILARITY = 0.8
 BLOCKS, BLOCK_RADIUS = 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 ITEMS_PER_PASS = 2048
-MAX_ITEM_BYTES = 1 << 20
+PASS_BYTES = 32 << 20
+CHUNK = 4096  # windows or shingles hashed at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,6 +52,13 @@ def votes(grams: list[bytes]) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
+def vote_sum(grams: list[bytes]) -> np.ndarray:
+    total = np.zeros(256, np.int64)
+    for lo in range(0, len(grams), CHUNK):
+        total += votes(grams[lo : lo + CHUNK]).sum(0)
+    return total
+
+
 def packed(total: np.ndarray) -> np.ndarray:
     """Vote sums (n, 256) -> fingerprints (n, 16) of 16-bit blocks."""
     return np.packbits(total > 0, axis=1).view(np.uint16).reshape(len(total), BLOCKS)
@@ -77,7 +86,7 @@ class Index:
         self.key_sizes = {k: tuple(v) for k, v in by_key.items()}
         self.sorted_keys = np.array(sorted(by_key), np.uint64)
         self.short = {len(ws) for _, ws in self.items if len(ws) < SHINGLE}
-        self.prints = packed(np.array([votes(shingles(w)).sum(0) for _, w in self.items], np.int32).reshape(-1, 256)) if self.items else np.zeros((0, BLOCKS), np.uint16)
+        self.prints = packed(np.array([vote_sum(shingles(w)) for _, w in self.items], np.int64).reshape(-1, 256)) if self.items else np.zeros((0, BLOCKS), np.uint16)
         flips = np.array([sum(1 << b for b in c) for r in range(BLOCK_RADIUS + 1) for c in combinations(range(16), r)], np.uint16)
         self.posts = []
         for b in range(BLOCKS):
@@ -143,27 +152,60 @@ class Index:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                for lo in range(a, b + 1, 4096):
-                    self._windows(words, size, lo, min(b, lo + 4095), best, {size})
+                self._windows(words, size, a, b, best, {size})
         if longer:
             self._windows(words, n, 0, 0, best, longer)
         return [(k, *v) for k, v in sorted(best.items())]
 
     def _windows(self, words, size, a, b, best, item_sizes):
-        grams = shingles(words[a : b + size])
-        width = max(1, size - SHINGLE + 1)
-        if size < SHINGLE:
-            grams = [b" ".join(words[s : s + size]) for s in range(a, b + 1)]
-        sums = np.vstack([np.zeros((1, 256), np.int32), np.cumsum(votes(grams), axis=0, dtype=np.int32)])
-        prints = packed(sums[width:] - sums[:-width])
-        for s, met in enumerate(self.near(prints)):
-            met = [k for k in met.tolist() if self.sizes[k] in item_sizes]
-            if met:
-                bag = Counter(grams[s : s + width])
-                for k in met:
-                    sim = weighted_jaccard(bag, self.bags[k])
-                    if sim >= SIMILARITY and (k not in best or sim > best[k][0]):
-                        best[k] = (sim, a + s, size)
+        """Windows of `size` words that start at a to b, chunk by chunk; a window's vote sum is the one before less what left, plus what came."""
+        span, width = min(SHINGLE, size), max(1, size - SHINGLE + 1)
+        grams = lambda lo, hi: [b" ".join(words[i : i + span]) for i in range(lo, hi)]
+        total = None
+        for lo in range(a, b + 1, CHUNK):
+            hi = min(b, lo + CHUNK - 1)
+            if width <= CHUNK:
+                sums = np.vstack([np.zeros((1, 256), np.int32), np.cumsum(votes(grams(lo, hi + width)), axis=0, dtype=np.int32)])
+                sums = sums[width:] - sums[:-width]
+            else:
+                if total is None:
+                    total = np.zeros(256, np.int64)
+                    for at in range(lo, lo + width, CHUNK):
+                        total += votes(grams(at, min(at + CHUNK, lo + width))).sum(0)
+                last = hi + 1 if hi < b else hi
+                moves = votes(grams(lo + width, last + width)) - votes(grams(lo, last)) if last > lo else np.zeros((0, 256), np.int32)
+                sums = total + np.vstack([np.zeros((1, 256), np.int64), np.cumsum(moves, axis=0, dtype=np.int64)])
+                total, sums = sums[-1], sums[: hi - lo + 1]
+            met: dict[int, list[int]] = defaultdict(list)
+            for s, near in enumerate(self.near(packed(sums)), lo):
+                for k in near.tolist():
+                    if self.sizes[k] in item_sizes:
+                        met[k].append(s)
+            for k, starts in met.items():
+                self._compare(words, span, width, starts, k, best, size)
+
+    def _compare(self, words, span, width, starts, k, best, size):
+        """Weighted Jaccard of item k and the windows at `starts`, counted on as the window slides."""
+        bag = self.bags[k]
+        items, now, both, count = sum(bag.values()), -1, 0, {}
+        for s in starts:
+            if now < 0 or s - now > width:
+                count, both, now = {}, 0, s
+                todo = [(1, i) for i in range(s, s + width)]
+            else:
+                todo = [x for i in range(now, s) for x in ((-1, i), (1, i + width))]
+                now = s
+            for way, i in todo:
+                g = b" ".join(words[i : i + span])
+                most = bag.get(g)
+                if most is not None:
+                    c = count.get(g, 0)
+                    count[g] = c + way
+                    if (c < most) if way > 0 else (c <= most):
+                        both += way
+            sim = both / (width + items - both)
+            if sim >= SIMILARITY and (k not in best or sim > best[k][0]):
+                best[k] = (sim, s, size)
 
 
 _BUILT: dict[str, Index] = {}
@@ -194,10 +236,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """doc_id, dk, th (the row's key), item_id, similarity, start_word, n_words."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null")
-    total, most = items.agg(F.count("*"), F.max(F.octet_length("t"))).first()
-    if (most or 0) > MAX_ITEM_BYTES:
-        raise ValueError(f"a benchmark item of {most} bytes; {MAX_ITEM_BYTES} at most")
-    passes = max(1, -(-total // items_per_pass))
+    total, size = items.agg(F.count("*"), F.sum(F.octet_length("t"))).first()
+    passes = max(1, -(-total // items_per_pass), -(-(size or 0) // PASS_BYTES))
     passes = passes if passes == 1 else 2 * passes
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *doc_key(id_col, text_col), F.col(text_col).alias("_text"))
     out = []
