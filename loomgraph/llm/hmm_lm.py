@@ -4,8 +4,8 @@ Tokens are A-Z lowered runs of non-blanks, then one end. A token belongs to a cl
 have classes of their own, all others the class of their last two bytes.
 
 Training: Baum-Welch over classes, every one of the `rounds` over all training texts, whole. Partitions return expected counts,
-which are summed by class with an aggregate. The last maximisation is by word: a last forward-backward pass gives the expected
-count of every training word in every state, and
+which are summed by class with an aggregate. One more round is by word: its forward-backward pass gives the expected
+count of every training word in every state, and, beside start and moves,
 
     emission(word | s) = (count(word, s) + 1/2 share(s | class)) / (count(s) + 1/2 sum over classes of share(s | class) * words),
 
@@ -40,7 +40,7 @@ STATES = 8
 OWN_CLASSES = 8192
 ENDINGS = 512
 DICTIONARY = 262_144
-ROUNDS = 8
+ROUNDS = 7  # by class; one more by word
 PRIOR = 200.0
 FLUSH = 400_000
 BATCH = 400_000
@@ -155,6 +155,23 @@ def _encoder(shared):
     return run
 
 
+_SPACE: dict[tuple[str, int], np.ndarray] = {}
+
+
+def _space(name: str, rows: int, k: int) -> np.ndarray:
+    """A work array that is used again from batch to batch."""
+    got = _SPACE.get((name, k))
+    if got is None or len(got) < rows:
+        got = _SPACE[name, k] = np.empty((max(rows, BATCH), k))
+    return got[:rows]
+
+
+def _by_symbol(ids: np.ndarray, shares: np.ndarray, size: int) -> np.ndarray:
+    """(states, size): sums of the rows of each id."""
+    ids, columns = ids.astype(np.intp), np.ascontiguousarray(shares.T)
+    return np.stack([np.bincount(ids, c, size) for c in columns])
+
+
 class Packed:
     """Sequences, longest first, laid out step by step: the tokens of step t are the rows off[t] to off[t] + live[t]."""
 
@@ -220,8 +237,9 @@ class Hmm:
     def _alphas(self, pack: Packed, lift: np.ndarray, a: int, b: int, before: np.ndarray | None, logs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, dict]:
         """Emissions and alphas of the steps a to b, and by what some steps were scaled."""
         live, off, base = pack.live, pack.off, pack.off[a]
-        shown = lift[pack.ids[base : off[b]]]
-        out, buf, scales = np.empty_like(shown), np.empty((live[a], shown.shape[1])), {}
+        size, k = off[b] - base, lift.shape[1]
+        shown = np.take(lift, pack.ids[base : off[b]], axis=0, out=_space("shown", size, k), mode="clip")
+        out, buf, scales = _space("alphas", size, k), np.empty((live[a], k)), {}
         for t in range(a, b):
             n, o = live[t], off[t] - base
             now = out[o : o + n]
@@ -271,7 +289,7 @@ class Hmm:
         for a, b, before in reversed(edges):
             shown, alphas, scales, base = got if got is not None else (*self._alphas(pack, lift, a, b, before, None), off[a])
             got = None
-            share = np.empty_like(alphas)
+            share = _space("share", len(alphas), k)
             for t in range(b - 1, a - 1, -1):
                 n, o = live[t], off[t] - base
                 rest, now = beta[:n], shown[o : o + n]
@@ -284,7 +302,7 @@ class Hmm:
             steps = np.array(live[a:b])
             if b - a > 1:
                 prev = np.arange(n0, len(alphas)) - np.repeat(steps[:-1], steps[1:])
-                moves += alphas[prev].T @ shown[n0:]
+                moves += np.take(alphas, prev, axis=0, out=_space("before", len(prev), k), mode="clip").T @ shown[n0:]
             if ahead is not None:
                 last = off[b - 1] - base
                 moves += alphas[last : last + len(ahead)].T @ ahead
@@ -297,7 +315,7 @@ class Hmm:
     def expected(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts (start, move, emit) and the log-likelihood of whole sequences, by forward-backward."""
         k = len(self.start)
-        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, len(self.emit))), 0.0
+        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.T.shape), 0.0
         lift, mean = self._lift()
         for part in batches_of(seqs):
             run = self.posteriors(Packed([seqs[i] for i in part]), lift, mean)
@@ -307,24 +325,21 @@ class Hmm:
                 except StopIteration as done:
                     s, m, logs = done.value
                     break
-                for i in range(k):
-                    emits[i] += np.bincount(ids, share[:, i], len(self.emit))
+                emits += _by_symbol(ids, share, len(self.emit))
             starts, moves, total = starts + s, moves + m, total + logs
         return starts, moves, emits.T, total
 
-    def state_shares(self, seqs: list[np.ndarray]) -> list[np.ndarray]:
-        """Per sequence (tokens, k): the states' posterior shares."""
-        out: list = [None] * len(seqs)
+    def state_shares(self, seqs: list[np.ndarray]):
+        """Yields (place, shares (tokens, k)): the states' posterior shares of each sequence."""
         lift, mean = self._lift()
         for part in batches_of(seqs):
             pack = Packed([seqs[i] for i in part])
-            whole = np.empty((len(pack.ids), len(self.start)))
+            whole = _space("whole", len(pack.ids), len(self.start))
             for base, ids, share in self.posteriors(pack, lift, mean):
                 whole[base : base + len(ids)] = share
             flat = whole[pack.pos]
             for i, a, n in zip(part, pack.first, pack.sizes):
-                out[i] = flat[a : a + n]
-        return out
+                yield i, flat[a : a + n]
 
     @classmethod
     def from_counts(cls, starts, moves, emits, mass) -> Hmm:
@@ -398,24 +413,49 @@ def _in_texts(batch, own: int):
     return out
 
 
+def _held_texts(batches, own: int, *more: str):
+    """Lists of (classes, places, other columns) of about `HOLD` tokens, so that texts of like length meet."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(_in_texts(batch, own), *[batch.column(c).to_pylist() for c in more]):
+            held.append(row)
+            size += len(row[0][0])
+            if size >= HOLD:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _dictionary_counts(shared, states: int):
-    """Expected counts of dictionary words by place; those of whole classes of endings by the places past the dictionary."""
+    """Expected counts of start (g = -1), move (below) and dictionary words by place; those of classes of endings by the places past the dictionary."""
 
     def run(batches):
         model, own, size = shared.value
-        sums = np.zeros((states, size + 1 + ENDINGS))
-        for batch in batches:
-            texts = _in_texts(batch, own)
-            if not texts:
-                continue
-            shares = np.concatenate(model.state_shares([c for c, _ in texts]))
-            classes, at = (np.concatenate(x) for x in zip(*texts))
-            inside, ends = at <= size, classes > own
-            for s in range(states):
-                sums[s, : size + 1] += np.bincount(at[inside], shares[inside, s], size + 1)
-                sums[s, size + 1 :] += np.bincount(classes[ends].astype(np.int64) - own - 1, shares[ends, s], ENDINGS)
+        lift, mean = model._lift()
+        sums, starts, moves = np.zeros((states, size + 1 + ENDINGS)), np.zeros(states), np.zeros((states, states))
+        for texts in _held_texts(batches, own):
+            texts = [t for (t,) in texts]
+            for part in batches_of([c for c, _ in texts]):
+                pack = Packed([texts[i][0] for i in part])
+                places = np.empty(len(pack.ids), np.int64)
+                places[pack.pos] = np.concatenate([texts[i][1] for i in part])
+                run = model.posteriors(pack, lift, mean)
+                while True:
+                    try:
+                        base, ids, share = next(run)
+                    except StopIteration as done:
+                        starts, moves = starts + done.value[0], moves + done.value[1]
+                        break
+                    at = places[base : base + len(ids)]
+                    fine = np.where(at <= size, at, size + 1 + ENDINGS)  # words past the dictionary are left to their own pass
+                    sums += _by_symbol(fine, share, size + 2 + ENDINGS)[:, :-1]
+                    ends = np.flatnonzero(ids > own)
+                    sums[:, size + 1 :] += _by_symbol(ids[ends].astype(np.int64) - own - 1, share[ends], ENDINGS)
         at = np.flatnonzero(sums.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(sums[s, at]) for s in range(states)]], names=["g", *[f"s{s}" for s in range(states)]])
+        g = np.concatenate([at, np.arange(-states - 1, 0)])
+        rows = np.hstack([sums[:, at], moves.T, starts[:, None]])
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), *[pa.array(rows[s]) for s in range(states)]], names=["g", *[f"s{s}" for s in range(states)]])
 
     return run
 
@@ -436,24 +476,28 @@ def _rare_words(shared, states: int):
 
     def run(batches):
         model, own, size = shared.value
-        for batch in batches:
-            texts = _in_texts(batch, own)
-            held = batch.column("held_out").to_pylist()
-            words = batch.column("rare")
-            counts = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        for held in _held_texts(batches, own, "rid", "held_out", "rare"):
+            counts = np.array([len(words) for *_, words in held])
             first = np.cumsum(counts) - counts
             n, sums = np.zeros(counts.sum(), np.int64), np.zeros((states, counts.sum()))
-            learn = [i for i, h in enumerate(held) if not h and counts[i]]
-            for i, share in zip(learn, model.state_shares([texts[i][0] for i in learn])):
-                past = np.flatnonzero(texts[i][1] > size)
-                j, here = texts[i][1][past] - size - 1, slice(first[i], first[i] + counts[i])
-                n[here] = np.bincount(j, minlength=counts[i])
-                for s in range(states):
-                    sums[s, here] = np.bincount(j, share[past, s], counts[i])
+            learn = [i for i, (*_, out, _) in enumerate(held) if not out]
+            for i, share in model.state_shares([held[i][0][0] for i in learn]):
+                i = learn[i]
+                at = held[i][0][1]
+                past = np.flatnonzero(at > size)
+                here = slice(first[i], first[i] + counts[i])
+                n[here] = np.bincount(at[past] - size - 1, minlength=counts[i])
+                sums[:, here] = _by_symbol(at[past] - size - 1, share[past], counts[i])
             packs = _pack((sums / np.maximum(n, 1)).T)
-            rid = batch.column("rid").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+            rid = np.repeat(np.array([rid for _, rid, *_ in held], np.int64), counts)
             j = np.arange(counts.sum()) - np.repeat(first, counts)
-            yield pa.RecordBatch.from_arrays([rid, pa.array(j.astype(np.int32)), words.flatten(), pa.array(n), *map(pa.array, packs)], names=["rid", "j", "token", "n", *[f"p{i}" for i in range(len(packs))]])
+            words = pa.array([w for *_, words in held for w in words], pa.string())
+            for lo in range(0, len(j), 100_000):
+                cut = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rid[cut]), pa.array(j[cut].astype(np.int32)), words[cut], pa.array(n[cut]), *[pa.array(p[cut]) for p in packs]],
+                    names=["rid", "j", "token", "n", *[f"p{i}" for i in range(len(packs))]],
+                )
 
     return run
 
@@ -461,11 +505,16 @@ def _rare_words(shared, states: int):
 class Emissions:
     """Emissions of the dictionary's words, and what gives those of other words."""
 
-    def __init__(self, model: Hmm, vocabulary: Vocabulary, places: np.ndarray, counts: np.ndarray):
-        k = len(model.start)
+    def __init__(self, vocabulary: Vocabulary, places: np.ndarray, counts: np.ndarray):
+        k = counts.shape[1]
         self.own, self.size = vocabulary.own, vocabulary.size
-        whole = np.zeros((self.size + 1 + ENDINGS, k))
-        whole[places] = counts
+        whole, starts, moves = np.zeros((self.size + 1 + ENDINGS, k)), np.zeros(k), np.zeros((k, k))
+        for g, row in zip(places[places < 0].tolist(), counts[places < 0]):
+            if g == -1:
+                starts = row
+            else:
+                moves[g + k + 1] = row
+        whole[places[places >= 0]] = counts[places >= 0]
         words, ends = whole[: self.size + 1], whole[self.size + 1 :]
         seen = np.zeros((vocabulary.classes, k))
         single = 1 + min(self.own, self.size)
@@ -474,7 +523,7 @@ class Emissions:
         self.share = np.where(total > 0, seen / np.where(total > 0, total, 1), 1 / k)  # of states, by class
         self.norm = seen.sum(0) + 0.5 * (self.share * vocabulary.words[:, None]).sum(0)
         emit = (words + 0.5 * self.share[vocabulary.cls]) / self.norm
-        self.model = Hmm(model.start, model.move, emit)
+        self.model = Hmm((starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), emit)
 
     def others(self, classes: np.ndarray, counts: np.ndarray, shares: np.ndarray) -> np.ndarray:
         total = shares.sum(1, keepdims=True)
@@ -554,7 +603,7 @@ def score(
     cols = [f"s{s}" for s in range(states)]
     learn = coded.where(~F.col("held_out")).select("seq", "fine")
     sums = _summed(map_batches(learn, _dictionary_counts(shared, states), "g int, " + ", ".join(f"{c} double" for c in cols)), "g", cols)
-    emissions = spark.sparkContext.broadcast(Emissions(model, vocabulary, *sums))
+    emissions = spark.sparkContext.broadcast(Emissions(vocabulary, *sums))
 
     packs = [f"p{i}" for i in range(-(-states // 4))]
     rare = map_batches(
