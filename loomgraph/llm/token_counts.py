@@ -1,20 +1,22 @@
 """Edit-aware token counts: a segment tree of pre-tokens for each document.
 
-A leaf covers up to `LEAF` pre-tokens (its characters and tokens); inner nodes hold the sums of their children.
+A leaf covers up to `LEAF` pre-tokens (its characters and tokens) when it is built; inner nodes hold the sums of their children.
 An edit (start, stop, insert; code points of the text as it was) re-encodes only the leaves that it touches, plus
 boundary context: scanning starts at the last leaf boundary whose pre-tokens cannot have looked at an edited
 character, and goes on until a pre-token ends on an old leaf boundary past the edit. The scanner keeps nothing but
-its position, so from there on old leaves stay valid; sums on the paths to the root are updated, the rest is kept.
+its position, so from there on old leaves stay valid. Leaves are found by descent, what was scanned anew is dealt over the leaves that it replaces (some may
+become larger, or empty), and the sums on their paths to the root are updated: an edit costs its own leaves times the tree's height. Only where leaves would grow past
+`GROWN` times their size, after large insertions, is the tree built anew.
 
 Results equal a full encoding of the edited text (tests). Null texts are empty; an edit outside the text is clamped;
-overlapping edits are refused; edits apply in order of position.
+edits apply in order of position, and one that begins inside the one before it begins at its end; one that ends before it starts only inserts. Repeated rows are edited
+each for itself, texts of any length whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_right
 from functools import lru_cache
 from pathlib import Path
 
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 LEAF = 32
+GROWN = 4
 LOOKAHEAD = 3  # characters past its end that the pattern may look at
 CACHE = 400_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -64,17 +67,42 @@ class Counter:
 
 
 class Tree:
-    """Sums over leaves in an array heap; `chars` and `tokens` per leaf."""
+    """Sums over leaves in a heap whose leaves are filled up to a power of two, so that positions are found by descent."""
 
     def __init__(self, chars: list[int], tokens: list[int]):
-        self.n = n = len(chars)
-        self.chars, self.tokens = [0] * n + chars, [0] * n + tokens
+        self.used, self.n = len(chars), 1
+        while self.n < self.used:
+            self.n *= 2
+        n, rest = self.n, [0] * (self.n - self.used)
+        self.chars, self.tokens = [0] * n + chars + rest, [0] * n + tokens + rest
         for sums in (self.chars, self.tokens):
             for i in range(n - 1, 0, -1):
                 sums[i] = sums[2 * i] + sums[2 * i + 1]
 
     def leaves(self) -> tuple[list[int], list[int]]:
-        return self.chars[self.n :], self.tokens[self.n :]
+        return self.chars[self.n : self.n + self.used], self.tokens[self.n : self.n + self.used]
+
+    def find(self, pos: int) -> tuple[int, int]:
+        """(leaf, its first character) of the leaf that holds character `pos`; past the end the number of leaves and of characters."""
+        if pos >= self.chars[1]:
+            return self.used, self.chars[1]
+        i, start = 1, 0
+        while i < self.n:
+            i *= 2
+            if pos >= start + self.chars[i]:
+                start += self.chars[i]
+                i += 1
+        return i - self.n, start
+
+    def start(self, leaf: int) -> int:
+        if leaf >= self.used:
+            return self.chars[1]
+        i, start = leaf + self.n, 0
+        while i > 1:
+            if i % 2:
+                start += self.chars[i - 1]
+            i //= 2
+        return start
 
     def update(self, leaf: int, chars: int, tokens: int) -> None:
         i = leaf + self.n
@@ -84,9 +112,23 @@ class Tree:
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    def replace(self, swaps: list[tuple[int, int, list[int], list[int]]]) -> Tree:
+        """Leaves i to j - 1 hold `lens` characters and `sums` tokens from now on; the tree, or a new one if leaves would grow too large."""
+        if any(len(lens) > GROWN * (j - i) for i, j, lens, _ in swaps):
+            chars, tokens = self.leaves()
+            for i, j, lens, sums in reversed(swaps):
+                chars[i:j], tokens[i:j] = lens, sums
+            full = [x for x, c in enumerate(chars) if c]
+            return Tree([chars[x] for x in full], [tokens[x] for x in full])
+        for i, j, lens, sums in swaps:
+            for x in range(i, j):  # the pieces dealt evenly
+                a, b = (x - i) * len(lens) // (j - i), (x - i + 1) * len(lens) // (j - i)
+                self.update(x, sum(lens[a:b]), sum(sums[a:b]))
+        return self
+
     @property
     def total(self) -> int:
-        return self.tokens[1] if self.n > 1 else sum(self.tokens[self.n :])
+        return self.tokens[1]
 
 
 def leaves_of(counter: Counter, text: str) -> tuple[list[int], list[int], int]:
@@ -100,10 +142,8 @@ def edit(counter: Counter, text: str, tree: Tree, edits: list[tuple[int, int, st
     """The edited text, its tree and how many characters were encoded anew."""
     size, clean = len(text), []
     for a, b, put in sorted(edits):
-        a, b = max(0, min(a, size)), max(0, min(b, size))
-        if b < a or clean and a < clean[-1][1]:
-            raise ValueError("edits overlap or end before they start")
-        clean.append((a, b, put))
+        a = max(clean[-1][1] if clean else 0, min(a, size))
+        clean.append((a, max(a, min(b, size)), put))
     if not clean:
         return text, tree, 0
     parts, last = [], 0
@@ -111,24 +151,20 @@ def edit(counter: Counter, text: str, tree: Tree, edits: list[tuple[int, int, st
         parts += [text[last:a], put]
         last = b
     new = "".join([*parts, text[last:]])
-    chars, tokens = tree.leaves()
-    bounds = [0]
-    for c in chars:
-        bounds.append(bounds[-1] + c)
-    old_bounds = {b: i for i, b in enumerate(bounds)}
     swaps: list[tuple[int, int, list[int], list[int]]] = []  # old leaves [i, j) and what replaces them
     moved, redone, k = 0, 0, 0
     while k < len(clean):
         a, b, put = clean[k]
-        i = max(0, bisect_right(bounds, a - LOOKAHEAD) - 1)
+        i, first = tree.find(max(0, a - LOOKAHEAD))
         if swaps and i < swaps[-1][1]:
             i = swaps[-1][1]
-        at = start = bounds[i] + moved
+            first = tree.start(i)
+        at = start = first + moved
         shift = moved + len(put) - (b - a)
         done_at, k = b + shift, k + 1
         lens: list[int] = []
         pieces: list[str] = []
-        j = len(chars)
+        j = tree.used
         pos = at
         while pos < len(new):
             m = counter.scan.match(new, pos)
@@ -138,23 +174,18 @@ def edit(counter: Counter, text: str, tree: Tree, edits: list[tuple[int, int, st
                 a2, b2, put2 = clean[k]
                 shift += len(put2) - (b2 - a2)
                 done_at, k = b2 + shift, k + 1
-            if pos >= done_at and (hit := old_bounds.get(pos - shift)) is not None:
-                j = hit
-                break
+            if pos >= done_at:
+                hit, bound = tree.find(pos - shift)
+                if bound == pos - shift:
+                    j = hit
+                    break
         counts = counter.counts(pieces)
         cut = range(0, len(pieces), LEAF)
         lens = [len("".join(pieces[x : x + LEAF])) for x in cut]
         swaps.append((i, j, lens, [sum(counts[x : x + LEAF]) for x in cut]))
         redone += pos - start
         moved = shift
-    if all(j - i == len(lens) for i, j, lens, _ in swaps):  # same shape: update the paths only
-        for i, _, lens, sums in swaps:
-            for x, (c, t) in enumerate(zip(lens, sums)):
-                tree.update(i + x, c, t)
-        return new, tree, redone
-    for i, j, lens, sums in reversed(swaps):
-        chars[i:j], tokens[i:j] = lens, sums
-    return new, Tree(chars, tokens), redone
+    return new, tree.replace(swaps), redone
 
 
 def scrub_edits(text: str) -> list[tuple[int, int, str]]:
