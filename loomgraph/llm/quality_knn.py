@@ -1,16 +1,17 @@
 """Quality by nearest-neighbour voting over labelled latent-semantic vectors.
 
-Terms describe how a text is written, not what about: shapes of tokens (runs of lower-case letters, capitals, digits and
-marks), pairs of shapes, whether a word repeats the one before it, how varied words and lines are. Term counts are
+Terms are the words of a text (A-Z lowered runs of non-blanks) and, with more weight, how it is written: shapes of tokens (runs of lower-case letters, capitals, digits and
+marks), pairs of shapes, whether a word repeats the one before it, how varied words and lines are. Both kinds are hashed to slots of their own; term counts are
 damped, weighted by inverse document frequency, projected on the leading singular vectors of the labelled sample
 (latent semantic analysis) and scaled to length one.
 
 The sample is bounded: at most `per_class` labelled documents of each class, those of the smallest digest of their id,
 so reruns agree; sizes of model and broadcast depend on it alone. Every document's cosine products with
-all labelled vectors are computed exactly, block by block; the `neighbours` nearest vote with their similarity.
+all labelled vectors are computed exactly, block by block; the `neighbours` nearest vote with their similarity. Neighbours that tie for the last places
+(equal to nine digits) share them evenly, so neither their order nor that of documents matters.
 
 Null and empty texts get the vector of a text without words and are scored like any other. Labels other than 0 and 1 are
-ignored; a document with contradicting labels counts with the smaller. Without labels of both classes the score is
+ignored; a document with contradicting labels counts with the smaller, repeated rows of a labelled id with the smallest text; repeated rows are scored alike, an empty table gives no rows. Without labels of both classes the score is
 the share of ones (0.5 without any).
 """
 
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, raw_bytes
 
 PER_CLASS = 1500
-DIMS = 2048
+SHAPES, WORDS = 2048, 4096
+DIMS = SHAPES + WORDS
+WORD_WEIGHT = 0.35
 LATENT = 48
 NEIGHBOURS = 25
 SHARPNESS = 8.0
@@ -73,21 +76,38 @@ _SLOTS: dict[bytes, int] = {}
 
 def _slot(term: bytes) -> int:
     if len(term) > 32:
-        return crc32(term) % DIMS
+        return crc32(term)
     got = _SLOTS.get(term)
     if got is None:
         if len(_SLOTS) > 200_000:
             _SLOTS.clear()
-        got = _SLOTS[term] = crc32(term) % DIMS
+        got = _SLOTS[term] = crc32(term)
     return got
 
 
+def _hashed(counts: Counter, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and the square roots of their shares."""
+    slots = np.fromiter(map(_slot, counts), np.int64, len(counts)) % size
+    got = np.bincount(slots, np.fromiter(counts.values(), np.float64, len(counts)), size)
+    at = np.flatnonzero(got)
+    return at, np.sqrt(got[at] / got.sum())
+
+
+def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, values) of a text: damped shares of its shapes and, in slots of their own, of its words."""
+    at, values = _hashed(terms(text), SHAPES)
+    words = Counter((text or b"").lower().split())
+    if not words:
+        return at, values
+    more, shares = _hashed(words, WORDS)
+    return np.concatenate([at, more + SHAPES]), np.concatenate([values, WORD_WEIGHT * shares])
+
+
 def vector(text: bytes | None) -> np.ndarray:
-    """Hashed, damped term frequencies: sqrt of each term's share."""
-    counts = terms(text)
-    slots = np.fromiter(map(_slot, counts), np.int64, len(counts))
-    got = np.bincount(slots, np.fromiter(counts.values(), np.float64, len(counts)), DIMS)
-    return np.sqrt(got / got.sum()).astype(np.float32)
+    out = np.zeros(DIMS, np.float32)
+    at, values = features(text)
+    out[at] = values
+    return out
 
 
 def _vectors(batches):
@@ -114,32 +134,39 @@ class Model:
         self.ready = len(set(y.tolist())) == 2
         if not self.ready:
             return
-        self.idf = (np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1).astype(np.float32)
-        weighted = x * self.idf
+        self.idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1
+        weighted = x * self.idf.astype(np.float32)
         weighted /= np.linalg.norm(weighted, axis=1, keepdims=True)
-        self.basis = _leading(weighted, latent).astype(np.float32)
+        self.basis = _leading(weighted, latent)
         del weighted
         order = np.argsort(y, kind="stable")
-        self.y = y[order].astype(np.float32)
-        self.latent = self.project(x)[order]
+        self.y = y[order].astype(np.float64)
+        self.latent = self.project([(np.flatnonzero(row), row[row != 0].astype(np.float64)) for row in x[order]])
         # classes of unequal size vote with equal weight
-        self.vote = np.where(self.y == 1, 0.5 / self.y.mean(), 0.5 / (1 - self.y.mean())).astype(np.float32)
+        self.vote = np.where(self.y == 1, 0.5 / self.y.mean(), 0.5 / (1 - self.y.mean()))
 
-    def project(self, x: np.ndarray) -> np.ndarray:
-        z = (x * self.idf) @ self.basis
-        return (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+    def project(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Latent vectors of length one of (slots, values), each for itself."""
+        z = np.zeros((len(rows), self.basis.shape[1]))
+        for i, (at, values) in enumerate(rows):
+            z[i] = (values * self.idf[at]) @ self.basis[at]
+        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
-    def scores(self, x: np.ndarray, block: int = 256) -> np.ndarray:
+    def scores(self, rows: list[tuple[np.ndarray, np.ndarray]], block: int = 256) -> np.ndarray:
         if not self.ready:
-            return np.full(len(x), self.prior)
-        out = np.empty(len(x))
-        for lo in range(0, len(x), block):
-            cos = self.project(x[lo : lo + block]) @ self.latent.T
-            k = min(self.neighbours, cos.shape[1])
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            sim = np.take_along_axis(cos, near, 1).astype(np.float64)
-            weight = np.exp(SHARPNESS * (sim - sim.max(1, keepdims=True))) * np.maximum(sim, 1e-6) * self.vote[near]
-            out[lo : lo + block] = (weight * self.y[near]).sum(1) / weight.sum(1)
+            return np.full(len(rows), self.prior)
+        out = np.empty(len(rows))
+        k = min(self.neighbours, len(self.y))
+        for lo in range(0, len(rows), block):
+            cos = np.round(self.project(rows[lo : lo + block]) @ self.latent.T, 9)
+            last = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k]
+            for i, sim in enumerate(cos):
+                near = np.flatnonzero(sim >= last[i])
+                s = sim[near]
+                tied = s == last[i]
+                weight = np.exp(SHARPNESS * (s - s.max())) * np.maximum(s, 1e-6) * self.vote[near]
+                weight[tied] *= (k - np.count_nonzero(~tied)) / np.count_nonzero(tied)
+                out[lo + i] = weight @ self.y[near] / weight.sum()
         return np.clip(out, 0.0, 1.0)
 
 
@@ -156,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for i, v in enumerate(got.column("vec")):
         x[i] = np.frombuffer(v.as_buffer(), np.float32)
     del got
-    order = np.lexsort((*x.T[:8], y)) if len(y) else slice(None)
+    order = np.lexsort((*x.T[:8], *x.T[SHAPES : SHAPES + 8], y)) if len(y) else slice(None)
     return Model(x[order], y[order])
 
 
@@ -164,8 +191,8 @@ def _scorer(shared, text_col: str):
     def run(batches):
         model = shared.value
         for batch in batches:
-            x = np.array([vector(t) for t in raw_bytes(batch.column(text_col))], np.float32).reshape(-1, DIMS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(x))], names=[*batch.schema.names, "score"])
+            rows = [features(t) for t in raw_bytes(batch.column(text_col))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.scores(rows))], names=[*batch.schema.names, "score"])
 
     return run
 

@@ -87,8 +87,23 @@ def test_edits_touch_little():
     chars, tokens, _ = token_counts.leaves_of(counter, text)
     *_, redone = token_counts.edit(counter, text, token_counts.Tree(chars, tokens), [(50_000, 50_004, "else")])
     assert 0 < redone < 1000
-    with pytest.raises(ValueError):
-        token_counts.edit(counter, text, token_counts.Tree(chars, tokens), [(5, 9, ""), (7, 12, "")])
+    new, tree, _ = token_counts.edit(counter, text, token_counts.Tree(chars, tokens), [(5, 9, "x"), (7, 12, "y"), (8, 3, "z"), (10, 11, "")])  # overlapping, turned round, swallowed
+    assert new == text[:5] + "xyz" + text[12:] and tree.total == len(token_counts.encoding().encode_ordinary(new))
+
+
+def test_edits_keep_the_tree(monkeypatch):
+    """Small edits update paths of the same tree, even if leaves come and go; a large insertion builds it anew."""
+    counter = token_counts.Counter(token_counts.VOCABULARY)
+    text = prose(random.Random(3), 5000)
+    chars, tokens, _ = token_counts.leaves_of(counter, text)
+    tree = token_counts.Tree(chars, tokens)
+    touched = []
+    plain = token_counts.Tree.update
+    monkeypatch.setattr(token_counts.Tree, "update", lambda self, *a: (touched.append(a[0]), plain(self, *a)))
+    new, same, _ = token_counts.edit(counter, text, tree, [(100, 1500, ""), (9000, 9001, "a few more words here")])
+    assert same is tree and len(touched) < 20 and tree.total == len(token_counts.encoding().encode_ordinary(new))
+    new, other, _ = token_counts.edit(counter, new, tree, [(50, 50, "many words " * 2000)])
+    assert other is not tree and other.total == len(token_counts.encoding().encode_ordinary(new))
 
 
 def test_token_count_frames(spark):
@@ -146,16 +161,44 @@ def test_quality_held_out(spark):
 
 
 def test_quality_votes_are_exact():
+    """Weights, projection and votes against a plain latent semantic analysis; labelled rows that tie for the last places share them."""
     rng = np.random.default_rng(0)
-    x = np.sqrt(rng.dirichlet(np.ones(quality_knn.DIMS) * 0.02, 120)).astype(np.float32)
+    topics = rng.dirichlet(np.ones(quality_knn.DIMS) * 0.02, 16) * (rng.random((16, quality_knn.DIMS)) < 0.1)
+    x = np.sqrt(rng.dirichlet(np.ones(16) * 0.3, 120) @ topics).astype(np.float32)
+    x[100:120] = x[0]  # twenty equal ones, with both labels
     y = np.array([0] * 40 + [1] * 80)
     model = quality_knn.Model(x, y, latent=16, neighbours=7)
-    z = model.project(x[:30]).astype(np.float64)
-    cos = z @ model.latent.T.astype(np.float64)
-    for row, got in zip(cos, model.scores(x[:30], block=11)):
-        near = np.argsort(-row)[:7]
-        w = np.exp(quality_knn.SHARPNESS * (row[near] - row[near[0]])) * row[near].clip(1e-6) * model.vote[near]
-        assert abs(got - (w * model.y[near]).sum() / w.sum()) < 1e-3
+    idf = np.log(121 / (1 + (x > 0).sum(0))) + 1
+    weighted = x * idf
+    weighted /= np.linalg.norm(weighted, axis=1, keepdims=True)
+    basis = np.linalg.svd(weighted.astype(np.float64), full_matrices=False)[2][:16].T
+    z = (x * idf) @ basis
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cos = np.round(z @ z.T, 5)
+    rows = [(np.flatnonzero(r), r[r != 0].astype(np.float64)) for r in x]
+    got, turned = model.scores(rows, block=11), model.scores(rows[::-1], block=64)[::-1]
+    assert np.abs(got - turned).max() < 1e-9
+    share = y.mean()
+    for i, row in enumerate(cos):
+        last = np.sort(row)[-7]
+        sure, tied = row > last, row == last
+        seats = sure + tied * (7 - sure.sum()) / tied.sum()
+        w = seats * np.exp(quality_knn.SHARPNESS * (row - row.max())) * row.clip(1e-6) * np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+        assert abs(got[i] - (w * y).sum() / w.sum()) < 0.01, i
+
+
+def test_quality_repeated_rows_and_empty_table(spark):
+    rng = random.Random(4)
+    texts = [prose(rng, 40) if i % 2 else "!! ?? " * rng.randrange(3, 30) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 60)], "doc_id long, quality int")
+    docs = documents(spark, texts)
+    model = quality_knn.fit(docs, labels)
+    out = quality_knn.score(docs.unionAll(docs), model).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert len(out) == 160 and all(len(s) == 1 for s in by.values())
+    assert quality_knn.score(docs.limit(0), model).count() == 0
 
 
 def test_quality_without_labels(spark):
