@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kinds import EDGE_KINDS
-from ..session import settle
 from .graph import Graph
 from .relations import mapped
 
 
+#: relations that edges are made of
+READ = ("calls", "has_parameters", "has_return", "type_of", "has_impl", "implements", "extends", "uses", "has_field")
+
+
 def _edge(pairs: DataFrame, collector: str, start: str, end: str, kind: str) -> DataFrame:
     return pairs.select(F.col(collector).alias("collector"), F.col(start).alias("from_id"), F.col(end).alias("to_id"), F.lit(kind).alias("kind")).where("from_id <> to_id")
 
 
 def field_edges(graph: Graph) -> DataFrame:
     """field, nested_field and type_arg edges; a field edge stands if the last event of its pair is not a removal."""
-    graph = graph.store()
+    graph = graph.store(*READ)
     ids = graph.visible().select("block_id")
     shown = lambda df, c: df.join(ids.withColumnRenamed("block_id", c), c, "left_semi")
     types = shown(shown(graph.field_types(), "owner"), "type_id")
@@ -37,34 +40,32 @@ def field_edges(graph: Graph) -> DataFrame:
     )
 
 
-def _suppress(pairs: DataFrame, edges: DataFrame, either_way: bool) -> DataFrame:
-    """`pairs(collector, from_id, to_id)` without those whose ends the collector's own edges join already."""
-    have = edges.select("collector", "from_id", "to_id")
-    if either_way:
-        have = have.unionAll(edges.select("collector", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")))
-    return pairs.join(have.distinct(), ["collector", "from_id", "to_id"], "left_anti").select("collector", "from_id", "to_id", "kind")
+def _without_suppressed(edges: DataFrame) -> DataFrame:
+    """A type dependency goes if its collector's own edges join the pair either way, an implementation argument if they, or a type dependency that stays, join it
+    that way; annotations neither go nor count. One window over a collector's edges of an unordered pair."""
+    pair = Window.partitionBy("collector", F.least("from_id", "to_id"), F.greatest("from_id", "to_id"))
+    ahead, kind = F.col("from_id") < F.col("to_id"), F.col("kind")
+    own, dep = ~kind.isin("type_dep", "impl_arg", "annotation"), kind == "type_dep"
+    some = lambda c: F.max(c).over(pair)
+    rows = edges.withColumns({"_own": some(own), "_a": some(own & ahead), "_b": some(own & ~ahead), "_c": some(dep & ahead), "_d": some(dep & ~ahead)})
+    that_way = F.when(ahead, F.col("_a") | (F.col("_c") & ~F.col("_own"))).otherwise(F.col("_b") | (F.col("_d") & ~F.col("_own")))
+    return rows.where(~(dep & F.col("_own")) & ~((kind == "impl_arg") & that_way)).select("collector", "from_id", "to_id", "kind")
 
 
 def collected_edges(graph: Graph) -> DataFrame:
     """(collector, from_id, to_id, kind) of every visible block, before the collectors' sets are united."""
-    graph = graph.store()
+    graph = graph.store(*READ)
     ids = graph.visible().select("block_id")
     forward = lambda pairs, kind: _edge(pairs, "src", "src", "dst", kind)
     backward = lambda pairs, kind: _edge(pairs, "src", "dst", "src", kind)
-
-    def shown(edges: DataFrame) -> DataFrame:
-        """Both ends visible; the collector is one of them."""
-        edges = edges.distinct().join(ids.withColumnRenamed("block_id", "from_id"), "from_id", "left_semi")
-        return edges.join(ids.withColumnRenamed("block_id", "to_id"), "to_id", "left_semi").select("collector", "from_id", "to_id", "kind")
-
-    simple = (
+    found = (
         forward(graph.callees(), "call").unionAll(backward(graph.param_types(), "param")).unionAll(forward(graph.return_types(), "return"))
         .unionAll(backward(graph.contracts(), "conformance")).unionAll(backward(graph.bases(), "specialization"))
+        .unionAll(forward(graph.type_deps(), "type_dep")).unionAll(backward(graph.impl_args(), "impl_arg")).unionAll(backward(graph.annotations(), "annotation"))
     )
-    late = shown(forward(graph.type_deps(), "type_dep").unionAll(backward(graph.impl_args(), "impl_arg")).unionAll(backward(graph.annotations(), "annotation")))
-    edges, late = settle(shown(simple).unionAll(field_edges(graph).distinct()), "edges"), settle(late, "edges-late")
-    edges = settle(edges.unionAll(_suppress(late.where("kind = 'type_dep'"), edges, either_way=True)), "edges")
-    return edges.unionAll(_suppress(late.where("kind = 'impl_arg'"), edges, either_way=False)).unionAll(late.where("kind = 'annotation'"))
+    # both ends visible; the collector is one of them
+    found = found.distinct().join(ids.withColumnRenamed("block_id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("block_id", "to_id"), "to_id", "left_semi")
+    return _without_suppressed(found.select("collector", "from_id", "to_id", "kind").unionAll(field_edges(graph).distinct()))
 
 
 def edges(graph: Graph) -> DataFrame:
@@ -86,10 +87,6 @@ def oriented(edge: DataFrame) -> DataFrame:
     )
 
 
-def kind_ordinal(kind: str = "kind"):
-    return mapped(F.col(kind), {k: i for i, k in enumerate(EDGE_KINDS)})
-
-
 def retain(node: DataFrame, edge: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes of `keep(block_id)` and the edges between them."""
     ids = keep.select("block_id").distinct()

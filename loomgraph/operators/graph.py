@@ -21,11 +21,12 @@ class Graph:
     unit_meta: DataFrame | None = None
     stored: bool = False
 
-    def store(self) -> Graph:
-        """Written once and read many times; relations lie in a folder each, so a hop reads its own only."""
+    def store(self, *kinds: str) -> Graph:
+        """Written once and read many times; relations (of `kinds`, if any are named) lie in a folder each, so a hop reads its own only."""
         if self.stored:
             return self
-        return Graph(settle(self.block, "block"), settle(self.relation, "relation", "relation"), self.unit_meta, True)
+        relation = self.relation.where(F.col("relation").isin(*kinds)) if kinds else self.relation
+        return Graph(settle(self.block, "block"), settle(relation, "relation", "relation"), self.unit_meta, True)
 
     # filters and lookups
 

@@ -57,8 +57,12 @@ def linked_blocks(relation: DataFrame) -> DataFrame:
 
 
 def stats(relation: DataFrame) -> DataFrame:
-    """Per relation and, with relation null, in all: n relations, n source blocks."""
-    return relation.rollup("relation").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("src").alias("sources"))
+    """Per relation and, with relation null, in all: n relations, n source blocks. One shuffle of (source, relation) sums, no rows multiplied."""
+    per = relation.groupBy("src", "relation").agg(F.count(F.lit(1)).alias("n"))
+    each = per.groupBy("relation").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources"))
+    total = per.groupBy("src").agg(F.sum("n").alias("n")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("sources"))
+    total = total.select(F.lit(None).cast("string").alias("relation"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "sources")
+    return each.unionByName(total)
 
 
 def add(relation: DataFrame, new: DataFrame) -> DataFrame:

@@ -57,24 +57,32 @@ def lexical(refs: DataFrame, chain: DataFrame, scope_symbol: DataFrame, symbol:
     return by_precedence(innermost(met))
 
 
-def qualified(refs: DataFrame, chain: DataFrame, global_scope: int, scope_symbol: DataFrame, symbol: DataFrame, max_parts: int = 8) -> DataFrame:
+def qualified(refs: DataFrame, chain: DataFrame, global_scope: int, scope_symbol: DataFrame, symbol: DataFrame) -> DataFrame:
     """`refs(ref_id, scope_id, parts array, kinds, ref_unit, ref_package)` -> (ref_id, symbol_id).
 
-    The first part is looked up in the chain, then in the global scope; the others in the scope that the part before owns.
-    Every branch is followed; the kinds count for the last part only.
+    The first part is looked up in the chain, then in the global scope, or, where `refs` has a column `start` that is not null, in that scope alone; the others in
+    the scope that the part before owns. Every branch is followed; the kinds count for the last part only.
     """
+    given = None
+    if "start" in refs.columns:
+        given = refs.where("start is not null").select("ref_id", F.col("start").alias("at"), F.lit(0).alias("depth"))
+        everywhere, refs = refs, refs.where("start is null")
     starts = refs.join(chain.select("scope_id", "ancestor_id", "depth"), "scope_id").select("ref_id", F.col("ancestor_id").alias("at"), "depth")
     starts = starts.unionAll(refs.select("ref_id", F.lit(global_scope).cast("long").alias("at"), F.lit(MAX_SCOPES + 1).alias("depth"))).groupBy("ref_id", "at").agg(F.min("depth").alias("depth"))
+    if given is not None:
+        starts, refs = starts.unionByName(given), everywhere
     info = symbol.select("symbol_id", "kind", "unit_id", "package_index", "owned_scope_id")
     named = scope_symbol.select(F.col("scope_id").alias("at"), "name", "symbol_id", "ordinal")
     front = refs.select("ref_id", "parts", "kinds", "ref_unit", "ref_package").join(starts, "ref_id")
+    most = refs.agg(F.max(F.size("parts"))).first()[0] or 1
     found = None
-    for i in range(max_parts):
+    for i in range(most):
         hit = front.where(F.size("parts") > i).withColumn("name", F.col("parts")[i]).join(named, ["at", "name"]).join(info, "symbol_id")
-        last = hit.where((F.size("parts") == i + 1) & in_set(F.col("kind"), F.col("kinds")))
-        last = last.select("ref_id", "symbol_id", "unit_id", "package_index", "ordinal", "ref_unit", "ref_package", "depth")
+        hit = hit.where((F.size("parts") > i + 1) & F.col("owned_scope_id").isNotNull() | (F.size("parts") == i + 1) & in_set(F.col("kind"), F.col("kinds")))
+        hit = settle(hit, "path-steps") if i + 1 < most else hit  # each step is read twice
+        last = hit.where(F.size("parts") == i + 1).select("ref_id", "symbol_id", "unit_id", "package_index", "ordinal", "ref_unit", "ref_package", "depth")
         found = last if found is None else found.unionAll(last)
-        front = hit.where((F.size("parts") > i + 1) & F.col("owned_scope_id").isNotNull()).select("ref_id", "parts", "kinds", "ref_unit", "ref_package", "depth", F.col("owned_scope_id").alias("at"))
+        front = hit.where(F.size("parts") > i + 1).select("ref_id", "parts", "kinds", "ref_unit", "ref_package", "depth", F.col("owned_scope_id").alias("at"))
     return by_precedence(found)
 
 

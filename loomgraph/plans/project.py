@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..kinds import LANGUAGES
 from ..operators import blocks as B
 from ..operators import meta as M
+from ..operators import modules as P
 from ..operators import resolve as N
 from ..operators.graph import Graph
 from ..operators.link import Linker
@@ -21,6 +22,7 @@ _FACTS = "unit_id long, local_id int, parent_local int, kind string, name string
 SCOPES = ("root", "module", "class", "trait", "interface", "enum", "func", "method", "impl")
 FUNCS, HOLDERS = ("func", "method"), ("class", "trait", "interface", "enum", "impl")
 GLOBAL = 0
+IMPORT_ROUNDS = 2
 UNIT = 1 << 24
 
 
@@ -84,26 +86,72 @@ def build(files: DataFrame, unit_meta: DataFrame) -> Project:
     top = facts.where("kind = 'root'").select(F.col("block_id").alias("scope_id"))
     modules = facts.where("kind = 'module'").select(F.col("block_id").alias("scope_id"))
     shared = declared.join(top.unionAll(modules), "scope_id", "left_semi").select(F.lit(GLOBAL).cast("long").alias("scope_id"), "name", "symbol_id", (F.col("symbol_id")).alias("ordinal"))
-    scope_symbol = settle(declared.select("scope_id", "name", "symbol_id", "ordinal").unionAll(shared), "scope-symbols")
-    symbols = settle(declared.select("symbol_id", "name", "kind", "unit_id", "package_index", F.when(F.col("kind") != "field", F.col("symbol_id")).alias("owned_scope_id")), "symbols")
-    inner = facts.where("chain is not null").select(F.col("block_id").alias("scope_id"), F.posexplode("chain").alias("depth", "ancestor_id"))
-    outer = facts.where("chain is not null").select(F.col("block_id").alias("scope_id"), F.size("chain").alias("depth"), F.lit(GLOBAL).cast("long").alias("ancestor_id"))
-    chain = settle(inner.unionByName(outer).withColumn("place", F.lit(0).cast("long")), "scope-chains")
+    roots = facts.where("kind = 'root'").select("unit_id", F.col("block_id").alias("scope_id"))
+    paths = settle(P.module_paths(unit_meta).join(roots.select("unit_id"), "unit_id", "left_semi"), "module-paths")
+    modules = settle(P.module_scopes(paths, roots), "modules")
+    module_symbol, module_scope = P.module_symbols(modules, GLOBAL)
+    scope_symbol = settle(declared.select("scope_id", "name", "symbol_id", "ordinal").unionAll(shared).unionByName(module_scope), "scope-symbols")
+    symbols = declared.select("symbol_id", "name", "kind", "unit_id", "package_index", F.when(F.col("kind") != "field", F.col("symbol_id")).alias("owned_scope_id"))
+    symbols = settle(symbols.unionByName(module_symbol), "symbols")
+    packages = modules.where("path = ''").select("package_index", F.col("scope_id").alias("package_scope"))
+    chained = facts.where("chain is not null").select("unit_id", F.col("block_id").alias("scope_id"), "chain")
+    inner = chained.select("scope_id", F.posexplode("chain").alias("depth", "ancestor_id"))
+    around = chained.join(where, "unit_id").join(packages, "package_index").where(~F.array_contains("chain", F.col("package_scope")))
+    around = around.select("scope_id", F.size("chain").alias("depth"), F.col("package_scope").alias("ancestor_id"))
+    outer = chained.select("scope_id", (F.size("chain") + 1).alias("depth"), F.lit(GLOBAL).cast("long").alias("ancestor_id"))
+    chain = settle(inner.unionByName(around).unionByName(outer).withColumn("place", F.lit(0).cast("long")), "scope-chains")
+    inline = P.inline_names(inner, facts.where("kind = 'module'").select(F.col("block_id").alias("ancestor_id"), "name"))
+    unit_of = facts.select("block_id", F.col("unit_id").alias("ref_unit"))
+    whose = where.select(F.col("unit_id").alias("ref_unit"), F.col("package_index").alias("ref_package"))
 
     def resolve(refs: DataFrame, kinds: str | None) -> DataFrame:
-        """`refs(ref_id, block_id, name)`; dotted names go by their last part if the first does not decide: lexical on the last."""
-        at = refs.join(scope, "block_id").join(facts.select("block_id", F.col("unit_id").alias("ref_unit")), "block_id").join(where.select(F.col("unit_id").alias("ref_unit"), F.col("package_index").alias("ref_package")), "ref_unit")
+        """`refs(ref_id, block_id, name)` by scopes, imports and globals: (ref_id, symbol_id)."""
+        at = refs.join(scope, "block_id").join(unit_of, "block_id").join(whose, "ref_unit")
         return N.lexical(at.select("ref_id", "scope_id", "name", F.lit(kinds).cast("string").alias("kinds"), "ref_unit", "ref_package"), chain, scope_symbol, symbols)
 
+    def resolve_paths(refs: DataFrame) -> DataFrame:
+        """`refs(ref_id, block_id, parts, kinds)`: paths from a module or package, or from a name in scope: (ref_id, symbol_id)."""
+        at = refs.join(scope, "block_id").join(unit_of, "block_id").join(whose, "ref_unit")
+        at = at.join(paths.select(F.col("unit_id").alias("ref_unit"), "path", "folder"), "ref_unit").join(inline, "scope_id", "left").join(packages.withColumnRenamed("package_index", "ref_package"), "ref_package", "left")
+        from_package = P.anchored(F.col("parts"), F.concat("path", F.coalesce("inline", F.array().cast("array<string>"))), F.col("folder"))
+        at = at.select("ref_id", "scope_id", F.coalesce(from_package, "parts").alias("parts"), "kinds", "ref_unit", "ref_package", F.when(from_package.isNotNull(), F.col("package_scope")).alias("start"))
+        return N.qualified(at, chain, GLOBAL, scope_symbol, symbols)
+
+    imports = settle(facts.where("kind = 'import'").select("block_id", "scope_id", "name", F.split(F.col("types")[0], "\\.").alias("parts")), "imports")
+    own_names = scope_symbol
+    for _ in range(0 if imports.isEmpty() else IMPORT_ROUNDS):  # what is imported may itself be an import
+        hit = settle(resolve_paths(imports.select(F.col("block_id").alias("ref_id"), "block_id", "parts", F.lit(None).cast("string").alias("kinds"))).withColumnRenamed("ref_id", "block_id"), "import-hits")
+        met = imports.join(hit, "block_id")
+        bound = met.where("name <> '*'").select("scope_id", "name", "symbol_id", F.col("block_id").alias("ordinal"))
+        opened = met.where("name = '*'").select("scope_id", "symbol_id").join(symbols.select("symbol_id", F.col("owned_scope_id").alias("inside")), "symbol_id").select("scope_id", "inside")
+        inside = opened.join(scope_symbol.withColumnRenamed("scope_id", "inside"), "inside").select("scope_id", "name", "symbol_id", "ordinal")
+        scope_symbol = settle(own_names.unionAll(bound).unionAll(inside).groupBy("scope_id", "name", "symbol_id").agg(F.max("ordinal").alias("ordinal")), "scope-symbols")
+
     uid = lambda *c: F.xxhash64(*c)
     last = lambda c: F.element_at(F.split(c, "\\."), -1)
     uses = []
     for role, column in (("type", "types"), ("contract", "contracts"), ("decorator", "decorators")):
-        rows = facts.select("block_id", F.posexplode(column).alias("place", "full"))
-        uses.append(rows.select("block_id", F.lit(role).alias("role"), "place", last(F.col("full")).alias("name")))
+        rows = facts.where("kind <> 'import'").select("block_id", F.posexplode(column).alias("place", "full"))
+        uses.append(rows.select("block_id", F.lit(role).alias("role"), "place", last(F.col("full")).alias("name"), F.split("full", "\\.").alias("parts")))
     uses = uses[0].unionAll(uses[1]).unionAll(uses[2]).withColumn("ref_id", uid("block_id", "role", "place"))
     uses = settle(uses, "type-uses")
-    found = resolve(uses.where("role <> 'decorator'").select("ref_id", "block_id", "name"), "types").unionAll(resolve(uses.where("role = 'decorator'").select("ref_id", "block_id", "name"), None))
+    # every path at once: uses, calls, and what stands before the last name of a call
+    self_words = F.col("parts")[0].isin("self", "this", "Self", "cls")
+    calls = facts.where("callee is not null").select("block_id", "callee", F.split("callee", "\\.").alias("parts"), "enclosing_id", "holder", "start_byte")
+    dotted = calls.where((F.size("parts") >= 2) & (F.col("parts")[0] != "?") & (~self_words | F.col("holder").isNull()))
+    before = F.slice("parts", F.lit(1), F.size("parts") - 1)
+    set_of = lambda name: F.lit(name).alias("kinds")
+    asked = (
+        uses.where("size(parts) > 1").select("ref_id", "block_id", "parts", F.when(F.col("role") != "decorator", F.lit("types")).alias("kinds"))
+        .unionAll(dotted.select(F.col("block_id").alias("ref_id"), "block_id", "parts", set_of("call_target")))
+        .unionAll(dotted.where(~self_words & (F.size("parts") > 2)).select(uid("block_id", F.lit("receiver"), F.lit(0)).alias("ref_id"), "block_id", before.alias("parts"), set_of("defined_type")))
+    )
+    by_path = settle(resolve_paths(asked), "path-hits")
+    found = by_path.join(uses.select("ref_id"), "ref_id", "left_semi")
+    # a path that leads nowhere known goes by its last name, unless it begins at a module
+    rest = uses.where((F.size("parts") == 1) | ~P.is_anchored(F.col("parts"))).join(by_path, "ref_id", "left_anti")
+    for keep, kinds in (("role <> 'decorator'", "types"), ("role = 'decorator'", None)):
+        found = found.unionAll(resolve(rest.where(keep).select("ref_id", "block_id", "name"), kinds))
     bound = settle(uses.join(found, "ref_id").where("symbol_id <> block_id"), "bound-uses")
     per = bound.groupBy("block_id").agg(
         F.min(F.when((F.col("role") == "type") & (F.col("place") == 0), F.col("symbol_id"))).alias("own_type"),
@@ -113,16 +161,18 @@ def build(files: DataFrame, unit_meta: DataFrame) -> Project:
     )
 
     # calls: a bare name lexically; self and this in the own type; Type.name in that type; variables in their declared type
-    calls = facts.where("callee is not null").select("block_id", "callee", F.split("callee", "\\.").alias("parts"), "enclosing_id", "holder", "start_byte")
     callee = last(F.col("callee"))
     bare = calls.where(F.size("parts") == 1).select(F.col("block_id").alias("ref_id"), "block_id", F.col("callee").alias("name"))
     bare_hit = resolve(bare, "call_target")
     impl_target = facts.where("kind = 'impl'").select(F.col("block_id").alias("holder")).join(per.select(F.col("block_id").alias("holder"), F.col("own_type").alias("target")), "holder")
     holder_type = facts.where(F.col("kind").isin("class", "trait", "interface", "enum")).select(F.col("block_id").alias("holder"), F.col("block_id").alias("target")).unionAll(impl_target)
-    self_words = F.col("parts")[0].isin("self", "this", "Self", "cls")
     on_self = calls.where((F.size("parts") == 2) & self_words).join(holder_type, "holder").select("block_id", callee.alias("name"), F.col("target").alias("receiver_id"))
-    typed = calls.where((F.size("parts") >= 2) & ~self_words & (F.col("parts")[0] != "?")).select(F.col("block_id").alias("ref_id"), "block_id", F.element_at("parts", -2).alias("name"), callee.alias("member"))
-    typed = typed.join(resolve(typed.select("ref_id", "block_id", "name"), "defined_type"), "ref_id").select("block_id", F.col("member").alias("name"), F.col("symbol_id").alias("receiver_id"))
+    path_hit = by_path.join(calls.select(F.col("block_id").alias("ref_id")), "ref_id", "left_semi")
+    typed = dotted.where(~self_words).join(path_hit.select(F.col("ref_id").alias("block_id")), "block_id", "left_anti")
+    typed = typed.select(uid("block_id", F.lit("receiver"), F.lit(0)).alias("ref_id"), "block_id", before.alias("parts"), F.element_at("parts", -2).alias("name"), callee.alias("member"))
+    by_name = typed.where((F.size("parts") == 1) | ~P.is_anchored(F.col("parts"))).join(by_path, "ref_id", "left_anti")
+    receivers = by_path.unionAll(resolve(by_name.select("ref_id", "block_id", "name"), "defined_type"))
+    typed = typed.join(receivers, "ref_id").select("block_id", F.col("member").alias("name"), F.col("symbol_id").alias("receiver_id"))
     # the type of a parameter, local variable or own field receives the calls on it; of the variables the last before the
     # call counts, which hides a type of its name even if its own type is unknown
     declared_type = facts.where("kind in ('parameter', 'local', 'field') and name is not null").select("block_id", "kind", F.col("parent_id").alias("owner"), F.col("name").alias("variable"), "end_byte")
@@ -140,16 +190,17 @@ def build(files: DataFrame, unit_meta: DataFrame) -> Project:
     bases_up = per.join(facts.where("kind = 'class'").select("block_id"), "block_id").where("own_type is not null").select(F.col("block_id").alias("scope_id"), F.col("own_type").alias("parent_id"), F.lit(1).cast("long").alias("ordinal"))
     identity = symbols.select("symbol_id", F.col("symbol_id").alias("target_id"))
     member_hit = N.members(wanted.select(F.col("block_id").alias("ref_id"), "receiver_id", "name", "ref_unit", "ref_package"), identity, symbols, members_up.unionAll(bases_up), scope_symbol)
-    target = settle(bare_hit.unionAll(member_hit).select(F.col("ref_id").alias("call_id"), "symbol_id"), "call-targets")
+    path_hit = path_hit.join(on_variable.select(F.col("block_id").alias("ref_id")), "ref_id", "left_anti")
+    target = settle(bare_hit.unionAll(path_hit).unionAll(member_hit.join(path_hit.select("ref_id"), "ref_id", "left_anti")).select(F.col("ref_id").alias("call_id"), "symbol_id"), "call-targets")
     calls = settle(calls.select(F.col("block_id").alias("call_id"), "enclosing_id").join(target, "call_id"), "calls")
 
     none = F.array().cast("array<long>")
     symbol = facts.where("names_symbol and name is not null").join(per, "block_id", "left").select(
-        F.col("block_id").alias("symbol_id"), F.col("symbol_kind").alias("kind"), F.when(F.col("kind").isin("class", "alias", "const"), F.col("own_type")).alias("type_of"),
-        F.col("block_id"), F.col("block_id").alias("owned_scope_id"), F.coalesce("met", none).alias("nested_types"), F.coalesce("marks", none).alias("decorators"),
+        F.col("block_id").alias("symbol_id"), F.col("symbol_kind").alias("kind"), F.when(F.col("kind").isin("class", "alias", "const", "type_parameter"), F.col("own_type")).alias("type_of"),
+        F.when(F.col("kind") != "type_parameter", F.col("block_id")).alias("block_id"), F.col("block_id").alias("owned_scope_id"), F.coalesce("met", none).alias("nested_types"), F.coalesce("marks", none).alias("decorators"),
     )
     symbol = settle(symbol, "symbol-table")
-    block = facts.where("kind <> 'local'").join(per, "block_id", "left").select(
+    block = facts.where("kind not in ('local', 'import', 'type_parameter')").join(per, "block_id", "left").select(
         "block_id", "unit_id", "kind", "name", "parent_id", F.col("local_id").cast("long").alias("ordinal"), F.when(F.col("names_symbol") & F.col("name").isNotNull(), F.col("block_id")).alias("symbol_id"), "symbol_kind",
         F.col("own_type").alias("type_ref"), F.col("own_type").alias("type_symbol_id"), F.col("start_line").cast("long").alias("start_line"), F.when(F.size("arguments") > 0, F.col("arguments")).alias("nested_types"), F.coalesce("marks", none).alias("decorators"),
     )

@@ -18,6 +18,7 @@ from ..operators import relations as R
 from ..operators import resolve as N
 from ..operators import rollup as U
 from ..operators.graph import Graph
+from . import generated
 from .star import SQL, Star, key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -442,7 +443,7 @@ def qualified_path(spark, sf_dir):
     refs = s.supplier.join(s.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(s.region, F.col("n_regionkey") == F.col("r_regionkey"))
     refs = refs.select(F.col("s_suppkey").alias("ref_id"), sid("s_nationkey", 1).alias("scope_id"), F.array("r_name", "n_name", "s_name").alias("parts"), F.lit("types").alias("kinds"), F.lit(0).alias("ref_unit"), F.lit(0).alias("ref_package"))
     chain = refs.select("scope_id", F.col("scope_id").alias("ancestor_id"), F.lit(0).alias("depth")).distinct()
-    return N.qualified(refs, chain, 3, names, symbols, max_parts=3)
+    return N.qualified(refs, chain, 3, names, symbols)
 
 
 @query("""with recursive hop as (select p_partkey as id, p_partkey as here from part union all select h.id, n.p_partkey from hop h join part p on p.p_partkey = h.here and p.p_partkey % 4 <> 0 join part n on n.p_partkey = h.here + 1)
@@ -608,7 +609,11 @@ def node_columns(spark, sf_dir):
     return meta.select("unit_id", T.location(F.col("file_path"), F.col("unit_id")).alias("location"), T.module_key(F.col("package_name"), F.col("module_name")).alias("module_key"))
 
 
+QUERIES |= generated.QUERIES
+ORACLES |= generated.ORACLES
+
 HEADLINE = (
     "related_one_hop", "related_two_hop_types", "contracts_bag_union", "relation_stats", "edges_visible", "type_dep_suppressed", "component_package", "component_module", "weighted_adjacency", "pagerank_influence_10",
     "topk_with_coverage", "ambiguity_precedence", "lexical_shadowing", "qualified_path", "alias_chase", "longest_prefix_owner", "symbol_dedupe", "array_children_ordered",
+    "source_calls",
 )

@@ -99,9 +99,9 @@ class Star:
 # the same graph for DuckDB
 
 SQL = """
-with items as (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag),
-sold as (select l.*, o.o_custkey, o.o_orderstatus from items l join orders o on o.o_orderkey = l.l_orderkey),
-block as (
+with items as materialized (select distinct on (l_orderkey, l_linenumber) * from lineitem order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_returnflag),
+sold as materialized (select l.*, o.o_custkey, o.o_orderstatus from items l join orders o on o.o_orderkey = l.l_orderkey),
+block as materialized (
   select r_regionkey::bigint * 8 + 5 as block_id, -1::bigint as unit_id, 'root' as kind, r_name as name, 'package' as symbol_kind, r_regionkey::bigint as start_line, null::bigint as parent_id, null::bigint as type_ref, null::bigint[] as nested_types from region
   union all select n_nationkey::bigint * 8 + 4, -1, 'module', n_name, 'module', n_nationkey, n_regionkey::bigint * 8 + 5, null, null from nation
   union all select c_custkey * 8, c_nationkey, 'class', c_name, 'struct', c_custkey, c_nationkey::bigint * 8 + 4, null, null from customer
@@ -110,7 +110,7 @@ block as (
   union all select o_orderkey * 8 + 3, -1, case when o_orderstatus = 'P' then 'impl' else 'func' end, null, 'function', o_orderkey, o_custkey * 8, null, null from orders
   union all select (l_orderkey * 8 + l_linenumber) * 8 + 6, -1, case l_returnflag when 'A' then 'parameter' when 'R' then 'return' else 'field' end, null, 'field', l_orderkey * 8 + l_linenumber, l_orderkey * 8 + 3, l_partkey * 8 + 2,
     case when l_returnflag not in ('A', 'R') then case when l_quantity > 40 then [l_suppkey * 8 + 1, l_partkey * 8 + 2] else [l_suppkey * 8 + 1] end end from items),
-facts as (
+facts as materialized (
   select n_regionkey::bigint * 8 + 5 as src, 'contains' as relation, n_nationkey::bigint * 8 + 4 as dst from nation
   union select c_nationkey::bigint * 8 + 4, 'contains', c_custkey * 8 from customer
   union select s_nationkey::bigint * 8 + 4, 'contains', s_suppkey * 8 + 1 from supplier
@@ -128,7 +128,7 @@ facts as (
   union select p_partkey * 8 + 2, 'extends', (p_partkey - 1) * 8 + 2 from part where p_partkey > 1),
 inverse(relation, back) as (values ('contains', 'contained_by'), ('calls', 'called_by'), ('has_field', 'field_of'), ('type_of', 'type_for'), ('impl_for', 'has_impl'), ('has_method', 'method_of'),
   ('implements', 'implemented_by'), ('uses', 'used_by'), ('extends', 'extended_by')),
-relation as (select * from facts union select f.dst, i.back, f.src from facts f join inverse i on i.relation = f.relation),
+relation as materialized (select * from facts union select f.dst, i.back, f.src from facts f join inverse i on i.relation = f.relation),
 deps as (select distinct o_custkey * 8 as block_id, l_partkey * 8 + 2 as dep from sold where l_discount >= 0.1),
 unit_meta as (select n_nationkey::bigint as unit_id, r_name as package_name, 'world/' || r_name as package_root, case when n_nationkey % 3 > 0 then n_name end as module_name,
   case when n_nationkey % 3 > 0 then 'world/' || r_name || '/src' end as module_root, 'world/' || r_name || '/src/' || n_name || '.rs' as file_path from nation join region on r_regionkey = n_regionkey),

@@ -18,10 +18,12 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the cluster names one; else a private folder (single machine)."""
+    """spark.checkpoint.dir where the cluster names one; else a private folder, on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="loomgraph-core-"))
     return _OWN[0]

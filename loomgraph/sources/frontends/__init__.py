@@ -8,7 +8,11 @@ from dataclasses import dataclass, field
 
 @dataclass
 class Fact:
-    """One block. `types`: what it names as types, own type first, then arguments (class: bases; impl: target)."""
+    """One block. `types`: what it names as types, own type first, then arguments (class: bases; impl: target).
+
+    An import is a fact of kind `import`, no block: `name` is what it is called here (`*`: everything inside), `types` holds its path. Paths begin with
+    `crate`, `self`, `super` (packages and modules) or with HERE and ABOVE (folders) where they are not names.
+    """
 
     kind: str
     name: str | None
@@ -24,6 +28,9 @@ class Fact:
     names_symbol: bool = True
 
 
+#: parts of a path: the folder of the file, the folder above
+HERE, ABOVE = "<here>", "<above>"
+
 Frontend = Callable[[str], list[Fact]]
 _KNOWN: dict[str, Frontend] = {}
 

@@ -10,13 +10,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from . import Fact, Frontend
+from . import ABOVE, HERE, Fact, Frontend
 
-_TOKEN = re.compile(
-    r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<str>r\#*".*?"\#*|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`)|(?P<chr>'(?:\\.[^']*|[^'\\\n])')|(?P<attr>\#!?\[)|(?P<pre>^[ \t]*\#[^\n]*)"""
-    r"""|(?P<word>[A-Za-z_$\u0080-\uffff][\w$]*)|(?P<num>\d[\w.]*)|(?P<op>::|->|=>|<<|&&|\|\||[-+*/%&|^=!<>]=|.)""",
-    re.S | re.M | re.X,
+_CHAR = r"(?P<chr>'(?:\\.[^']*|[^'\\\n])')"
+_TOKENS = (
+    r"""(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<str>r\#*".*?"\#*|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*`)|""" + _CHAR + r"""|(?P<attr>\#!?\[)|(?P<pre>^[ \t]*\#[^\n]*)"""
+    r"""|(?P<word>[A-Za-z_$\u0080-\uffff][\w$]*)|(?P<num>\d[\w.]*)|(?P<op>::|->|=>|<<|&&|\|\||[-+*/%&|^=!<>]=|.)"""
 )
+_TOKEN = re.compile(_TOKENS, re.S | re.M | re.X)
+#: where single quotes hold whole strings
+_QUOTED = re.compile(_TOKENS.replace(_CHAR, r"(?P<chr>'(?:\\.|[^'\\\n])*')"), re.S | re.M | re.X)
 
 
 @dataclass(frozen=True)
@@ -45,6 +48,8 @@ SPECS = {
 }
 _NOT_CALLS = {"if", "for", "while", "switch", "return", "catch", "sizeof", "fn", "function", "func", "new", "else", "await", "typeof", "delete", "throw", "using", "foreach", "synchronized", "super", "do", "in", "of", "as", "case", "let", "const", "var", "static_assert", "decltype", "alignof", "noexcept", "operator", "template", "unsafe", "yield", "not"}
 _NOT_CALLS_IN = {"rust": {"match", "loop", "move", "where"}, "go": {"go", "defer", "select", "range"}, "csharp": {"lock", "where"}, "cpp": {"and", "or", "not"}}
+#: of the words above those that are plain names
+_NAMES_IN = {"rust": {"new", "delete", "func", "function", "of", "case", "do", "throw", "catch", "switch", "using", "foreach", "operator", "template", "not"}, "go": {"new", "delete", "of", "fn", "function", "catch", "throw", "using", "not", "operator", "template"}}
 _MODIFIERS = {"public", "private", "protected", "static", "readonly", "abstract", "override", "declare", "async", "const", "mut", "pub", "virtual", "inline", "final", "explicit", "constexpr", "mutable", "volatile", "unsigned", "signed", "ref", "dyn", "impl", "export", "default", "crate", "unsafe", "extern", "friend", "typename", "struct", "class", "enum", "out", "params", "in", "get", "set"}
 _TESTS = ("TEST", "TEST_F", "TEST_P", "TYPED_TEST", "TYPED_TEST_P", "BOOST_AUTO_TEST_CASE", "BOOST_TEST_CASE", "CATCH_TEST_CASE", "TEST_CASE", "SCENARIO")
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
@@ -59,9 +64,9 @@ class Tok:
     line: int
 
 
-def lex(text: str) -> list[Tok]:
+def lex(text: str, quoted: bool = False) -> list[Tok]:
     out, line, last = [], 1, 0
-    for m in _TOKEN.finditer(text):
+    for m in (_QUOTED if quoted else _TOKEN).finditer(text):
         kind = m.lastgroup
         line += text.count("\n", last, m.start())
         last = m.start()
@@ -79,7 +84,7 @@ def type_names(toks: list[Tok]) -> list[str]:
     out: list[str] = []
     i = 0
     while i < len(toks):
-        if toks[i].kind == "word" and toks[i].text not in _MODIFIERS:
+        if toks[i].kind == "word" and toks[i].text not in _MODIFIERS and not (i and toks[i - 1].text == "'"):
             path = [toks[i].text]
             while i + 2 < len(toks) and toks[i + 1].text in ("::", ".") and toks[i + 2].kind == "word":
                 path.append(toks[i + 2].text)
@@ -92,9 +97,9 @@ def type_names(toks: list[Tok]) -> list[str]:
 class Scanner:
     def __init__(self, text: str, language: str):
         self.text, self.language, self.spec = text, language, SPECS[language]
-        self.not_calls = _NOT_CALLS | _NOT_CALLS_IN.get(language, set())
+        self.not_calls = _NOT_CALLS - _NAMES_IN.get(language, set()) | _NOT_CALLS_IN.get(language, set())
         self.local_words = {"rust": ("let",), "typescript": ("let", "const", "var")}.get(language, ())
-        self.toks = lex(text)
+        self.toks = lex(text, language in ("typescript", "javascript"))
         self.out = [Fact("root", None, "file", -1, 0, len(text), 1)]
         self.close = self._match()
 
@@ -243,6 +248,10 @@ class Scanner:
         nxt = self.toks[i + 1] if i + 1 < stop else None
         if t.kind != "word":
             return i
+        if t.text == {"rust": "use", "cpp": "using"}.get(self.language) and nxt and where in ("root", "module", "func", "code"):
+            return self.use(i, stop, parent, skip)
+        if self.language in ("typescript", "javascript") and where in ("root", "module") and (t.text == "import" or t.text == "export" and nxt and nxt.text in ("{", "*")):
+            return self.module_import(i, stop, parent)
         if self.language == "rust" and t.text == "macro_rules":
             if nxt and nxt.text == "!" and i + 3 < stop:
                 e = self.end(i + 3)
@@ -279,6 +288,67 @@ class Scanner:
             return self.member(i, stop, parent, where, marks, skip)
         return i
 
+    def imported(self, name: str, path: list[str], parent: int, a: int, b: int) -> None:
+        if path:
+            self.add("import", name, None, parent, a, b, types=[".".join(path)], names_symbol=False)
+
+    def use(self, i: int, stop: int, parent: int, skip: bool) -> int:
+        """`use a::{b as c, d::*};`, `using a::b;`, `using namespace a;`."""
+        everything = self.language == "cpp" and self.toks[i + 1].text == "namespace"
+        last = next((k for k in range(i, stop) if self.toks[k].text in (";", "=")), stop)
+        if last < stop and self.toks[last].text == "=":  # a type alias
+            return i
+        if not skip:
+            for name, path in self.use_tree(i + 1 + everything, last, [])[0]:
+                self.imported("*" if everything else name, path, parent, i, last)
+        return last + 1
+
+    def use_tree(self, i: int, stop: int, path: list[str]) -> tuple[list[tuple[str, list[str]]], int]:
+        while i < stop:
+            x = self.toks[i]
+            if x.text == "{":
+                out, e, i = [], min(self.end(i), stop), i + 1
+                while i < e:
+                    got, to = self.use_tree(i, e, path)
+                    out, i = out + got, max(to, i + 1)
+                return out, e + 1
+            if x.text == "*":
+                return [("*", path)], i + 1
+            if x.text == "as" and i + 1 < stop:
+                return [(self.toks[i + 1].text, path)], i + 2
+            if x.kind == "word":
+                path = path if x.text == "self" and path else [*path, x.text]
+                if i + 1 >= stop or self.toks[i + 1].text not in ("::", "as"):
+                    return [(path[-1], path)], i + 1
+            elif x.text != "::":
+                return [], i + 1
+            i += 1
+        return [], i
+
+    def module_import(self, i: int, stop: int, parent: int) -> int:
+        """`import A, {B as C} from "./d"`, `import * as N from "./d"`, `export {B} from "./d"`."""
+        e = next((k for k in range(i + 1, min(stop, i + 400)) if self.toks[k].kind in ("str", "chr") or self.toks[k].text in (";", "(")), stop)
+        if e >= stop or self.toks[e].kind not in ("str", "chr"):
+            return i
+        spec = self.toks[e].text[1:-1]
+        steps = [x for x in re.sub(r"\.(js|jsx|ts|tsx|mjs)$", "", spec).split("/") if x not in ("", "index")]
+        if not steps or steps[0] not in (".", ".."):
+            return e + 1  # a package from elsewhere
+        base = [HERE, *[ABOVE if x == ".." else x for x in steps if x != "."]]
+        k = i + 1
+        while k < e:
+            x, after = self.toks[k], self.toks[k + 1].text if k + 1 < e else ""
+            if x.text == "*":
+                self.imported(self.toks[k + 2].text if after == "as" and k + 2 < e else "*", base, parent, i, e)
+                k += 3 if after == "as" else 1
+            elif x.kind == "word" and x.text not in ("from", "type"):
+                alias = self.toks[k + 2].text if after == "as" and k + 2 < e else x.text
+                self.imported(alias, [*base, x.text], parent, i, e)
+                k += 3 if after == "as" else 1
+            else:
+                k += 1
+        return e + 1
+
     def impl(self, i: int, stop: int, parent: int, skip: bool) -> int:
         j = self.angle(i + 1)
         head: list[Tok] = []
@@ -300,7 +370,9 @@ class Scanner:
         if t.text in ("enum",) and self.toks[j].text in ("class", "struct") and j + 1 < stop:
             j += 1
         kind, symbol = self.spec.types[t.text]
+        generic = j + 1
         name, j = self.toks[j].text, self.angle(j + 1)
+        generic = (generic, j)
         if self.spec.go:
             what = self.toks[j].text if j < stop else ""
             if what not in ("struct", "interface"):
@@ -348,6 +420,7 @@ class Scanner:
         e = self.end(j)
         if not skip:
             me = self.add(kind, name, symbol, parent, i, e, types=bases[:1], contracts=contracts + bases[1:], decorators=list(marks))
+            self.type_parameters(*generic, me)
             if tuple_body:
                 if self.spec.typed and self.language == "rust":
                     for n, part in enumerate(self.split(j + 1, e)):
@@ -358,6 +431,19 @@ class Scanner:
                 self.body(j + 1, e, me, "trait" if kind == "trait" else kind)
         return e + 1
 
+    def type_parameters(self, i: int, stop: int, me: int) -> None:
+        """`<T: Bound, U extends Base>` between i and stop."""
+        if self.language not in ("rust", "typescript") or stop <= i + 2:
+            return
+        for part in self.split(i + 1, stop - 1):
+            toks = [self.toks[k] for k in part]
+            if toks[0].kind != "word" or toks[0].text == "const":
+                continue
+            at = next((n for n, x in enumerate(toks) if x.text in (":", "extends")), None)
+            end = next((n for n, x in enumerate(toks) if x.text == "="), len(toks))
+            bounds = self.types(toks[at + 1 : end]) if at is not None else []
+            self.add("type_parameter", toks[0].text, "type_parameter", me, part[0], part[-1], types=bounds[:1])
+
     def split(self, i: int, stop: int) -> list[list[int]]:
         """Token indices between top-level commas."""
         out, now, depth = [], [], 0
@@ -416,6 +502,7 @@ class Scanner:
             return last + 1 if has_body or k < stop and self.toks[k].text == ";" else k
         is_method = method or where in ("class", "interface", "trait", "impl")
         me = self.add("method" if is_method else "func", self.toks[name_at].text, "method" if is_method else "function", parent, i, last if has_body else max(e, k - 1), decorators=list(marks))
+        self.type_parameters(name_at + 1, j, me)
         if self.spec.typed:
             for part in self.split(j + 1, e):
                 self.typed_part("parameter", part, me, "variable")

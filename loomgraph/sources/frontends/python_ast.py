@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 
-from . import Fact
+from . import ABOVE, HERE, Fact
 
 
 def _path(node: ast.expr) -> str | None:
@@ -17,6 +17,15 @@ def _path(node: ast.expr) -> str | None:
     return None
 
 
+def _imports(node: ast.Import | ast.ImportFrom) -> list[tuple[str, str]]:
+    """(name here, path); relative ones begin with HERE."""
+    if isinstance(node, ast.Import):
+        return [(a.asname, a.name) if a.asname else (a.name.split(".")[0],) * 2 for a in node.names]
+    above = [*([HERE] if node.level else []), *[ABOVE] * (node.level - 1), *(node.module or "").split(".")]
+    above = [x for x in above if x]
+    return [("*", ".".join(above)) if a.name == "*" else (a.asname or a.name, ".".join([*above, a.name])) for a in node.names]
+
+
 def facts(text: str) -> list[Fact]:
     lines = text.split("\n")
     starts = [0]
@@ -37,7 +46,11 @@ def facts(text: str) -> list[Fact]:
             out.append(Fact("class", node.name, "struct", parent, *place(node), types=[p for b in node.bases if (p := _path(b))], decorators=[p for d in node.decorator_list if (p := _path(d.func if isinstance(d, ast.Call) else d))]))
         elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             me, mine = len(out), False
-            out.append(Fact("method" if in_class else "func", node.name, "method" if in_class else "function", parent, *place(node)))
+            marks = [p for d in node.decorator_list if (p := _path(d.func if isinstance(d, ast.Call) else d))]
+            out.append(Fact("method" if in_class else "func", node.name, "method" if in_class else "function", parent, *place(node), decorators=marks))
+        elif isinstance(node, ast.Import | ast.ImportFrom):
+            for name, path in _imports(node):
+                out.append(Fact("import", name, None, parent, *place(node), types=[path], names_symbol=False))
         elif isinstance(node, ast.Call):
             if name := _path(node.func):
                 me = len(out)
