@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..kinds import KIND_SETS
 from .blocks import members
 from .relations import with_inverses
-from .resolve import chase, type_reference
+from .resolve import chase
 
 
 class Linker:
@@ -112,6 +112,3 @@ class Linker:
             target = self._to_block(self.impls.select(F.col("target_symbol").alias("s"), "target_args"), "s").select(F.col("dst").alias("src"), F.explode("target_args").alias("a"))
             rows = rows.unionAll(self._to_block(target, "a").select("src", "dst"))
         return rows.groupBy(F.col("src").alias("block_id")).agg(F.sort_array(F.collect_set("dst")).alias("type_deps"))
-
-    def references(self) -> DataFrame:
-        return type_reference(self.symbol, self.chased)

@@ -110,8 +110,8 @@ def type_reference(symbol: DataFrame, chased: DataFrame) -> DataFrame:
 
 
 def display_type(symbol: DataFrame) -> DataFrame:
-    """(symbol_id, shown_id): variants show none, a type parameter its bound if it has one."""
-    return symbol.select("symbol_id", F.when(F.col("kind") == "enum_variant", F.lit(None)).when((F.col("kind") == "type_parameter") & F.col("type_of").isNotNull(), F.col("type_of")).otherwise(F.col("type_of")).alias("shown_id"))
+    """(symbol_id, shown_id): the type, of a type parameter its bound; variants show none."""
+    return symbol.select("symbol_id", F.when(F.col("kind") != "enum_variant", F.col("type_of")).alias("shown_id"))
 
 
 def members(refs: DataFrame, chased: DataFrame, symbol: DataFrame, scope_parent: DataFrame, scope_symbol: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from ..operators import relations as R
 from ..operators import resolve as N
 from ..operators import rollup as U
 from ..operators.graph import Graph
-from . import generated
+from . import generated, names
 from .star import SQL, Star, key, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -609,8 +609,10 @@ def node_columns(spark, sf_dir):
     return meta.select("unit_id", T.location(F.col("file_path"), F.col("unit_id")).alias("location"), T.module_key(F.col("package_name"), F.col("module_name")).alias("module_key"))
 
 
-QUERIES |= generated.QUERIES
-ORACLES |= generated.ORACLES
+for more in (generated, names):
+    QUERIES |= more.QUERIES
+    ORACLES |= more.ORACLES
+ORACLES["pagerank_joins_10"] = ORACLES["pagerank_influence_10"]
 
 HEADLINE = (
     "related_one_hop", "related_two_hop_types", "contracts_bag_union", "relation_stats", "edges_visible", "type_dep_suppressed", "component_package", "component_module", "weighted_adjacency", "pagerank_influence_10",
