@@ -45,7 +45,7 @@ def materialized(block: DataFrame, rounds: int = 64) -> DataFrame:
 
 def owned_symbols(block: DataFrame, symbol: DataFrame) -> DataFrame:
     """(symbol_id, block_id): the block that a symbol stands for; not for impl and return, unnamed fields, primitives."""
-    mine = block.where(~F.col("kind").isin(*NO_SYMBOL_BLOCK) & F.col("symbol_id").isNotNull() & ~((F.col("kind") == "field") & F.col("name").rlike("^[0-9]+$")))
+    mine = block.where(~F.col("kind").isin(*NO_SYMBOL_BLOCK) & F.col("symbol_id").isNotNull() & ~((F.col("kind") == "field") & F.coalesce(F.col("name").rlike("^[0-9]+$"), F.lit(True))))
     return mine.join(symbol.where("kind <> 'primitive'").select("symbol_id"), "symbol_id", "left_semi").groupBy("symbol_id").agg(F.min("block_id").alias("block_id"))
 
 

@@ -236,7 +236,7 @@ def retain_subset(spark, sf_dir):
 
 _NAMED = """
 named as (select v.block_id, v.unit_id, m.package_root, m.module_root, m.module_name, coalesce(m.package_name, 'unknown') as package,
-  coalesce(m.module_name, regexp_extract(m.file_path, '([^/]+)\\.[^./]*$', 1), 'unknown') as segment, m.file_path from visible v left join unit_meta m on m.unit_id = v.unit_id where v.kind in ('class', 'trait')),
+  coalesce(m.module_name, regexp_extract(m.file_path, '([^/]+)\\.[^./]*$', 1), 'unknown') as segment, m.file_path from visible v left join unit_meta m on m.unit_id = v.unit_id),
 ided as (select *, 'package_' || regexp_replace(package, '[^A-Za-z0-9]', '_', 'g') as pid, 'namespace_' || regexp_replace(package, '[^A-Za-z0-9]', '_', 'g') || '_' || regexp_replace(segment, '[^A-Za-z0-9]', '_', 'g') as mid from named)
 """
 _EDGE_ROLL = """select src, dst, cast(sum(n) as bigint) as weight, string_agg(kind || ':' || n, ',' order by kind) as via from
@@ -244,8 +244,7 @@ _EDGE_ROLL = """select src, dst, cast(sum(n) as bigint) as weight, string_agg(ki
 
 
 def _named(s: Star, depth: int) -> DataFrame:
-    nodes = C.nodes(Graph(s.block(), s.facts())).where(F.col("kind").isin("class", "trait"))
-    return U.classified(nodes, s.unit_meta(), depth)
+    return U.classified(C.nodes(Graph(s.block(), s.facts())), s.unit_meta(), depth)
 
 
 @query("," + _ORIENTED.rstrip() + "," + _NAMED + _EDGE_ROLL.format(c="pid"))
@@ -273,11 +272,11 @@ def component_project(spark, sf_dir):
     return U.components(named).select("component_id").join(U.component_edges(named, near_edges(s)).groupBy(F.col("src").alias("component_id")).agg(F.count("*").cast("int").alias("edges")), "component_id", "left").select("component_id", F.coalesce("edges", F.lit(0)).alias("edges"))
 
 
-@query("""select 'world' as p, package_name, module_name, count(*) as nodes, grouping_id('world', package_name, module_name) as level from visible v join unit_meta m on m.unit_id = v.unit_id
-group by rollup(package_name, module_name)""".replace("grouping_id('world', package_name, module_name)", "grouping(package_name, module_name)").replace("'world' as p, ", ""))
+@query("""select package_name, module_name, nodes, level from (select p, package_name, module_name, count(*) as nodes, grouping(p, package_name, module_name) as level from
+(select case when m.unit_id is not null then 'world' end as p, m.package_name, m.module_name from visible v left join unit_meta m on m.unit_id = v.unit_id) x group by rollup(p, package_name, module_name)) y where level < 7""")
 def component_rollup_levels(spark, sf_dir):
     s = Star(spark, sf_dir)
-    out = U.level_counts(C.nodes(s.graph()).where("unit_id >= 0"), s.unit_meta()).where("level < 7")
+    out = U.level_counts(C.nodes(s.graph()), s.unit_meta()).where("level < 7")
     return out.select("package_name", "module_name", "nodes", F.col("level").cast("long").alias("level"))
 
 
