@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kinds import NOMINAL, VISIBLE
+from ..kinds import KIND_SETS, NOMINAL, VISIBLE
 from ..session import settle
 from . import relations as R
 
@@ -112,6 +112,28 @@ class Graph:
         """A bag: what its implementations conform to, and what it conforms to itself."""
         return self._through("has_impl", "implements").unionAll(self.hop("implements"))
 
+    def try_block(self, block_id: int):
+        """The block's row, or None."""
+        return self.block_info(block_id).first()
+
+    def try_field(self, owner: int, name: str):
+        """The owner's first field of that name, or None."""
+        mine = self.hop("has_field").where(F.col("src") == owner).select(F.col("dst").alias("block_id"))
+        return self.block.join(mine, "block_id", "left_semi").where(F.col("name") == name).orderBy("block_id").first()
+
+    def actual_types(self, symbol: DataFrame) -> DataFrame:
+        """(block_id, type_symbol_id, type_block_id): what a block's type stands for, over one alias link; types without a block go."""
+        actual = F.when(F.col("kind").isin(*KIND_SETS["alias_link"]), F.coalesce("type_of", "symbol_id")).otherwise(F.col("symbol_id"))
+        step = symbol.select("symbol_id", actual.alias("type_symbol_id"))
+        owner = symbol.where("block_id is not null").select(F.col("symbol_id").alias("type_symbol_id"), F.col("block_id").alias("type_block_id"))
+        typed = self.block.where("type_symbol_id is not null").select("block_id", F.col("type_symbol_id").alias("symbol_id"))
+        return typed.join(step, "symbol_id").join(owner, "type_symbol_id").select("block_id", "type_symbol_id", "type_block_id")
+
+    def nested_type_blocks(self, symbol: DataFrame) -> DataFrame:
+        """(block_id, place, type_block_id): a block's type arguments in order; those without a block go."""
+        owner = symbol.where("block_id is not null").select("symbol_id", F.col("block_id").alias("type_block_id"))
+        return self.block.select("block_id", F.posexplode("nested_types").alias("place", "symbol_id")).join(owner, "symbol_id").select("block_id", "place", "type_block_id")
+
     # closures
 
     def field_types(self, max_depth: int = 64) -> DataFrame:

@@ -70,6 +70,14 @@ def modules(owned: DataFrame, containers: tuple[str, ...]) -> DataFrame:
     return out.withColumn("module_name", F.when(F.col("depth").isNotNull(), step["name"])).withColumn("module_root", F.when(F.col("depth").isNotNull(), root)).select(*owned.columns, "module_name", "module_root")
 
 
+def folder_counts(files: DataFrame) -> DataFrame:
+    """`files(path)` -> (folder, files, beside): files below a folder, and those below its siblings (the folder above, less itself)."""
+    per = files.select(F.explode(ancestors(F.col("path"))).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("files"))
+    up = per.select(F.col("folder").alias("above"), F.col("files").alias("all"))
+    at = per.withColumn("above", parent_dir(F.col("folder")))
+    return at.join(up, "above", "left").select("folder", "files", (F.coalesce("all", "files") - F.col("files")).alias("beside"))
+
+
 def package_index(rows: DataFrame) -> DataFrame:
     """Adds package_index: order of the packages' first units; files without a package share 0."""
     first = rows.where("package_root is not null").groupBy("package_root").agg(F.min("unit_id").alias("first"))

@@ -44,7 +44,8 @@ class SourceTree:
         c = F.col
         head = self.nation.select("n", F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), _text(
             "use crate::n", c("first"), "::Home as First;\npub struct Home { pub size: u32 }\npub struct Pair { pub near: Home, pub far: First }\npub fn make() {}\n",
-            "pub trait Marked { }\npub trait Sells { fn sell(&self); }\npub fn pick<T: Marked>(x: T) { }",
+            "pub trait Marked { }\npub trait Sells { fn sell(&self); }\npub fn pick<T: Marked>(x: T) { }\n",
+            "pub struct Bag<T> { pub item: T }\npub struct Shelf { pub bag: Bag<Pair> }",
         ).alias("text"))
         sellers = self.supplier.select(c("s_nationkey").cast("long").alias("n"), F.lit(1).alias("part"), c("s_suppkey").alias("at"), _text(
             "pub struct S", c("s_suppkey"), " { pub home: Home }\nimpl Sells for S", c("s_suppkey"), " { fn sell(&self) { make(); } }"
@@ -144,14 +145,33 @@ def source_package_calls(spark, sf_dir):
     return out.groupBy("caller", "callee").agg(F.count("*").alias("n"))
 
 
+def source_actual_types(spark, sf_dir):
+    p = project(spark, sf_dir)
+    types = p.graph.actual_types(p.symbol).select("block_id", F.col("type_block_id").alias("dst")).join(_named(p, "dst"), "dst")
+    out = types.join(_named(p, "src"), F.col("block_id") == F.col("src"))
+    return out.groupBy(F.col("src_file").alias("file"), F.col("src_kind").alias("kind"), F.col("dst_name").alias("type"), F.col("dst_file").alias("type_file")).agg(F.count("*").alias("n"))
+
+
+def source_type_arguments(spark, sf_dir):
+    p = project(spark, sf_dir)
+    out = p.graph.nested_type_blocks(p.symbol).withColumnRenamed("block_id", "src").withColumnRenamed("type_block_id", "dst").join(_named(p, "src"), "src").join(_named(p, "dst"), "dst")
+    return out.select(F.col("src_file").alias("file"), F.col("src_name").alias("field"), "place", F.col("dst_name").alias("argument"), F.col("dst_file").alias("argument_file"))
+
+
 ORACLES = {
+    "source_actual_types": """select file, kind, type, type_file, count(*) as n from (
+        select n as file, 'field' as kind, 'Home' as type, n as type_file from nat union all select n, 'field', 'Home', first from nat union all select n, 'field', 'Bag', n from nat
+        union all select n, 'parameter', 'Marked', n from nat union all select sn, 'field', 'Home', sn from sup union all select sn, 'impl', 'S' || s, sn from sup
+        union all select n, 'field', 'Home', n from customer join nat on c_nationkey = n union all select n, 'field', 'Home', first from customer join nat on c_nationkey = n
+        union all select n, 'parameter', 'C' || c, n from sales union all select n, 'parameter', 'S' || s, sn from sales union all select n, 'return', 'Home', n from sales) t group by file, kind, type, type_file""",
+    "source_type_arguments": "select n as file, 'bag' as field, 0 as place, 'Pair' as argument, n as argument_file from nat",
     "source_blocks": """select file, kind, cast(sum(n) as bigint) as n from (
-        select n as file, unnest(['root', 'class', 'field', 'class', 'field', 'field', 'func', 'trait', 'trait', 'method', 'parameter', 'func', 'parameter']) as kind, 1 as n from nat
+        select n as file, unnest(['root', 'class', 'field', 'class', 'field', 'field', 'func', 'trait', 'trait', 'method', 'parameter', 'func', 'parameter', 'class', 'field', 'class', 'field']) as kind, 1 as n from nat
         union all select n, unnest(['class', 'field', 'impl', 'method', 'parameter', 'call']), 1 from sup join nat on sn = n
         union all select n, unnest(['class', 'field', 'field']), 1 from customer join nat on c_nationkey = n
         union all select n, unnest(['func', 'parameter', 'parameter', 'return', 'call', 'call']), 1 from sales) group by file, kind""",
     "source_field_types": """select n as file, 'Pair' as owner, 'near' as field, 'Home' as type, n as type_file from nat union all select n, 'Pair', 'far', 'Home', first from nat
-        union all select sn, 'S' || s, 'home', 'Home', sn from sup union all select n, 'C' || c_custkey, 'home', 'Home', n from customer join nat on c_nationkey = n
+        union all select n, 'Shelf', 'bag', 'Bag', n from nat union all select sn, 'S' || s, 'home', 'Home', sn from sup union all select n, 'C' || c_custkey, 'home', 'Home', n from customer join nat on c_nationkey = n
         union all select n, 'C' || c_custkey, 'other', 'Home', first from customer join nat on c_nationkey = n""",
     "source_signatures": """select n as file, 'o' || o as func, 'takes' as role, 'C' || c as type, n as type_file from sales union all select n, 'o' || o, 'takes', 'S' || s, sn from sales
         union all select n, 'o' || o, 'gives', 'Home', n from sales union all select n, 'pick', 'takes', 'Marked', n from nat""",
@@ -163,4 +183,4 @@ ORACLES = {
     "source_package_calls": "select 'r' || a.r as caller, 'r' || sr as callee, 2 * count(*) as n from sales join nat a on a.n = sales.n group by 1, 2",
 }
 ORACLES = {name: SQL + sql for name, sql in ORACLES.items()}
-QUERIES = {f.__name__: f for f in (source_blocks, source_field_types, source_signatures, source_calls, source_impls, source_methods, source_bounds, source_package_calls)}
+QUERIES = {f.__name__: f for f in (source_blocks, source_field_types, source_signatures, source_calls, source_impls, source_methods, source_bounds, source_package_calls, source_actual_types, source_type_arguments)}

@@ -134,6 +134,14 @@ def project_of_files(spark, sf_dir):
     return M.project_root(nation.select(F.concat(F.lit("w/r"), F.col("n_regionkey").cast("string"), F.lit("/src/"), "n_name", F.lit(".rs")).alias("path")))
 
 
+@query("""with f as (select 'w/r' || n_regionkey as a, 'w/r' || n_regionkey || '/src' as b from nation),
+per as (select folder, count(*) as files from (select a as folder from f union all select b from f union all select 'w' from f) x group by folder)
+select p.folder, p.files, coalesce(u.files, p.files) - p.files as beside from per p left join per u on u.folder = case when p.folder like '%/%' then regexp_replace(p.folder, '/[^/]*$', '') end""")
+def folder_counts(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation")
+    return M.folder_counts(nation.select(F.concat(F.lit("w/r"), F.col("n_regionkey").cast("string"), F.lit("/src/"), "n_name", F.lit(".rs")).alias("path")))
+
+
 def pagerank_joins_10(spark, sf_dir):
     """The engine that has no bound on its size, with as many rounds as the other."""
     return K.pagerank(Star(spark, sf_dir).graph(), INFLUENCE, iterations=10, engine="joins").select("block_id", F.round("rank", 9).alias("rank"))

@@ -51,6 +51,7 @@ _NOT_CALLS_IN = {"rust": {"match", "loop", "move", "where"}, "go": {"go", "defer
 #: of the words above those that are plain names
 _NAMES_IN = {"rust": {"new", "delete", "func", "function", "of", "case", "do", "throw", "catch", "switch", "using", "foreach", "operator", "template", "not"}, "go": {"new", "delete", "of", "fn", "function", "catch", "throw", "using", "not", "operator", "template"}}
 _MODIFIERS = {"public", "private", "protected", "static", "readonly", "abstract", "override", "declare", "async", "const", "mut", "pub", "virtual", "inline", "final", "explicit", "constexpr", "mutable", "volatile", "unsigned", "signed", "ref", "dyn", "impl", "export", "default", "crate", "unsafe", "extern", "friend", "typename", "struct", "class", "enum", "out", "params", "in", "get", "set"}
+#: macros that declare tests (fixed values)
 _TESTS = ("TEST", "TEST_F", "TEST_P", "TYPED_TEST", "TYPED_TEST_P", "BOOST_AUTO_TEST_CASE", "BOOST_TEST_CASE", "CATCH_TEST_CASE", "TEST_CASE", "SCENARIO")
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 
