@@ -103,17 +103,11 @@ def features(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([at, more + SHAPES]), np.concatenate([values, WORD_WEIGHT * shares])
 
 
-def vector(text: bytes | None) -> np.ndarray:
-    out = np.zeros(DIMS, np.float32)
-    at, values = features(text)
-    out[at] = values
-    return out
-
-
 def _vectors(batches):
     for batch in batches:
-        got = np.array([vector(t) for t in raw_bytes(batch.column("text"))], np.float32).reshape(-1, DIMS)
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([v.tobytes() for v in got], pa.binary())], names=["label", "vec"])
+        got = [features(t) for t in raw_bytes(batch.column("text"))]
+        slots = pa.array([at.astype(np.int32).tobytes() for at, _ in got], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("label"), slots, pa.array([v.tobytes() for _, v in got], pa.binary())], names=["label", "slots", "shares"])
 
 
 def _leading(a: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -128,20 +122,24 @@ def _leading(a: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 class Model:
     """What is broadcast: weights, projection, labelled latent vectors and their labels."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, latent: int = LATENT, neighbours: int = NEIGHBOURS):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, latent: int = LATENT, neighbours: int = NEIGHBOURS):
+        """`rows`: (slots, values) of the labelled texts, `y` their labels."""
         self.prior = float(y.mean()) if len(y) else 0.5
         self.neighbours = neighbours
         self.ready = len(set(y.tolist())) == 2
         if not self.ready:
             return
-        self.idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))) + 1
-        weighted = x * self.idf.astype(np.float32)
-        weighted /= np.linalg.norm(weighted, axis=1, keepdims=True)
+        seen = np.bincount(np.concatenate([at for at, _ in rows]), minlength=DIMS)
+        self.idf = np.log((1 + len(rows)) / (1 + seen)) + 1
+        weighted = np.zeros((len(rows), DIMS), np.float32)
+        for i, (at, values) in enumerate(rows):
+            w = values * self.idf[at]
+            weighted[i, at] = w / np.linalg.norm(w)
         self.basis = _leading(weighted, latent)
         del weighted
         order = np.argsort(y, kind="stable")
         self.y = y[order].astype(np.float64)
-        self.latent = self.project([(np.flatnonzero(row), row[row != 0].astype(np.float64)) for row in x[order]])
+        self.latent = self.project([rows[i] for i in order])
         # classes of unequal size vote with equal weight
         self.vote = np.where(self.y == 1, 0.5 / self.y.mean(), 0.5 / (1 - self.y.mean()))
 
@@ -177,14 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = pick[0].unionAll(pick[1])  # at most 2 * per_class rows
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
     texts = texts.groupBy("_id", "label").agg(F.min("text").alias("text"))  # repeated ids count once
-    got = map_batches(texts.select("label", "text"), _vectors, "label int, vec binary").toArrow()
-    y = got.column("label").to_numpy()
-    x = np.empty((len(y), DIMS), np.float32)
-    for i, v in enumerate(got.column("vec")):
-        x[i] = np.frombuffer(v.as_buffer(), np.float32)
-    del got
-    order = np.lexsort((*x.T[:8], *x.T[SHAPES : SHAPES + 8], y)) if len(y) else slice(None)
-    return Model(x[order], y[order])
+    got = map_batches(texts.select("label", "text"), _vectors, "label int, slots binary, shares binary").toArrow()
+    rows = sorted(zip(*[got.column(c).to_pylist() for c in ("label", "slots", "shares")]))
+    return Model([(np.frombuffer(at, np.int32), np.frombuffer(v)) for _, at, v in rows], np.array([y for y, *_ in rows], np.int64))
 
 
 def _scorer(shared, text_col: str):

@@ -167,7 +167,8 @@ def test_quality_votes_are_exact():
     x = np.sqrt(rng.dirichlet(np.ones(16) * 0.3, 120) @ topics).astype(np.float32)
     x[100:120] = x[0]  # twenty equal ones, with both labels
     y = np.array([0] * 40 + [1] * 80)
-    model = quality_knn.Model(x, y, latent=16, neighbours=7)
+    rows = [(np.flatnonzero(r), r[r != 0].astype(np.float64)) for r in x]
+    model = quality_knn.Model(rows, y, latent=16, neighbours=7)
     idf = np.log(121 / (1 + (x > 0).sum(0))) + 1
     weighted = x * idf
     weighted /= np.linalg.norm(weighted, axis=1, keepdims=True)
@@ -175,7 +176,6 @@ def test_quality_votes_are_exact():
     z = (x * idf) @ basis
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     cos = np.round(z @ z.T, 5)
-    rows = [(np.flatnonzero(r), r[r != 0].astype(np.float64)) for r in x]
     got, turned = model.scores(rows, block=11), model.scores(rows[::-1], block=64)[::-1]
     assert np.abs(got - turned).max() < 1e-9
     share = y.mean()
