@@ -50,11 +50,34 @@ def innermost(candidates: DataFrame, key: str = "ref_id", depth: str = "depth")
 
 
 def lexical(refs: DataFrame, chain: DataFrame, scope_symbol: DataFrame, symbol: DataFrame) -> DataFrame:
-    """`refs(ref_id, scope_id, name, kinds, ref_unit, ref_package)` -> (ref_id, symbol_id)."""
-    named = scope_symbol.select(F.col("scope_id").alias("ancestor_id"), "name", "symbol_id", "ordinal")
-    met = refs.join(chain, "scope_id").join(named, ["ancestor_id", "name"])
-    met = met.join(symbol.select("symbol_id", "kind", "unit_id", "package_index"), "symbol_id").where(in_set(F.col("kind"), F.col("kinds")))
-    return by_precedence(innermost(met))
+    """`refs(ref_id, scope_id, name, kinds, ref_unit, ref_package)` -> (ref_id, symbol_id).
+
+    A reference meets a scope's symbols of its name as one row a kind, never one by one: a kind that several symbols share
+    is looked up by unit, package, both and neither, each of which holds its last symbols only.
+    """
+    at = ["ancestor_id", "name", "kind"]
+    named = scope_symbol.select(F.col("scope_id").alias("ancestor_id"), "name", "symbol_id", "ordinal").join(symbol.select("symbol_id", "kind", "unit_id", "package_index"), "symbol_id")
+    candidate = F.struct("ordinal", "symbol_id", "unit_id", "package_index")
+    groups = settle(named.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.max(candidate).alias("last")), "scope-names")
+    met = refs.join(chain.select("scope_id", "ancestor_id", "depth"), "scope_id").join(groups, ["ancestor_id", "name"]).where(in_set(F.col("kind"), F.col("kinds")))
+    met = met.withColumn("_near", F.rank().over(Window.partitionBy("ref_id").orderBy("depth"))).where("_near = 1")
+    met = settle(met.select("ref_id", "ref_unit", "ref_package", *at, "n", "last"), "scope-hits")
+    found = met.where("n = 1").select("ref_id", "ref_unit", "ref_package", "last.*")
+    # of several the best for any unit and package is the last of those that share both, one or none with the reference
+    unit, package = F.col("unit_id"), F.col("package_index")
+    several = named.join(groups.where("n > 1").select(*at), at, "left_semi")
+    several = several.select(*at, candidate.alias("c"), unit.isNotNull().alias("u"), package.isNotNull().alias("p"), F.explode(_views(unit, package)).alias("view"))
+    best = lambda *known: F.max(F.when(F.expr(" and ".join(known)), F.col("c")) if known else F.col("c"))
+    several = several.where("view is not null").groupBy(*at, "view").agg(F.array_distinct(F.array_compact(F.array(best("u", "p"), best("u"), best("p"), best()))).alias("all"))
+    asked = met.where("n > 1").select("ref_id", "ref_unit", "ref_package", *at, F.explode(_views(F.col("ref_unit"), F.col("ref_package"))).alias("view")).where("view is not null")
+    more = asked.join(several, [*at, "view"]).select("ref_id", "ref_unit", "ref_package", F.explode("all").alias("c")).select("ref_id", "ref_unit", "ref_package", "c.*")
+    return by_precedence(found.unionByName(more))
+
+
+def _views(unit: Column, package: Column) -> Column:
+    """What candidates share with a reference: unit and package, the unit, the package, nothing; null where that is not known."""
+    u, p = unit.cast("long").cast("string"), package.cast("long").cast("string")
+    return F.array(F.concat(F.lit("both "), u, F.lit(" "), p), F.concat(F.lit("unit "), u), F.concat(F.lit("package "), p), F.lit("none"))
 
 
 def qualified(refs: DataFrame, chain: DataFrame, global_scope: int, scope_symbol: DataFrame, symbol: DataFrame) -> DataFrame:
