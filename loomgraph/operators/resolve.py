@@ -152,14 +152,21 @@ def overloads(calls: DataFrame, candidates: DataFrame) -> DataFrame:
     """`calls(call_id, name, types array)`, `candidates(symbol_id, name, types array)` -> (call_id, symbol_id).
 
     Among candidates of the same arity the best number of equal parameter types wins if it is positive and unique;
-    else the only candidate of that arity.
+    else the only candidate of that arity. Calls and candidates of equal name and types are compared once.
     """
-    met = calls.select("call_id", "name", F.col("types").alias("a")).join(candidates.select("symbol_id", "name", F.col("types").alias("b")), "name").where(F.size("a") == F.size("b"))
+    asked = calls.select("name", F.col("types").alias("a")).distinct()
+    known = candidates.groupBy("name", F.col("types").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("symbol_id").alias("symbol_id"))
+    met = asked.join(known, "name").where(F.size("a") == F.size("b"))
     score = F.aggregate(F.zip_with("a", "b", lambda x, y: F.coalesce((x == y).cast("int"), F.lit(0))), F.lit(0), lambda s, x: s + x)
-    met = met.select("call_id", "symbol_id", score.alias("score"))
-    best = met.groupBy("call_id").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n"))
-    top = met.join(best, "call_id").where(F.col("score") == F.col("best"))
-    return top.groupBy("call_id").agg(F.count(F.lit(1)).alias("tied"), F.first("n").alias("n"), F.first("best").alias("best"), F.min("symbol_id").alias("symbol_id")).where("tied = 1 and (best > 0 or n = 1)").select("call_id", "symbol_id")
+
+    def best(rows: DataFrame, *key: str) -> DataFrame:
+        """The best score of a key, how many candidates have it, the least of them, and how many there are in all."""
+        each = rows.groupBy(*key, "score").agg(F.sum("tied").alias("tied"), F.min("symbol_id").alias("symbol_id"), F.sum("n").alias("n"))
+        return each.groupBy(*key).agg(F.max(F.struct("score", "tied", "symbol_id")).alias("t"), F.sum("n").alias("n")).select(*key, "t.*", "n")
+
+    of_types = best(met.select("name", "a", score.alias("score"), F.col("n").alias("tied"), "n", "symbol_id"), "name", "a")
+    top = best(calls.select("call_id", "name", F.col("types").alias("a")).join(of_types, ["name", "a"]).drop("name", "a"), "call_id")
+    return top.where("tied = 1 and (score > 0 or n = 1)").select("call_id", "symbol_id")
 
 
 def member_calls(calls: DataFrame, own: DataFrame, fallback: DataFrame) -> DataFrame:

@@ -8,6 +8,19 @@ from loomgraph.kinds import KIND_SETS
 from loomgraph.operators import resolve as N
 
 
+def joined_rows(df):
+    """The most rows that a join of the executed plan put out."""
+    df.collect()
+    most, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        todo += [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        if ("Join" in name or "Product" in name) and p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+    return most
+
+
 def test_lexical_against_brute_force(spark):
     rng = random.Random(5)
     kinds = ["struct", "method", "function", "trait"]
@@ -43,3 +56,30 @@ def test_lexical_of_one_name_in_many_units(spark, monkeypatch):
     got = N.lexical(refs, chain, named, symbols).collect()
     assert len(got) == 2000 and all(r.ref_id == r.symbol_id for r in got)
     assert max(seen) <= 16 * 2000
+
+
+def test_overloads_against_brute_force(spark):
+    rng = random.Random(6)
+    types = lambda: rng.choice([None, [], *[[rng.choice(["a", "b", "c", None]) for _ in range(rng.randrange(1, 4))] for _ in range(5)]])
+    calls = [(i % 280, rng.choice("fgh"), types()) for i in range(300)]
+    known = [(i, rng.choice("fg"), types()) for i in range(25)]
+    met = {}
+    for call, name, a in calls:
+        for symbol, n, b in known:
+            if n == name and a is not None and b is not None and len(a) == len(b):
+                met.setdefault(call, []).append((sum(x is not None and x == y for x, y in zip(a, b)), symbol))
+    want = set()
+    for call, rows in met.items():
+        best = [s for score, s in rows if score == max(rows)[0]]
+        if len(best) == 1 and (max(rows)[0] > 0 or len(rows) == 1):
+            want.add((call, best[0]))
+    assert want and {tuple(r) for r in N.overloads(spark.createDataFrame(calls, "call_id long, name string, types array<string>"), spark.createDataFrame(known, "symbol_id long, name string, types array<string>")).collect()} == want
+
+
+def test_overloads_of_equal_signatures_meet_once(spark):
+    n = spark.range(1500)
+    calls = n.select(F.col("id").alias("call_id"), F.lit("f").alias("name"), F.array(F.when(F.col("id") % 2 == 0, "a").otherwise("b")).alias("types"))
+    known = n.select(F.col("id").alias("symbol_id"), F.lit("f").alias("name"), F.array(F.when(F.col("id") < 1, "a").otherwise("b")).alias("types"))
+    out = N.overloads(calls, known)
+    assert joined_rows(out) <= 4 * 1500
+    assert {tuple(r) for r in out.collect()} == {(i, 0) for i in range(0, 1500, 2)}
