@@ -86,9 +86,9 @@ def test_overloads_of_equal_signatures_meet_once(spark):
 
 
 def test_member_calls_of_one_receiver_meet_once(spark):
-    n = spark.range(1500).withColumn("name", F.concat(F.lit("f"), (F.col("id") % 1).cast("string")))
+    n = spark.range(1500).withColumn("name", F.when(F.col("id") == 0, "g").otherwise("f"))  # the plan of an empty result is cut
     none = F.array().cast("array<long>").alias("types")
     calls, own = n.select(F.col("id").alias("call_id"), "name", none), n.select(F.col("id").alias("symbol_id"), "name", none)
     out = N.member_calls(calls, own, n.select(F.col("id").alias("ref_id"), (F.col("id") + 7).alias("symbol_id")))
     assert joined_rows(out) <= 4 * 1500
-    assert {tuple(r) for r in out.collect()} == {(i, i + 7) for i in range(1500)}
+    assert {tuple(r) for r in out.collect()} == {(0, 0), *((i, i + 7) for i in range(1, 1500))}
