@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -24,21 +25,27 @@ FUNCS, HOLDERS = ("func", "method"), ("class", "trait", "interface", "enum", "im
 GLOBAL = 0
 IMPORT_ROUNDS = 2
 UNIT = 1 << 24
-
-
-def _above(found: list) -> list[tuple]:
-    """Per fact: nearest scope, function and type above it, and, for scopes, the chain from itself to the root. Parents come first."""
-    out: list[tuple] = []
-    for i, f in enumerate(found):
-        if f.parent < 0:
-            out.append((None, None, None, [i]))
-            continue
-        up, (scope, func, holder, _) = found[f.parent], out[f.parent]
-        scope = f.parent if up.kind in SCOPES else scope
-        func = f.parent if up.kind in FUNCS else func
-        holder = f.parent if up.kind in HOLDERS else holder
-        out.append((scope, func, holder, [i, *out[scope][3]] if f.kind in SCOPES else None))
-    return out
+ROWS = 1 << 13  # facts a batch, at least
+
+
+def _above(pieces) -> Iterator[list[tuple]]:
+    """Per fact: its place, the fact, nearest scope, function and type above it, and, for scopes, the chain from itself to the root. Parents come first, in the same piece or as the root."""
+    root, n = None, 0
+    for piece in pieces:
+        out: list[tuple] = []
+        for i, f in enumerate(piece, n):
+            if f.parent < 0:
+                root = (i, f, None, None, None, [i])
+                out.append(root)
+                continue
+            _, up, scope, func, holder, _ = above = out[f.parent - n] if f.parent >= n else root
+            scope = f.parent if up.kind in SCOPES else scope
+            func = f.parent if up.kind in FUNCS else func
+            holder = f.parent if up.kind in HOLDERS else holder
+            chain = above[5] if scope == f.parent else (out[scope - n] if scope >= n else root)[5]
+            out.append((i, f, scope, func, holder, [i, *chain] if f.kind in SCOPES else None))
+        n += len(piece)
+        yield out
 
 
 def _parser(batches):
@@ -47,13 +54,24 @@ def _parser(batches):
     strings = pa.list_(pa.string())
     kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), strings, strings, strings, pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
     names = [c.split()[0] for c in _FACTS.split(", ")]
+
+    def put(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
     for batch in batches:
         rows = []
-        for unit, content, lang in zip(*[batch.column(c).to_pylist() for c in ("unit_id", "content", "lang")]):
-            found = frontend(lang)((content or b"").decode("utf-8", errors="replace"))
-            rows += [(unit, i, f.parent, f.kind, f.name, f.symbol_kind, f.start, f.end, f.line, f.types, f.contracts, f.decorators, f.callee, f.names_symbol, *near) for i, (f, near) in enumerate(zip(found, _above(found)))]
-        cols = list(zip(*rows)) if rows else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+        for place in range(batch.num_rows):
+            unit, content, lang = (batch.column(c)[place].as_py() for c in ("unit_id", "content", "lang"))
+            read = frontend(lang)
+            text = (content or b"").decode("utf-8", errors="replace")
+            del content
+            for piece in _above(read.pieces(text) if hasattr(read, "pieces") else iter([read(text)])):
+                rows += [(unit, i, f.parent, f.kind, f.name, f.symbol_kind, f.start, f.end, f.line, f.types, f.contracts, f.decorators, f.callee, f.names_symbol, *near) for i, f, *near in piece]
+                if len(rows) >= ROWS:
+                    yield put(rows)
+                    rows = []
+        if rows:
+            yield put(rows)
 
 
 def parse(files: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Frontends: source text to facts. A frontend is a function (text) -> list[Fact]; register your own with `register`."""
+"""Frontends: source text to facts. A frontend is a function (text) -> list[Fact]; register your own with `register`.
+
+A frontend with an attribute `pieces`, a function (text) -> iterator of lists, is read by it: the same facts in the same order, those of a declaration at
+the top of the file in one list, so that a file is never held as facts as a whole.
+"""
 
 from __future__ import annotations
 
