@@ -1,11 +1,14 @@
-"""Near copies of whole documents: MinHash candidates, exact verification on five-word shingles, components.
+"""Near copies of whole documents: SimHash links, then MinHash candidates for what lies further apart, exact verification on five-word shingles, components.
 
 Two texts are near copies if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; the classes are the
 connected components of that relation. Words are A-Z lowered runs of non-blanks; fewer than five words make one shingle.
 
-Candidates: `BANDS` keys of `ROWS` minimum hashes each. A pair at similarity 0.8 shares no key with a probability of
-(1 - 0.8**5)**32 = 3e-6. (A SimHash does worse here: at 0.8 some 15 % of its bits differ at any width, so tables that few unrelated
-texts share number in the hundreds.) Every candidate pair is decided exactly, whatever the size of its bucket:
+First SimHash, as `simhash_dedup` has it: fingerprints of three-word shingles, linked within two bits by its covering masks. Each link is decided
+exactly; the components of those that hold are one text to what follows. At 0.8 some 15 % of a SimHash's bits differ, at any width, which no
+few tables cover, so the pairs that are further apart are found by minimum hashes.
+
+Candidates of that second step: `BANDS` keys of `ROWS` minimum hashes each. A pair at similarity 0.8 shares no key with a probability of
+(1 - 0.8**5)**32 = 3e-6. Buckets that SimHash made one component are done; every other candidate pair is decided exactly, whatever the size of its bucket:
 first all members of a bucket against its pivot, the member whose buckets are the fullest (the text that copies were made from), then,
 in buckets that still hold several components, the members of different components against each other. That second
 comparison takes a bucket in blocks of `GROUP` members and puts out links only, never pairs. A large group that its pivot joins costs a multiple of its
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from .common import discard, doc_key, map_batches, materialize, raw_bytes
 from .components import connected_components
 
@@ -74,7 +78,9 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 def _marks(batches):
     for batch in batches:
-        words = [t.lower().split() if t else [] for t in raw_bytes(batch.column("_text"))]
+        texts = raw_bytes(batch.column("_text"))
+        words = [t.lower().split() if t else [] for t in texts]
+        sims = np.array([simhash_dedup.fingerprint(t) for t in texts], np.uint64).view(np.int64)
         fps = np.array([xxhash.xxh64_intdigest(b" ".join(w), SEED) if w else 0 for w in words], np.uint64).view(np.int64)
         sets = [grams(w) for w in words]
         full = [s for s in sets if len(s)]
@@ -82,7 +88,7 @@ def _marks(batches):
         offsets = np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)])
         keys = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(band_keys(full).ravel().view(np.int64)))
         names = [n for n in batch.schema.names if n != "_text"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(fps), pa.array(sizes), keys], names=[*names, "fp", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(fps), pa.array(sims), pa.array(sizes), keys], names=[*names, "fp", "sim", "n", "keys"])
 
 
 def _sets(batches):
@@ -186,17 +192,31 @@ def _in_blocks(open_: DataFrame, sets: DataFrame, group: int) -> DataFrame:
     return map_batches(put, _compared, "u long, v long").distinct()
 
 
+def simhash_pairs(own: DataFrame) -> DataFrame:
+    """(u, v): the pairs of `own(fp, sim)` that stand for the SimHash links, one of each link of two fingerprints, and each text with the first of its fingerprint."""
+    own = own.select("fp", "sim")
+    first = own.groupBy("sim").agg(F.min("fp").alias("first"))
+    same = own.join(first, "sim").where("fp <> first").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    near = simhash_dedup.links(first.select(F.col("sim").alias("fp")))
+    near = near.join(first.select(F.col("sim").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("sim").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+    return same.unionAll(near).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def links(own: DataFrame, texts: DataFrame, group: int = GROUP) -> DataFrame:
-    """Verified pairs (u, v) that join `own(fp, n, keys)` into the classes of all candidate pairs; `texts(fp, _text)` has every fp once."""
+    """Verified pairs (u, v) that join `own(fp, sim, n, keys)` into the classes of all candidate pairs; `texts(fp, _text)` has every fp once."""
+    near = materialize(simhash_pairs(own), "near-simhash")
     rows = own.select("fp", "n", F.explode("keys").alias("key"))
     several = rows.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("key")
     shared = materialize(rows.join(several, "key"), "near-buckets")
-    met = texts.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "_text")
+    asked = shared.select("fp").unionAll(near.select(F.col("u").alias("fp"))).unionAll(near.select(F.col("v").alias("fp"))).distinct()
+    met = texts.join(asked, "fp", "left_semi").select("fp", "_text")
     sets = materialize(map_batches(met, _sets, "fp long, grams array<long>"), "near-sets")
-    found = _verified(_to_pivots(shared.withColumn("root", F.col("fp"))), sets, "near-found")
-    more = materialize(_in_blocks(_open(shared, found, "near-open"), sets, group), "near-more")
-    discard(shared)
-    discard(sets)
+    found = _verified(near, sets, "near-linked")
+    rest = _open(shared, found, "near-rest")
+    found = found.unionAll(_verified(_to_pivots(rest), sets, "near-found"))
+    more = materialize(_in_blocks(_open(rest, found, "near-open"), sets, group), "near-more")
+    for df in (near, shared, sets, rest):
+        discard(df)
     return found.unionAll(more)
 
 
@@ -204,8 +224,8 @@ def keep_representatives(docs: DataFrame, text_col: str = "text", id_col: str =
     """`docs` with one document of each class of near copies."""
     dk, th = doc_key(id_col, text_col)
     rows = docs.select(F.col(id_col).isNull().alias("none"), dk, th, F.col(text_col).alias("_text"))
-    marked = map_batches(rows, _marks, "none boolean, dk long, th long, fp long, n long, keys array<long>")
-    own = marked.groupBy("fp").agg(F.min(F.struct("none", "dk", "th")).alias("first"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    marked = map_batches(rows, _marks, "none boolean, dk long, th long, fp long, sim long, n long, keys array<long>")
+    own = marked.groupBy("fp").agg(F.min(F.struct("none", "dk", "th")).alias("first"), F.any_value("sim").alias("sim"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     own = materialize(own, "near-distinct")
     texts = rows.dropDuplicates(["dk", "th"]).join(own.select("fp", F.col("first.dk").alias("dk"), F.col("first.th").alias("th")), ["dk", "th"])
     roots = connected_components(links(own.where("n > 0"), texts)).withColumnRenamed("id", "fp")
