@@ -24,17 +24,15 @@ are unknown and the states are uniform. An empty table gives no rows. Nothing de
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, map_batches, materialize, raw_bytes
+from .common import discard, map_batches, materialize
 
 STATES = 8
 OWN_CLASSES = 8192
@@ -46,6 +44,7 @@ FLUSH = 400_000
 BATCH = 400_000
 HOLD = 4_000_000
 RESCALE = 16
+TURN = 2048
 END = ""
 
 
@@ -53,50 +52,67 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text.lower().split() if text else ()), b""]
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """`tokens` of many texts, one after the other, and how many each text has."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", pc.binary_join_element_wise(texts, "", " "))  # the blank cuts off the end
+    lists = pc.ascii_split_whitespace(texts)
+    return lists.flatten().cast(pa.string()), pc.list_value_length(lists).to_numpy().astype(np.int64)
+
+
 def _counter(batches):
-    seen: Counter = Counter()
+    held, size = [], 0
 
-    def out():
-        keys = pa.array(list(seen), pa.binary()).cast(pa.string())
-        got = pa.RecordBatch.from_arrays([keys, pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
-        seen.clear()
-        return got
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
     for batch in batches:
-        for text in raw_bytes(batch.column("_text")):
-            seen.update(tokens(text))
-            if len(seen) > FLUSH:
-                yield out()
-    yield out()
+        seen = pc.value_counts(_words(batch.column("_text"))[0])
+        held.append(pa.table([seen.field(0), seen.field(1)], names=["token", "n"]))
+        size += len(seen)
+        if size > FLUSH * 3 // 2:
+            held = [summed()]
+            size = len(held[0])
+            if size > FLUSH:
+                yield from held.pop().to_batches()
+                size = 0
+    if held:
+        yield from summed().to_batches()
 
 
 class Vocabulary:
     """The dictionary (place 0: the end) and what is known of each class."""
 
-    def __init__(self, top: list[tuple[bytes, int]], ends: int, n: int, v: int, own: int = OWN_CLASSES):
-        self.place = {w: i + 1 for i, (w, _) in enumerate(top)}
-        self.place[b""] = 0
+    def __init__(self, top: pa.Array, counts: np.ndarray, ends: int, n: int, v: int, own: int = OWN_CLASSES):
+        self.words = pa.concat_arrays([pa.array([END]), top])
         self.size, self.own = len(top), own
-        counts = np.array([ends, *[c for _, c in top]], np.float64)
-        self.logs = np.log10(counts + 0.5)
-        self.known = counts > 0
-        self.cls = np.array([0, *[i + 1 if i < own else self.ending(w) for i, (w, _) in enumerate(top)]], np.uint16)
+        counts = np.concatenate([[ends], counts]).astype(np.float64)
+        self.logs = np.append(np.log10(counts + 0.5), 0.0)  # the last: of a word that the dictionary lacks
+        self.known = np.append(counts > 0, False)
+        self.cls = np.where(np.arange(len(counts)) > own, self.endings(self.words), np.arange(len(counts))).astype(np.uint16)
         self.n, self.v = n, v
         self.classes = 1 + own + ENDINGS
         self.mass = np.zeros(self.classes)
-        self.words = np.zeros(self.classes)
+        self.distinct = np.zeros(self.classes)
         single = 1 + min(own, len(top))
         self.mass[:single] = counts[:single] + 0.5
-        self.words[:single] = 1
+        self.distinct[:single] = 1
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Places in the dictionary, else -1."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def ending(self, token: bytes) -> int:
-        return 1 + self.own + crc32(token[-2:]) % ENDINGS
+    def endings(self, words: pa.Array) -> np.ndarray:
+        """Classes by the last two bytes."""
+        tails = pc.binary_slice(words.cast(pa.binary()), -2).dictionary_encode()
+        classes = np.array([1 + self.own + crc32(t) % ENDINGS for t in tails.dictionary.to_pylist()], np.int64)
+        return classes[tails.indices.to_numpy()]
 
     def add_endings(self, cls: np.ndarray, n: np.ndarray, v: np.ndarray) -> None:
         """n tokens and v distinct words of each class of an ending; one unknown word besides."""
-        self.mass[1 + self.own :], self.words[1 + self.own :] = 0.5, 1
+        self.mass[1 + self.own :], self.distinct[1 + self.own :] = 0.5, 1
         self.mass[cls] += n + 0.5 * v
-        self.words[cls] += v
+        self.distinct[cls] += v
 
     @property
     def log_total(self) -> float:
@@ -108,15 +124,15 @@ def _endings(shared):
         vocabulary = shared.value
         n, v = np.zeros(vocabulary.classes), np.zeros(vocabulary.classes)
         for batch in batches:
-            words = raw_bytes(batch.column("token"))
-            own = [0 <= vocabulary.place.get(w, vocabulary.own + 1) <= vocabulary.own for w in words]
-            classes = np.array([0 if o else vocabulary.ending(w) for w, o in zip(words, own)], np.int64)
+            words = batch.column("token").cast(pa.string())
+            own = pc.is_in(words, value_set=vocabulary.words[: vocabulary.own + 1]).to_numpy(zero_copy_only=False)
+            classes = np.where(own, 0, vocabulary.endings(words))
             n += np.bincount(classes, batch.column("c").to_numpy(), vocabulary.classes)
             v += np.bincount(classes, minlength=vocabulary.classes)
         at = np.flatnonzero(v[1:]) + 1
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at]), pa.array(v[at])], names=["g", "n", "v"])
 
-    return run
+    return _released(run)
 
 
 def _encoder(shared):
@@ -125,51 +141,75 @@ def _encoder(shared):
 
     def run(batches):
         vocabulary = shared.value
-        get, own, size = vocabulary.place.get, vocabulary.own, vocabulary.size
+        own, size = vocabulary.own, vocabulary.size
         for batch in batches:
-            sizes, known, logs, seqs, fines, rare = [], [], [], [], [], []
-            for text in raw_bytes(batch.column("_text")):
-                words = tokens(text)
-                at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                classes = vocabulary.cls[at]
-                inside = at >= 0
-                sizes.append(len(words))
-                known.append(int(vocabulary.known[at[inside]].sum()))
-                logs.append(float(vocabulary.logs[at[inside]].sum()))
-                strangers: dict[bytes, int] = {}
-                if not inside.all():
-                    out = np.flatnonzero(~inside).tolist()
-                    for i in out:
-                        w = words[i]
-                        at[i] = size + 1 + strangers.setdefault(w, len(strangers))
-                        classes[i] = vocabulary.ending(w)
-                seqs.append(classes.astype("<u2").tobytes())
-                fines.append(at[classes > own].astype("<u4").tobytes())
-                rare.append(list(strangers))
+            if not batch.num_rows:
+                continue
+            words, sizes = _words(batch.column("_text"))
+            first = np.cumsum(sizes) - sizes
+            at = vocabulary.places(words)
+            out = np.flatnonzero(at < 0)
+            logs, known = np.add.reduceat(vocabulary.logs[at], first), np.add.reduceat(vocabulary.known[at].astype(np.int64), first)
+            strangers = words.take(pa.array(out)).dictionary_encode()
+            of = np.searchsorted(first, out, side="right") - 1  # the text of each
+            one = max(1, len(strangers.dictionary))
+            pairs, place = np.unique(of * one + strangers.indices.to_numpy(), return_inverse=True)  # a text and a word
+            classes = vocabulary.cls[at]
+            classes[out] = vocabulary.endings(strangers.dictionary)[strangers.indices.to_numpy()]
+            rare = np.concatenate([[0], np.cumsum(np.bincount(pairs // one, minlength=len(sizes)))])
+            at[out] = size + 1 + place - rare[of]
+            coarse = classes > own
+            fines = np.add.reduceat(coarse.astype(np.int64), first)
+            lists = pa.ListArray.from_arrays(pa.array(rare, pa.int32()), strangers.dictionary.take(pa.array(pairs % one)))
             keep = [n for n in batch.schema.names if n != "_text"]
-            flat = pa.array([w for r in rare for w in r], pa.binary()).cast(pa.string())
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), flat)
-            new = [pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(seqs, pa.binary()), pa.array(fines, pa.binary()), lists]
+            new = [pa.array(sizes), pa.array(known), pa.array(logs), _binaries(classes.astype("<u2"), sizes), _binaries(at[coarse].astype("<u4"), fines), lists]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *new], names=[*keep, "n_tokens", "n_inside", "logs", "seq", "fine", "rare"])
 
-    return run
+    return _released(run)
+
+
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Values as bytes, so many to a row."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(values)])
 
 
 _SPACE: dict[tuple[str, int], np.ndarray] = {}
 
 
 def _space(name: str, rows: int, k: int) -> np.ndarray:
-    """A work array that is used again from batch to batch."""
+    """A work array that is used again from batch to batch of a task."""
     got = _SPACE.get((name, k))
     if got is None or len(got) < rows:
-        got = _SPACE[name, k] = np.empty((max(rows, BATCH), k))
+        got = _SPACE[name, k] = np.empty((-(-rows // 50_000) * 50_000, k))
     return got[:rows]
 
 
+def _released(run):
+    """Gives back the work arrays and Arrow's spare memory when a task ends: its Python worker stays."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _SPACE.clear()
+            pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def _by_symbol(ids: np.ndarray, shares: np.ndarray, size: int) -> np.ndarray:
     """(states, size): sums of the rows of each id."""
-    ids, columns = ids.astype(np.intp), np.ascontiguousarray(shares.T)
-    return np.stack([np.bincount(ids, c, size) for c in columns])
+    out = np.zeros((shares.shape[1], size))
+    rows = max(TURN, 4 * size)
+    for lo in range(0, len(ids), rows):
+        part = ids[lo : lo + rows].astype(np.intp)
+        columns = _space("columns", len(part), len(out)).reshape(len(out), -1)
+        for at in range(0, len(part), TURN):  # few rows at a time, which stay in the cache
+            columns[:, at : at + TURN] = shares[lo + at : lo + min(at + TURN, len(part))].T
+        for sums, column in zip(out, columns):
+            sums += np.bincount(part, column, size)
+    return out
 
 
 class Packed:
@@ -183,10 +223,22 @@ class Packed:
         first = np.cumsum(sizes) - sizes
         step = np.arange(n) - np.repeat(first, sizes)
         self.pos = off[step] + np.repeat(np.arange(len(seqs)), sizes)  # of the tokens, text by text
-        self.ids = np.empty(n, seqs[0].dtype)
-        self.ids[self.pos] = np.concatenate(seqs)
+        self.flat = np.concatenate(seqs)
+        self.ids = self.laid_out(self.flat)
         self.first, self.sizes, self.last = first, sizes, off[sizes - 1] + np.arange(len(seqs))
         self.live, self.off, self.longest = [*live.tolist(), 0], off.tolist(), longest
+        self.turns = np.flatnonzero(np.diff(live)) + 1  # steps with fewer sequences than the one before
+
+    def runs(self, a: int, b: int) -> list[tuple[int, int, int, int]]:
+        """Of the steps a to b, ranges with as many sequences in each step, their number and the first row."""
+        cuts = [a, *self.turns[np.searchsorted(self.turns, a, side="right") : np.searchsorted(self.turns, b)].tolist(), b]
+        return [(s, e, self.live[s], self.off[s]) for s, e in zip(cuts, cuts[1:])]
+
+    def laid_out(self, flat: np.ndarray) -> np.ndarray:
+        """What the tokens have, text by text, as rows of the layout."""
+        out = np.empty(len(flat), flat.dtype)
+        out[self.pos] = flat
+        return out
 
     def stretches(self) -> list[tuple[int, int]]:
         """Ranges of steps of at most `BATCH` tokens (or one step)."""
@@ -239,22 +291,23 @@ class Hmm:
         live, off, base = pack.live, pack.off, pack.off[a]
         size, k = off[b] - base, lift.shape[1]
         shown = np.take(lift, pack.ids[base : off[b]], axis=0, out=_space("shown", size, k), mode="clip")
-        out, buf, scales = _space("alphas", size, k), np.empty((live[a], k)), {}
-        for t in range(a, b):
-            n, o = live[t], off[t] - base
-            now = out[o : o + n]
-            if t:
-                np.matmul(before[:n], self.move, out=buf[:n])
-                np.multiply(buf[:n], shown[o : o + n], out=now)
-            else:
-                np.multiply(self.start, shown[:n], out=now)
-            if t % RESCALE == RESCALE - 1:
-                s = np.maximum(now.sum(1), 1e-300)
-                now /= s[:, None]
-                scales[t] = s
-                if logs is not None:
-                    logs[:n] += np.log10(s)
-            before = now
+        out, scales = _space("alphas", size, k), {}
+        for s, e, n, o in pack.runs(a, b):
+            rows = slice(o - base, o - base + (e - s) * n)
+            before = None if before is None else before[:n]
+            for t, x, now in zip(range(s, e), shown[rows].reshape(e - s, n, k), out[rows].reshape(e - s, n, k)):
+                if before is not None:
+                    np.dot(before, self.move, out=now)
+                    np.multiply(now, x, out=now)
+                else:
+                    np.multiply(self.start, x, out=now)
+                if t % RESCALE == RESCALE - 1:
+                    scale = np.maximum(now.sum(1), 1e-300)
+                    now /= scale[:, None]
+                    scales[t] = scale
+                    if logs is not None:
+                        logs[:n] += np.log10(scale)
+                before = now
         return shown, out, scales
 
     def _forward(self, pack: Packed, lift: np.ndarray, mean: np.ndarray, keep: bool):
@@ -266,15 +319,13 @@ class Hmm:
             got = (*self._alphas(pack, lift, a, b, edges[-1][2], logs), base)
             ends = np.flatnonzero((pack.last >= base) & (pack.last < pack.off[b]))
             sums[ends] = got[1][pack.last[ends] - base].sum(1)
-        whole = np.empty(len(pack.ids))
-        whole[:] = mean[pack.ids]
-        logs = logs + np.log10(np.maximum(sums, 1e-300)) + np.add.reduceat(whole[pack.pos], pack.first)
+        logs = logs + np.log10(np.maximum(sums, 1e-300)) + np.add.reduceat(mean[pack.flat], pack.first)
         return logs, sums, edges, got if keep else None
 
-    def log10_likelihood(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """Scaled forward recursion over whole sequences, many at a time."""
+    def log10_likelihood(self, seqs: list[np.ndarray], lifted: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Scaled forward recursion over whole sequences, many at a time; `lifted` may stand for the model's emissions."""
         out = np.zeros(len(seqs))
-        lift, mean = self._lift()
+        lift, mean = lifted or self._lift()
         for part in batches_of(seqs):
             out[part] = self._forward(Packed([seqs[i] for i in part]), lift, mean, False)[0]
         return out
@@ -283,26 +334,36 @@ class Hmm:
         """Yields (first row, ids, state shares) for stretches of a layout, from the last to the first; then returns sums: start, move, log-likelihood."""
         k = len(self.start)
         logs, sums, edges, got = self._forward(pack, lift, mean, True)
-        beta = np.repeat(1 / np.maximum(sums, 1e-300)[:, None], k, axis=1)
-        back, moves, starts, ahead = np.ascontiguousarray(self.move.T), np.zeros((k, k)), np.zeros(k), None
+        back, moves, starts, ahead, carried = np.ascontiguousarray(self.move.T), np.zeros((k, k)), np.zeros(k), None, None
         live, off = pack.live, pack.off
         for a, b, before in reversed(edges):
             shown, alphas, scales, base = got if got is not None else (*self._alphas(pack, lift, a, b, before, None), off[a])
             got = None
-            share = _space("share", len(alphas), k)
-            for t in range(b - 1, a - 1, -1):
-                n, o = live[t], off[t] - base
-                rest, now = beta[:n], shown[o : o + n]
-                np.multiply(alphas[o : o + n], rest, out=share[o : o + n])
-                np.multiply(now, rest, out=now)
-                if t in scales:
-                    now /= scales[t][:, None]
-                np.matmul(now, back, out=rest)
+            share = _space("share", len(alphas), k)  # betas at first
+            ends = np.flatnonzero((pack.last >= base) & (pack.last < off[b]))
+            share[pack.last[ends] - base] = 1 / np.maximum(sums[ends], 1e-300)[:, None]
+            if carried is not None:
+                last = off[b - 1] - base
+                share[last : last + len(carried)] = carried
+            for t, scale in scales.items():
+                shown[off[t] - base : off[t] - base + live[t]] /= scale[:, None]
+            for s, e, n, o in reversed(pack.runs(a, b)):
+                rows = slice(o - base, o - base + (e - s) * n)
+                before = off[s - 1] - base
+                rest = share[rows].reshape(e - s, n, k)
+                to = share[before : before + n] if s > a else np.empty((n, k))
+                for now, beta, to in zip(shown[rows].reshape(e - s, n, k)[::-1], rest[::-1], [*rest[-2::-1], to] if e - s > 1 else [to]):
+                    np.multiply(now, beta, out=now)
+                    np.dot(now, back, out=to)
+                carried = to
+            np.multiply(alphas, share, out=share)
             n0 = live[a]
             steps = np.array(live[a:b])
             if b - a > 1:
                 prev = np.arange(n0, len(alphas)) - np.repeat(steps[:-1], steps[1:])
-                moves += np.take(alphas, prev, axis=0, out=_space("before", len(prev), k), mode="clip").T @ shown[n0:]
+                for lo in range(0, len(prev), 8 * TURN):
+                    at = prev[lo : lo + 8 * TURN]
+                    moves += np.take(alphas, at, axis=0, out=_space("before", len(at), k), mode="clip").T @ shown[n0 + lo : n0 + lo + len(at)]
             if ahead is not None:
                 last = off[b - 1] - base
                 moves += alphas[last : last + len(ahead)].T @ ahead
@@ -375,7 +436,7 @@ def _expectation(shared, states: int):
         rows = np.vstack([emits[at], moves, starts[None, :]])
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), *[pa.array(rows[:, s]) for s in range(states)]], names=["g", *[f"s{s}" for s in range(states)]])
 
-    return run
+    return _released(run)
 
 
 def _summed(got: DataFrame, key: str, cols: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -414,10 +475,10 @@ def _in_texts(batch, own: int):
 
 
 def _held_texts(batches, own: int, *more: str):
-    """Lists of (classes, places, other columns) of about `HOLD` tokens, so that texts of like length meet."""
+    """Lists of ((classes, places), other columns) of about `HOLD` tokens, so that texts of like length meet."""
     held, size = [], 0
     for batch in batches:
-        for row in zip(_in_texts(batch, own), *[batch.column(c).to_pylist() for c in more]):
+        for row in zip(_in_texts(batch, own), *[batch.column(c) for c in more]):
             held.append(row)
             size += len(row[0][0])
             if size >= HOLD:
@@ -438,8 +499,7 @@ def _dictionary_counts(shared, states: int):
             texts = [t for (t,) in texts]
             for part in batches_of([c for c, _ in texts]):
                 pack = Packed([texts[i][0] for i in part])
-                places = np.empty(len(pack.ids), np.int64)
-                places[pack.pos] = np.concatenate([texts[i][1] for i in part])
+                places = pack.laid_out(np.concatenate([texts[i][1] for i in part]))
                 run = model.posteriors(pack, lift, mean)
                 while True:
                     try:
@@ -457,7 +517,7 @@ def _dictionary_counts(shared, states: int):
         rows = np.hstack([sums[:, at], moves.T, starts[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), *[pa.array(rows[s]) for s in range(states)]], names=["g", *[f"s{s}" for s in range(states)]])
 
-    return run
+    return _released(run)
 
 
 def _pack(shares: np.ndarray) -> list[np.ndarray]:
@@ -476,22 +536,26 @@ def _rare_words(shared, states: int):
 
     def run(batches):
         model, own, size = shared.value
+        lift, mean = model._lift()
         for held in _held_texts(batches, own, "rid", "held_out", "rare"):
-            counts = np.array([len(words) for *_, words in held])
+            counts = np.array([len(words.values) for *_, words in held])
             first = np.cumsum(counts) - counts
             n, sums = np.zeros(counts.sum(), np.int64), np.zeros((states, counts.sum()))
-            learn = [i for i, (*_, out, _) in enumerate(held) if not out]
-            for i, share in model.state_shares([held[i][0][0] for i in learn]):
-                i = learn[i]
-                at = held[i][0][1]
-                past = np.flatnonzero(at > size)
-                here = slice(first[i], first[i] + counts[i])
-                n[here] = np.bincount(at[past] - size - 1, minlength=counts[i])
-                sums[:, here] = _by_symbol(at[past] - size - 1, share[past], counts[i])
+            learn = [i for i, (*_, out, _) in enumerate(held) if not out.as_py()]
+            for part in batches_of([held[i][0][0] for i in learn]):
+                part = [learn[i] for i in part]
+                pack = Packed([held[i][0][0] for i in part])
+                at = np.concatenate([held[i][0][1] for i in part])
+                word = pack.laid_out(np.where(at > size, at - size - 1 + np.repeat(first[part], pack.sizes), -1))
+                for base, ids, share in model.posteriors(pack, lift, mean):
+                    here = word[base : base + len(ids)]
+                    past = np.flatnonzero(here >= 0)
+                    n += np.bincount(here[past], minlength=len(n))
+                    sums += _by_symbol(here[past], share[past], len(n))
             packs = _pack((sums / np.maximum(n, 1)).T)
-            rid = np.repeat(np.array([rid for _, rid, *_ in held], np.int64), counts)
+            rid = np.repeat(np.array([rid.as_py() for _, rid, *_ in held], np.int64), counts)
             j = np.arange(counts.sum()) - np.repeat(first, counts)
-            words = pa.array([w for *_, words in held for w in words], pa.string())
+            words = pa.concat_arrays([words.values for *_, words in held])
             for lo in range(0, len(j), 100_000):
                 cut = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays(
@@ -499,7 +563,7 @@ def _rare_words(shared, states: int):
                     names=["rid", "j", "token", "n", *[f"p{i}" for i in range(len(packs))]],
                 )
 
-    return run
+    return _released(run)
 
 
 class Emissions:
@@ -521,7 +585,7 @@ class Emissions:
         seen[:single], seen[1 + self.own :] = words[:single], ends
         total = seen.sum(1, keepdims=True)
         self.share = np.where(total > 0, seen / np.where(total > 0, total, 1), 1 / k)  # of states, by class
-        self.norm = seen.sum(0) + 0.5 * (self.share * vocabulary.words[:, None]).sum(0)
+        self.norm = seen.sum(0) + 0.5 * (self.share * vocabulary.distinct[:, None]).sum(0)
         emit = (words + 0.5 * self.share[vocabulary.cls]) / self.norm
         self.model = Hmm((starts + 0.1) / (starts + 0.1).sum(), (moves + 0.1) / (moves + 0.1).sum(1, keepdims=True), emit)
 
@@ -536,13 +600,13 @@ def _forward(shared):
     def run(batches):
         emissions = shared.value
         model, size, k = emissions.model, emissions.size, len(emissions.model.start)
-        longs = -(-k // 4)
+        longs, wide = -(-k // 4), model._lift()  # those of a batch's own words stand behind the dictionary's
         for batch in batches:
             texts = _in_texts(batch, emissions.own)
             known, logs = batch.column("n_inside").to_numpy().copy(), batch.column("logs").to_numpy().copy()
             met = batch.column("met")
             each = met.flatten()
-            sizes = pa.compute.fill_null(pa.compute.list_value_length(met), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.list_value_length(met), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             first = np.cumsum(sizes) - sizes
             c = each.field("c").to_numpy(zero_copy_only=False).astype(np.float64)
             packs = [each.field(f"q{i}").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(longs)]
@@ -558,22 +622,25 @@ def _forward(shared):
                     at = at.copy()
                     at[past] = size + 1 + place
                 seqs.append(at)
-            wide = Hmm(model.start, model.move, np.vstack([model.emit, emissions.others(classes, c, shares)]))
+            if size + 1 + len(c) > len(wide[1]):
+                wide = tuple(np.concatenate([x[: size + 1], np.empty((2 * len(c), *x.shape[1:]))]) for x in wide)
+            for x, more in zip(wide, Hmm(model.start, model.move, emissions.others(classes, c, shares))._lift()):
+                x[size + 1 : size + 1 + len(c)] = more
             keep = ["doc_id", "held_out", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(known), pa.array(logs), pa.array(wide.log10_likelihood(seqs))], names=[*keep, "n_known", "logs", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(known), pa.array(logs), pa.array(model.log10_likelihood(seqs, wide))], names=[*keep, "n_known", "logs", "score"])
 
-    return run
+    return _released(run)
 
 
 def train(docs: DataFrame, held_out: Column, text_col: str, id_col: str, states: int, rounds: int, own: int, dictionary: int):
     """(coded texts, vocabulary, class model)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("_text"))
-    counts = map_batches(rows.where(~F.col("held_out")).select("_text"), _counter, "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
+    counts = map_batches(rows.where(~F.col("held_out")).select("_text"), _released(_counter), "token string, n long").groupBy("token").agg(F.sum("n").alias("c"))
     counts = materialize(counts, "lm-counts")
     n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0))).first()
     top = counts.where(F.col("token") != END).orderBy(F.desc("c"), "token").limit(dictionary).toArrow()
-    vocabulary = Vocabulary(list(zip((w.encode() for w in top.column("token").to_pylist()), top.column("c").to_pylist())), ends, n, v, own)
+    vocabulary = Vocabulary(pa.concat_arrays([pa.array([], pa.string()), *top.column("token").cast(pa.string()).chunks]), top.column("c").to_numpy(), ends, n, v, own)
     shared = spark.sparkContext.broadcast(vocabulary)
     tails = map_batches(counts, _endings(shared), "g int, n double, v double").groupBy("g").agg(F.sum("n"), F.sum("v")).toArrow()
     tails = [tails.column(i).to_numpy() for i in range(3)]
