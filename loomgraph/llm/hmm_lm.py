@@ -24,6 +24,7 @@ are unknown and the states are uniform. An empty table gives no rows. Nothing de
 
 from __future__ import annotations
 
+import ctypes
 from zlib import crc32
 
 import numpy as np
@@ -45,6 +46,7 @@ BATCH = 400_000
 HOLD = 4_000_000
 RESCALE = 16
 TURN = 2048
+PIECE = 4 << 20  # bytes of text whose words are held at a time
 END = ""
 
 
@@ -60,13 +62,27 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten().cast(pa.string()), pc.list_value_length(lists).to_numpy().astype(np.int64)
 
 
+def _pieces(batches):
+    """The batches in slices of about `PIECE` bytes of text, whole rows, so that few words are held at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            done = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + PIECE, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _counter(batches):
     held, size = [], 0
 
     def summed() -> pa.Table:
         return pa.concat_tables(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
-    for batch in batches:
+    for batch in _pieces(batches):
         seen = pc.value_counts(_words(batch.column("_text"))[0])
         held.append(pa.table([seen.field(0), seen.field(1)], names=["token", "n"]))
         size += len(seen)
@@ -142,9 +158,7 @@ def _encoder(shared):
     def run(batches):
         vocabulary = shared.value
         own, size = vocabulary.own, vocabulary.size
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             words, sizes = _words(batch.column("_text"))
             first = np.cumsum(sizes) - sizes
             at = vocabulary.places(words)
@@ -185,31 +199,41 @@ def _space(name: str, rows: int, k: int) -> np.ndarray:
     return got[:rows]
 
 
+def _give_back() -> None:
+    """Work arrays, Arrow's spare memory and what the C library holds of freed arrays, which it keeps up to 32 MB each."""
+    _SPACE.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def _released(run):
-    """Gives back the work arrays and Arrow's spare memory when a task ends: its Python worker stays."""
+    """Gives spare memory back when a task ends: its Python worker stays."""
 
     def whole(batches):
+        rows = run(batches)
         try:
-            yield from run(batches)
+            yield from rows
         finally:
-            _SPACE.clear()
-            pa.default_memory_pool().release_unused()
+            rows.close()
+            del rows
+            _give_back()
 
     return whole
 
 
-def _by_symbol(ids: np.ndarray, shares: np.ndarray, size: int) -> np.ndarray:
-    """(states, size): sums of the rows of each id."""
-    out = np.zeros((shares.shape[1], size))
+def _add_by_symbol(out: np.ndarray, ids: np.ndarray, shares: np.ndarray) -> None:
+    """Adds the rows of each id to its column of `out` (states, ids). Takes the place of the emissions of `posteriors`, which are done with when it yields."""
+    size = out.shape[1]
     rows = max(TURN, 4 * size)
     for lo in range(0, len(ids), rows):
         part = ids[lo : lo + rows].astype(np.intp)
-        columns = _space("columns", len(part), len(out)).reshape(len(out), -1)
+        columns = _space("shown", len(part), len(out)).reshape(len(out), -1)
         for at in range(0, len(part), TURN):  # few rows at a time, which stay in the cache
             columns[:, at : at + TURN] = shares[lo + at : lo + min(at + TURN, len(part))].T
         for sums, column in zip(out, columns):
             sums += np.bincount(part, column, size)
-    return out
 
 
 class Packed:
@@ -376,7 +400,7 @@ class Hmm:
     def expected(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts (start, move, emit) and the log-likelihood of whole sequences, by forward-backward."""
         k = len(self.start)
-        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.T.shape), 0.0
+        starts, moves, emits, total = np.zeros(k), np.zeros((k, k)), np.zeros(self.emit.shape[::-1]), 0.0
         lift, mean = self._lift()
         for part in batches_of(seqs):
             run = self.posteriors(Packed([seqs[i] for i in part]), lift, mean)
@@ -386,7 +410,7 @@ class Hmm:
                 except StopIteration as done:
                     s, m, logs = done.value
                     break
-                emits += _by_symbol(ids, share, len(self.emit))
+                _add_by_symbol(emits, ids, share)
             starts, moves, total = starts + s, moves + m, total + logs
         return starts, moves, emits.T, total
 
@@ -468,7 +492,7 @@ def _in_texts(batch, own: int):
     out = []
     for seq, fine in zip(batch.column("seq"), batch.column("fine")):
         classes = np.frombuffer(seq.as_buffer(), "<u2")
-        at = classes.astype(np.int64)
+        at = classes.astype(np.uint32)
         at[classes > own] = np.frombuffer(fine.as_buffer(), "<u4")
         out.append((classes, at))
     return out
@@ -494,7 +518,7 @@ def _dictionary_counts(shared, states: int):
     def run(batches):
         model, own, size = shared.value
         lift, mean = model._lift()
-        sums, starts, moves = np.zeros((states, size + 1 + ENDINGS)), np.zeros(states), np.zeros((states, states))
+        sums, starts, moves = np.zeros((states, size + 2 + ENDINGS)), np.zeros(states), np.zeros((states, states))
         for texts in _held_texts(batches, own):
             texts = [t for (t,) in texts]
             for part in batches_of([c for c, _ in texts]):
@@ -508,11 +532,11 @@ def _dictionary_counts(shared, states: int):
                         starts, moves = starts + done.value[0], moves + done.value[1]
                         break
                     at = places[base : base + len(ids)]
-                    fine = np.where(at <= size, at, size + 1 + ENDINGS)  # words past the dictionary are left to their own pass
-                    sums += _by_symbol(fine, share, size + 2 + ENDINGS)[:, :-1]
+                    fine = np.where(at <= size, at, size + 1 + ENDINGS)  # words past the dictionary are left to their own pass: the last column
+                    _add_by_symbol(sums, fine, share)
                     ends = np.flatnonzero(ids > own)
-                    sums[:, size + 1 :] += _by_symbol(ids[ends].astype(np.int64) - own - 1, share[ends], ENDINGS)
-        at = np.flatnonzero(sums.any(0))
+                    _add_by_symbol(sums[:, size + 1 : -1], ids[ends].astype(np.int64) - own - 1, share[ends])
+        at = np.flatnonzero(sums[:, :-1].any(0))
         g = np.concatenate([at, np.arange(-states - 1, 0)])
         rows = np.hstack([sums[:, at], moves.T, starts[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), *[pa.array(rows[s]) for s in range(states)]], names=["g", *[f"s{s}" for s in range(states)]])
@@ -545,13 +569,13 @@ def _rare_words(shared, states: int):
             for part in batches_of([held[i][0][0] for i in learn]):
                 part = [learn[i] for i in part]
                 pack = Packed([held[i][0][0] for i in part])
-                at = np.concatenate([held[i][0][1] for i in part])
+                at = np.concatenate([held[i][0][1] for i in part]).astype(np.int64)
                 word = pack.laid_out(np.where(at > size, at - size - 1 + np.repeat(first[part], pack.sizes), -1))
                 for base, ids, share in model.posteriors(pack, lift, mean):
                     here = word[base : base + len(ids)]
                     past = np.flatnonzero(here >= 0)
                     n += np.bincount(here[past], minlength=len(n))
-                    sums += _by_symbol(here[past], share[past], len(n))
+                    _add_by_symbol(sums, here[past], share[past])
             packs = _pack((sums / np.maximum(n, 1)).T)
             rid = np.repeat(np.array([rid.as_py() for _, rid, *_ in held], np.int64), counts)
             j = np.arange(counts.sum()) - np.repeat(first, counts)
@@ -615,11 +639,10 @@ def _forward(shared):
             for i, (cls, at) in enumerate(texts):
                 past = np.flatnonzero(at > size)
                 if len(past):
-                    place = first[i] + at[past] - size - 1
+                    place = first[i] + at[past].astype(np.int64) - size - 1
                     classes[place] = cls[past]
                     known[i] += int((c[place] > 0).sum())
                     logs[i] += float(np.log10(c[place] + 0.5).sum())
-                    at = at.copy()
                     at[past] = size + 1 + place
                 seqs.append(at)
             if size + 1 + len(c) > len(wide[1]):

@@ -1,12 +1,16 @@
 """Words are cut, counted and coded a batch at a time, with no Python step for each of them."""
 
+import platform
 import random
+import resource
 import sys
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from loomgraph.llm import hmm_lm
 
@@ -60,3 +64,50 @@ def test_no_python_step_for_each_word():
     n, (out,) = steps(lambda: list(hmm_lm._encoder(SimpleNamespace(value=vocabulary))(batches(texts))))
     assert sum(map(len, out.column("rare").to_pylist())) == 20_000
     assert n < 2_000
+
+
+def test_few_words_are_held_at_a_time(monkeypatch):
+    """A batch of 4 MB of text; what is held beside it follows the piece, not the batch."""
+    texts = [" ".join(f"w{(i * j) % 997}" for j in range(5_000)) for i in range(200)] + [None, ""]
+    vocabulary = hmm_lm.Vocabulary(pa.array([f"w{i}" for i in range(900)]), np.ones(900), 1, 9, 9, own=5)
+    whole = counted(texts)
+    monkeypatch.setattr(hmm_lm, "PIECE", 1 << 30, raising=False)
+    (want,) = hmm_lm._encoder(SimpleNamespace(value=vocabulary))(batches(texts))
+    monkeypatch.setattr(hmm_lm, "PIECE", 1 << 16, raising=False)
+    given, old = list(batches(texts)), pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(old)
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        got, n = 0, Counter()
+        for b in hmm_lm._encoder(SimpleNamespace(value=vocabulary))(iter(given)):
+            kept = ["n_tokens", "n_inside", "seq"]  # the order of a text's rare words is free
+            assert b.select(kept).equals(want.select(kept).slice(got, b.num_rows))
+            got += b.num_rows
+        assert got == len(texts)
+        for b in hmm_lm._counter(iter(given)):
+            n += dict(zip(b.column("token").to_pylist(), b.column("n").to_pylist()))
+        assert n == whole
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20 and pool.max_memory() < 8 << 20
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(old)
+
+
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="other C libraries hold nothing back")
+def test_a_task_gives_its_memory_back():
+    """Freed arrays below one that stays are held by the C library until it is told."""
+    stays = []
+
+    def run(batches):
+        arrays = [np.ones(12_000) for _ in range(1_500)]  # 144 MB
+        stays.append([bytes(1_000) for _ in range(2_000)])
+        yield resident()
+        del arrays
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize() / 1e6
+
+    (most,) = hmm_lm._released(run)(iter([]))
+    assert resident() < most - 100
