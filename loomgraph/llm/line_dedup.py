@@ -5,7 +5,8 @@ two are also linked if their edit distance, in UTF-8 bytes, is `threshold` or le
 A line of length l is cut into threshold + 1 segments; an
 edit script of `threshold` edits leaves one untouched, so the partner holds it at one of a few places that
 depend on both lengths. Lines are indexed under (l, segment number, segment), and probe with their own substrings under
-every length from l - threshold to l. Keys that only one line holds go, by an aggregate that is summed up before the shuffle, so
+every length from l - threshold to l. A segment's key is a polynomial of its bytes modulo 2^64, taken from sums up to each place for many lines at once; equal
+segments have equal keys, and unequal ones that share one cost a comparison only. Keys that only one line holds go, by an aggregate that is summed up before the shuffle, so
 that a key of a third of all lines is no row more than others; (key, line) pairs of the keys that are left come by a semi-join, the bytes of each line
 that is in a pair once, and pairs are verified by banded bit-parallel edit distance on what common ends leave.
 
@@ -37,7 +38,9 @@ THRESHOLD = 2
 MIN_BYTES = 20
 GROUP, GROUP_BYTES = 1024, 8 << 20
 BITS = 1 << 27  # of a bitmap: 16 MB
+CHUNK = 1 << 16  # bytes of lines whose keys are taken at once
 _SHORT = 1 << 20  # lines that a task remembers not to report again
+_UNEVEN = (b"\t", b"\x0b", b"\x0c", b"\r", b"  ", b" \n", b"\n ")
 _IS = [bytes(49 if x == c else 48 for x in range(256)) for c in range(256)]
 
 
@@ -45,8 +48,11 @@ def normal_lines(text: bytes | None, min_bytes: int) -> list[tuple[int, bytes]]:
     """(line number, normalised line) of the lines that take part."""
     if not text:
         return []
+    text = text.lower()
+    if not (any(x in text for x in _UNEVEN) or text[:1] == b" " or text[-1:] == b" "):  # nothing to collapse
+        return [(n, line) for n, line in enumerate(text.split(b"\n")) if len(line) >= min_bytes]
     out = []
-    for n, line in enumerate(text.lower().split(b"\n")):
+    for n, line in enumerate(text.split(b"\n")):
         if len(line) >= min_bytes:
             line = b" ".join(line.split())
             if len(line) >= min_bytes:
@@ -66,8 +72,8 @@ def segments(size: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def plan(size: int, threshold: int, known: dict = {}) -> list[tuple[int, int, int, int]]:  # noqa: B006
-    """(seed, start, stop, role) of a line's keys; role 0: index, 1: probe only."""
+def plan(size: int, threshold: int, known: dict = {}) -> np.ndarray:  # noqa: B006
+    """Columns seed, start, stop, role of a line's keys; role 0: index, 1: probe only."""
     got = known.get((size, threshold))
     if got is None:
         got = [(size * 16 + i, p, p + n, 0) for i, (p, n) in enumerate(segments(size, threshold))]
@@ -79,10 +85,71 @@ def plan(size: int, threshold: int, known: dict = {}) -> list[tuple[int, int, in
                         got.append(((size - gap) * 16 + i, at, at + n, 1))
         if len(known) > 100_000:
             known.clear()
-        known[size, threshold] = got
+        got = known[size, threshold] = np.array(got, np.int64)
     return got
 
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _powers(base: int, n: int, known: dict = {}) -> np.ndarray:  # noqa: B006
+    """base ** 0 to base ** n modulo 2^64."""
+    got = known.get(base)
+    if got is None or len(got) <= n:
+        got = known[base] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n, CHUNK), base, np.uint64))])
+    return got[: n + 1]
+
+
+def _mixed(sums: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    h = sums + seeds.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(by)
+    return (h ^ h >> np.uint64(31)).view(np.int64)
+
+
+def _polynomial(part: bytes) -> int:
+    """Of a segment of any length, a stretch at a time."""
+    total = 0
+    for at in range(0, len(part), CHUNK):
+        stretch = np.frombuffer(part, np.uint8, min(CHUNK, len(part) - at), at)
+        total += int((stretch * _powers(_BASE, CHUNK)[: len(stretch)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return total & 0xFFFFFFFFFFFFFFFF
+
+
+def _keys_of(lines: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, each one's line and role."""
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    distinct, which = np.unique(sizes, return_inverse=True)
+    plans = [plan(n, threshold) for n in distinct.tolist()]
+    counts = np.fromiter(map(len, plans), np.int64, len(plans))
+    seeds, starts, stops, roles = np.ascontiguousarray(np.concatenate(plans).T)
+    per = counts[which]
+    owners = np.repeat(np.arange(len(lines)), per)
+    at = np.arange(len(owners)) - np.repeat(np.cumsum(per) - per - (np.cumsum(counts) - counts)[which], per)
+    if len(lines) == 1 and sizes[0] > CHUNK:
+        sums = np.array([_polynomial(lines[0][a:b]) for a, b in zip(starts.tolist(), stops.tolist())], np.uint64)
+    else:
+        body = np.frombuffer(b"".join(lines), np.uint8)
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(body * _powers(_BASE, len(body))[:-1], dtype=np.uint64)])
+        first = (np.cumsum(sizes) - sizes)[owners]
+        begin = first + starts[at]
+        sums = (upto[first + stops[at]] - upto[begin]) * _powers(pow(_BASE, -1, 1 << 64), len(body))[begin]
+    return _mixed(sums, seeds[at]), owners, roles[at].astype(np.int8)
+
+
+def line_keys(lines: list[bytes], threshold: int):
+    """Yields (first line, lines, keys, each one's line among them, role) for lines of `CHUNK` bytes, or one line."""
+    at = 0
+    while at < len(lines):
+        to, size = at + 1, len(lines[at])
+        while to < len(lines) and size + len(lines[to]) <= CHUNK:
+            size += len(lines[to])
+            to += 1
+        yield (at, to, *_keys_of(lines[at:to], threshold))
+        at = to
+
+
 def within(a: bytes, b: bytes, threshold: int) -> bool:
     """Edit distance <= threshold: common ends are stripped, the rest by bit-parallel columns kept to the band."""
     if a == b:
@@ -128,12 +195,10 @@ def within(a: bytes, b: bytes, threshold: int) -> bool:
     return 0 <= last < width and bool(levels[-1] >> last & 1)
 
 
-def _signed(values: list[int]) -> np.ndarray:
-    return np.array(values, np.uint64).view(np.int64)
-
-
-def _halves(digests: list[int]) -> list[pa.Array]:
-    return [pa.array(_signed([d & 0xFFFFFFFFFFFFFFFF for d in digests])), pa.array(_signed([d >> 64 for d in digests]))]
+def _halves(digests: list[bytes]) -> list[np.ndarray]:
+    """The last and the first eight bytes."""
+    both = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64)
+    return [both[1::2], both[::2]]
 
 
 def _occurrences(batches):
@@ -143,22 +208,22 @@ def _occurrences(batches):
             lines = normal_lines(text, 1)
             counts.append(len(lines))
             for n, line in lines:
-                digests.append(xxhash.xxh3_128_intdigest(line))
+                digests.append(xxhash.xxh3_128_digest(line))
                 nums.append(n)
         at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-        yield pa.RecordBatch.from_arrays([batch.column("dk").take(at), batch.column("th").take(at), pa.array(nums, pa.int32()), *_halves(digests)], names=["dk", "th", "ln", "h1", "h2"])
+        yield pa.RecordBatch.from_arrays([batch.column("dk").take(at), batch.column("th").take(at), pa.array(nums, pa.int32()), *map(pa.array, _halves(digests))], names=["dk", "th", "ln", "h1", "h2"])
 
 
 def _new_lines(batches, min_bytes: int):
     """Lists of (digest, line) of a batch, without lines that this task has lately seen."""
-    done: set[int] = set()
+    done: set[bytes] = set()
     for batch in batches:
         out = []
         if len(done) > _SHORT:
             done.clear()
         for text in raw_bytes(batch.column("_text")):
             for _, line in normal_lines(text, min_bytes):
-                d = xxhash.xxh3_128_intdigest(line)
+                d = xxhash.xxh3_128_digest(line)
                 if d not in done:
                     done.add(d)
                     out.append((d, line))
@@ -167,14 +232,10 @@ def _new_lines(batches, min_bytes: int):
 
 def _keys(min_bytes: int, threshold: int):
     def run(batches):
-        for lines in _new_lines(batches, min_bytes):
-            keys, owners, roles = [], [], []
-            for d, line in lines:
-                todo = plan(len(line), threshold)
-                keys += [xxhash.xxh3_64_intdigest(line[a:b], s) for s, a, b, _ in todo]
-                roles += [r for *_, r in todo]
-                owners += [d & 0xFFFFFFFFFFFFFFFF] * len(todo)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(_signed(owners)), pa.array(roles, pa.int8())], names=["key", "h1", "role"])
+        for new in _new_lines(batches, min_bytes):
+            h1 = _halves([d for d, _ in new])[0]
+            for lo, hi, keys, owners, roles in line_keys([line for _, line in new], threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h1[lo:hi][owners]), pa.array(roles)], names=["key", "h1", "role"])
 
     return run
 
@@ -199,14 +260,13 @@ def _pairs(min_bytes: int, threshold: int, shared):
 
     def run(batches):
         bits = shared.value
-        for lines in _new_lines(batches, min_bytes):
-            keys = [[xxhash.xxh3_64_intdigest(line[a:b], s) for s, a, b, _ in plan(len(line), threshold)] for _, line in lines]
-            flat = _signed([k for ks in keys for k in ks])
-            at = np.repeat(np.arange(len(keys)), [len(ks) for ks in keys])
-            hit = _met(bits, flat)
-            at = pa.array(at[hit])
-            sizes = pa.array([len(line) for _, line in lines], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), *[h.take(at) for h in _halves([d for d, _ in lines])], sizes.take(at)], names=["key", "h1", "h2", "size"])
+        for new in _new_lines(batches, min_bytes):
+            lines = [line for _, line in new]
+            halves, sizes = _halves([d for d, _ in new]), np.fromiter(map(len, lines), np.int64, len(lines))
+            for lo, _, keys, owners, _ in line_keys(lines, threshold):
+                hit = _met(bits, keys)
+                at = owners[hit] + lo
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[hit], *[h[at] for h in halves], sizes[at])], names=["key", "h1", "h2", "size"])
 
     return run
 
@@ -218,8 +278,8 @@ def _bytes(min_bytes: int, shared):
         bits = shared.value
         for lines in _new_lines(batches, min_bytes):
             h1, h2 = _halves([d for d, _ in lines])
-            hit = pa.array(np.flatnonzero(_met(bits, h1.to_numpy())))
-            yield pa.RecordBatch.from_arrays([h1.take(hit), h2.take(hit), pa.array([line for _, line in lines], pa.binary()).take(hit)], names=["h1", "h2", "line"])
+            hit = np.flatnonzero(_met(bits, h1))
+            yield pa.RecordBatch.from_arrays([pa.array(h1[hit]), pa.array(h2[hit]), pa.array([lines[i][1] for i in hit.tolist()], pa.binary())], names=["h1", "h2", "line"])
 
     return run
 
@@ -324,9 +384,9 @@ def _cleaner(text_col: str):
             texts, removed, totals = [], [], []
             for text, kept in zip(batch.column(text_col).cast(pa.binary()).to_pylist(), batch.column("_loom_kept").to_pylist()):
                 kept = set(kept or ())
-                gone = [n for n, _ in normal_lines(text, 1) if n not in kept]
-                removed.append(gone)
                 raw = text.split(b"\n") if text is not None else []
+                gone = [n for n, line in enumerate(raw) if n not in kept and line.strip()]  # blank lines stay
+                removed.append(gone)
                 totals.append(len(raw))
                 out = set(gone)
                 texts.append(text if not gone else b"\n".join(x for n, x in enumerate(raw) if n not in out))
