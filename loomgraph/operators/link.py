@@ -71,7 +71,11 @@ class Linker:
     def callables(self) -> DataFrame:
         deps = self.call_dependencies()
         uses = deps.where("not is_call").select("src", "dst").unionAll(self._nested("func", "method").select("src", "dst")).unionAll(self._decorators("func", "method").select("src", "dst"))
-        return self._facts(deps.where("is_call"), "calls").unionAll(self._facts(uses, "uses"))
+        return self.function_calls().unionAll(self._facts(uses, "uses"))
+
+    def function_calls(self) -> DataFrame:
+        """(src, relation, dst): the calls that leave functions, methods and whatever else encloses them; those of call blocks are in `call_sites`."""
+        return self._facts(self.call_dependencies().where("is_call"), "calls")
 
     def call_sites(self) -> DataFrame:
         hit = self._to_block(self.calls.select(F.col("call_id").alias("src"), F.col("symbol_id").alias("s")), "s", follow=False)

@@ -90,12 +90,15 @@ sales as (select c_nationkey::bigint as n, o_orderkey as o, c_custkey as c, sup.
 
 def _named(p: Project, side: str) -> DataFrame:
     """Blocks as one end of a relation: their file, kind and name."""
-    b = p.graph.block
-    return b.select(F.col("block_id").alias(side), F.col("unit_id").alias(f"{side}_file"), F.col("kind").alias(f"{side}_kind"), F.col("name").alias(f"{side}_name"))
+    return p.block.select(F.col("block_id").alias(side), F.col("unit_id").alias(f"{side}_file"), F.col("kind").alias(f"{side}_kind"), F.col("name").alias(f"{side}_name"))
 
 
 def linked(p: Project, relation: str) -> DataFrame:
-    return p.graph.hop(relation).join(_named(p, "src"), "src").join(_named(p, "dst"), "dst")
+    return _ends(p, p.graph.hop(relation))
+
+
+def _ends(p: Project, edges: DataFrame) -> DataFrame:
+    return edges.join(_named(p, "src"), "src").join(_named(p, "dst"), "dst")
 
 
 def source_blocks(spark, sf_dir):
@@ -116,7 +119,8 @@ def source_signatures(spark, sf_dir):
 
 
 def source_calls(spark, sf_dir):
-    out = linked(project(spark, sf_dir), "calls").where("src_kind in ('func', 'method')")
+    p = project(spark, sf_dir)
+    out = _ends(p, p.linker.function_calls()).where("src_kind in ('func', 'method')")  # no other relation is derived
     return out.groupBy(F.col("src_file").alias("file"), F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"), F.col("dst_file").alias("callee_file")).agg(F.countDistinct("src").alias("n"))
 
 

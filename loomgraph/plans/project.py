@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -86,15 +87,24 @@ def parse(files: DataFrame) -> DataFrame:
 
 @dataclass
 class Project:
-    graph: Graph
+    """What the build has resolved; `block` lacks type_deps, and the relations are derived and written when the graph is first asked for."""
+
+    block: DataFrame
+    linker: Linker
     symbol: DataFrame
     scope_symbol: DataFrame
     calls: DataFrame
     unit_meta: DataFrame
 
+    @cached_property
+    def graph(self) -> Graph:
+        relation = settle(self.linker.relations(), "relation", "relation")
+        block = settle(self.block.join(self.linker.type_deps(), "block_id", "left"), "blocks")
+        return Graph(block, relation, self.unit_meta, True)
+
 
 def build(files: DataFrame, unit_meta: DataFrame) -> Project:
-    """`files(unit_id, content, lang)`, `unit_meta` -> the graph."""
+    """`files(unit_id, content, lang)`, `unit_meta` -> blocks, symbols, calls and, from them, the graph."""
     facts = parse(files)
     where = unit_meta.select("unit_id", "package_index")
     scope = facts.where("scope_id is not null").select("block_id", "scope_id")
@@ -225,9 +235,7 @@ def build(files: DataFrame, unit_meta: DataFrame) -> Project:
     block = settle(block, "blocks")
     impls = facts.where("kind = 'impl'").join(per, "block_id").select("block_id", F.col("own_type").alias("target_symbol"), F.get("met", F.lit(0)).alias("contract_symbol"), F.col("arguments").alias("target_args"))
     linker = Linker(block, symbol, calls, scope_symbol, settle(impls, "impls"))
-    relation = settle(linker.relations(), "relation", "relation")
-    block = settle(block.join(linker.type_deps(), "block_id", "left"), "blocks")
-    return Project(Graph(block, relation, unit_meta, True), symbol, scope_symbol, calls, unit_meta)
+    return Project(block, linker, symbol, scope_symbol, calls, unit_meta)
 
 
 def load(spark: SparkSession, dirs: list[str] = (), files: list[str] = (), languages: list[str] | None = None) -> Project:
