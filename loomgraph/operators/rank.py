@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +30,7 @@ class RankOptions:
     influence: dict = field(default_factory=lambda: dict(INFLUENCE))
     orchestration: dict = field(default_factory=lambda: dict(ORCHESTRATION))
     priors: dict = field(default_factory=lambda: dict(KIND_PRIOR))
-    one_task_edges: int = 5_000_000  # up to here one task with arrays beats joins; a proven bound on what it holds
+    one_task_edges: int = 5_000_000  # up to here one task with arrays beats joins
 
     def __post_init__(self):
         finite = lambda x: isinstance(x, (int, float)) and np.isfinite(x)
@@ -69,7 +70,8 @@ def adjacency(graph: Graph, weights: dict, options: RankOptions = RankOptions())
     else:
         path = path.withColumn("file_path", F.col("unit_id").cast("string"))
     path = path.select("block_id", "file_path")
-    rel = rel.join(path.select(F.col("block_id").alias("src"), F.col("file_path").alias("a")), "src").join(path.select(F.col("block_id").alias("dst"), F.col("file_path").alias("b")), "dst")
+    rel = rel.join(path.select(F.col("block_id").alias("dst"), F.col("file_path").alias("b")), "dst")
+    rel = rel.join(path.select(F.col("block_id").alias("src"), F.col("file_path").alias("a")), "src")  # last: what follows stays dealt by src
     w = mapped(F.col("relation"), positive)
     w = F.when(F.col("a") != F.col("b"), w * options.cross_file_penalty).otherwise(w) if options.cross_file_penalty < 1 else w
     merged = rel.select("src", "dst", w.alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w > 0")
@@ -79,68 +81,146 @@ def adjacency(graph: Graph, weights: dict, options: RankOptions = RankOptions())
     return merged.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src")))
 
 
-def _one_task(start: DataFrame, edges: DataFrame, options: RankOptions, fixed: int | None) -> DataFrame:
-    """All iterations in one task; only called below a checked number of edges and nodes."""
-    d, tolerance, most = options.damping, options.tolerance, fixed or options.max_iterations
+@dataclass(frozen=True)
+class Flow:
+    """What both engines iterate over. A block that no edge points at (a head) has c * p as its rank in every round, the
+    same c for all; heads and their edges may be folded into `q`, what a block gets from them at c = 1, and two sums."""
+
+    nodes: DataFrame  # (block_id, p, q, feeds), without the folded heads; feeds: has an edge of its own
+    edges: DataFrame  # (src, dst, share) between them
+    heads: DataFrame | None  # (block_id, p)
+    head_mass: float  # sum of p over the folded heads
+    idle_mass: float  # the same over those of them that have no edge either
+    size: int  # nodes and edges before folding
+
+
+def flow(graph: Graph, weights: dict, options: RankOptions = RankOptions(), engine: str = "auto") -> Flow:
+    """Folded for the joins and above `one_task_edges`; what is smaller goes to one task as it is."""
+    start, edges = settle(teleport(graph.block, options), "teleport"), settle(adjacency(graph, weights, options).select("src", "dst", "share"), "adjacency")
+    size = edges.count() + start.count()
+    if engine != "joins" and size <= options.one_task_edges:
+        return Flow(start.select("block_id", "p", F.lit(0.0).alias("q")), edges, None, 0.0, 0.0, size)
+    fed = edges.select(F.col("dst").alias("block_id")).distinct().withColumn("_in", F.lit(True))
+    feeds = edges.select(F.col("src").alias("block_id")).distinct().withColumn("_out", F.lit(True))
+    marked = start.join(fed, "block_id", "left").join(feeds, "block_id", "left")
+    marked = settle(marked.select("block_id", "p", F.col("_out").isNotNull().alias("feeds"), F.col("_in").isNotNull().alias("fed")), "marked", "fed")
+    dealt = edges.join(marked.where("feeds").select(F.col("block_id").alias("src"), "p", "fed"), "src")
+    dealt = settle(dealt.select(F.when(F.col("fed"), F.col("src")).alias("src"), "dst", F.when(F.col("fed"), F.col("share")).otherwise(F.col("share") * F.col("p")).alias("share"), "fed"), "dealt", "fed")
+    got = dealt.where("not fed").groupBy(F.col("dst").alias("block_id")).agg(F.sum("share").alias("q"))
+    nodes = settle(marked.where("fed").join(got, "block_id", "left").select("block_id", "p", F.coalesce("q", F.lit(0.0)).alias("q"), "feeds"), "nodes")
+    heads = marked.where("not fed")
+    mass = heads.agg(F.coalesce(F.sum("p"), F.lit(0.0)), F.coalesce(F.sum(F.when(~F.col("feeds"), F.col("p"))), F.lit(0.0))).first()
+    return Flow(nodes, dealt.where("fed").select("src", "dst", "share"), heads.select("block_id", "p"), *mass, size)
+
+
+def _one_task(flow: Flow, options: RankOptions, fixed: int | None, chunk: int = 1 << 22) -> DataFrame:
+    """All iterations in one task: arrays of the nodes in memory, edges in a temporary file, read a chunk at a time."""
+    d, tolerance, most, head_mass, idle_mass = options.damping, options.tolerance, fixed or options.max_iterations, flow.head_mass, flow.idle_mass
+    raw, coded = np.dtype([("a", "<i8"), ("b", "<i8"), ("w", "<f8")]), np.dtype([("a", "<i4"), ("b", "<i4"), ("w", "<f8")])
+
+    def chunks(file, kind):
+        file.seek(0)
+        while data := file.read(chunk * kind.itemsize):
+            yield np.frombuffer(data, kind)
 
     def run(batches):
-        ids, ps, src, dst, share = [], [], [], [], []
-        for b in batches:
-            p = b.column("p").to_numpy(zero_copy_only=False)
-            node = ~np.isnan(p)
-            a, z, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "w"))
-            ids.append(a[node]), ps.append(p[node]), src.append(a[~node]), dst.append(z[~node]), share.append(w[~node])
-        if not ids:
-            return
-        ids, ps = np.concatenate(ids), np.concatenate(ps)
-        order = np.argsort(ids)
-        ids, ps = ids[order], ps[order]
-        src, dst, share = np.searchsorted(ids, np.concatenate(src)), np.searchsorted(ids, np.concatenate(dst)), np.concatenate(share)
-        order = np.lexsort((src, dst))
-        src, dst, share = src[order], dst[order], share[order]
-        sink = np.ones(len(ids), bool)
-        sink[src] = False
-        rank, n, done = ps.copy(), 0, False
-        while n < most and not done:
-            new = (1 - d) * ps + d * np.bincount(dst, rank[src] * share, len(ids)) + d * rank[sink].sum() * ps
-            done = fixed is None and np.abs(new - rank).sum() < tolerance
-            rank, n = new, n + 1
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rank), pa.array(np.full(len(ids), n, np.int64)), pa.array(np.full(len(ids), done))], names=["block_id", "rank", "iterations", "converged"])
+        with tempfile.TemporaryFile() as edges:
+            ids, ps, qs = [], [], []
+            with tempfile.TemporaryFile() as given:
+                for batch in batches:
+                    p = batch.column("p").to_numpy(zero_copy_only=False)
+                    node = ~np.isnan(p)
+                    a, z, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "w"))
+                    ids.append(a[node]), ps.append(p[node]), qs.append(w[node])
+                    rows = np.empty(len(a) - len(ids[-1]), raw)
+                    rows["a"], rows["b"], rows["w"] = a[~node], z[~node], w[~node]
+                    given.write(rows.tobytes())
+                ids, ps, qs = (np.concatenate(x) if x else np.zeros(0) for x in (ids, ps, qs))
+                order = np.argsort(ids)
+                ids, ps, qs = ids[order], ps[order], qs[order]
+                sink = np.ones(len(ids), bool)
+                for rows in chunks(given, raw):
+                    out = np.empty(len(rows), coded)
+                    out["a"], out["b"], out["w"] = np.searchsorted(ids, rows["a"]), np.searchsorted(ids, rows["b"]), rows["w"]
+                    sink[out["a"]] = False
+                    edges.write(out[np.lexsort((out["a"], out["b"]))].tobytes())
+            rank, c, n, done = ps.copy(), 1.0, 0, False
+            while n < most and not done:
+                got = c * qs
+                for rows in chunks(edges, coded):
+                    got += np.bincount(rows["b"], rank[rows["a"]] * rows["w"], len(ids))
+                next_c = (1 - d) + d * (rank[sink].sum() + c * idle_mass)
+                new = next_c * ps + d * got
+                done = fixed is None and np.abs(new - rank).sum() + abs(next_c - c) * head_mass < tolerance
+                rank, c, n = new, next_c, n + 1
+        # the row without a block carries the heads' factor
+        ids, rank = pa.array(np.append(ids, 0).astype(np.int64), mask=np.append(np.zeros(len(ids), bool), True)), np.append(rank, c)
+        whole = pa.RecordBatch.from_arrays([ids, pa.array(rank), pa.array(np.full(len(rank), n, np.int64)), pa.array(np.full(len(rank), bool(done)))], names=["block_id", "rank", "iterations", "converged"])
+        for at in range(0, len(rank), 1 << 18):
+            yield whole.slice(at, 1 << 18)
 
     nan = F.lit(float("nan"))
-    rows = start.select(F.col("block_id").alias("a"), F.col("block_id").alias("b"), F.lit(0.0).alias("w"), "p").unionAll(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("share").alias("w"), nan.alias("p")))
-    return rows.coalesce(1).mapInArrow(run, "block_id long, rank double, iterations long, converged boolean")
+    rows = flow.nodes.select(F.col("block_id").alias("a"), F.col("block_id").alias("b"), F.col("q").alias("w"), "p").unionAll(flow.edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("share").alias("w"), nan.alias("p")))
+    ranks = rows.coalesce(1).mapInArrow(run, "block_id long, rank double, iterations long, converged boolean")
+    if flow.heads is None:
+        return ranks.where("block_id is not null")
+    ranks = settle(ranks, "ranks")
+    end = ranks.where("block_id is null").select(F.col("rank").alias("c"), "iterations", "converged")
+    return ranks.where("block_id is not null").unionAll(flow.heads.join(F.broadcast(end)).select("block_id", F.col("p") * F.col("c"), "iterations", "converged"))  # one row
+
+
+def _sums(df: DataFrame, *columns) -> tuple:
+    return tuple(df.agg(*(F.coalesce(F.sum(x), F.lit(0.0)) for x in columns)).first())
 
 
-def _joins(start: DataFrame, edges: DataFrame, options: RankOptions, fixed: int | None, settle_every: int = 5) -> DataFrame:
-    """Power iteration as joins and aggregates, any size; lineage is cut every few rounds."""
-    d = options.damping
-    sinks = settle(start.join(edges.select(F.col("src").alias("block_id")).distinct(), "block_id", "left_anti").select("block_id"), "sinks")
-    rank, n, done = start.select("block_id", "p", F.col("p").alias("rank")), 0, False
+def _joins(flow: Flow, options: RankOptions, fixed: int | None) -> DataFrame:
+    """Power iteration as joins and aggregates, any size; lineage is cut every round.
+
+    Blocks without an edge of their own (sinks) pass on the sum of their ranks only, which follows from the others. Their
+    own ranks are taken once, from the last round; what they moved by is bounded, and taken where the bounds leave it open.
+    """
+    d, nodes = options.damping, flow.nodes
+    inner = flow.edges.join(nodes.select(F.col("block_id").alias("dst"), "feeds"), "dst").select("src", "dst", "share", "feeds")
+    inner = settle(inner, "inner", "feeds")
+    inner, outer = inner.where("feeds").select("src", "dst", "share"), inner.where("not feeds").select("src", "dst", "share")
+    sinks = nodes.where("not feeds").select("block_id", "p", "q")
+    sink_p, sink_q = _sums(sinks, F.col("p"), F.col("q"))
+    kept = inner.groupBy(F.col("src").alias("block_id")).agg(F.sum("share").alias("kept"))
+    given = F.greatest(1 - F.coalesce("kept", F.lit(0.0)), F.lit(0.0)).alias("given")  # the share that goes to sinks; all shares of a block sum to 1
+    state = settle(nodes.where("feeds").join(kept, "block_id", "left").select("block_id", "p", "q", given, F.col("p").alias("rank"), F.lit(0.0).alias("old")), "rank")
+
+    def to_sinks(value):  # what they get of the others' `value`
+        got = outer.join(state.select(F.col("block_id").alias("src"), value.alias("_v")), "src").groupBy(F.col("dst").alias("block_id")).agg(F.sum(F.col("_v") * F.col("share")).alias("got"))
+        return sinks.join(got, "block_id", "left").select("block_id", "p", "q", F.coalesce("got", F.lit(0.0)).alias("got"))
+
+    now, old, move = F.col("rank"), F.col("old"), F.col("rank") - F.col("old")
+    given_now, given_move, _ = _sums(state, F.col("given") * now, F.col("given") * F.abs(move), F.abs(move))
+    c, old_c, sunk, n, done = 1.0, 0.0, sink_p, 0, False
     while n < (fixed or options.max_iterations) and not done:
-        flow = edges.join(rank.select(F.col("block_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("block_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = rank.join(sinks, "block_id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        new = rank.join(flow, "block_id", "left").join(F.broadcast(lost)).select(  # one row
-            "block_id", "p", F.col("rank").alias("old"), ((1 - d) * F.col("p") + d * F.coalesce("got", F.lit(0.0)) + d * F.col("lost") * F.col("p")).alias("rank")
-        )
-        n += 1
+        next_c = (1 - d) + d * (sunk + c * flow.idle_mass)
+        next_sunk = next_c * sink_p + d * (given_now + c * sink_q)
+        got = inner.join(state.select(F.col("block_id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("block_id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        new = state.join(got, "block_id", "left").select("block_id", "p", "q", "given", (next_c * F.col("p") + d * (F.coalesce("got", F.lit(0.0)) + c * F.col("q"))).alias("rank"), now.alias("old"))
+        new = settle(new, "rank")
+        next_given, next_move, moved = _sums(new, F.col("given") * now, F.col("given") * F.abs(move), F.abs(move))
         if fixed is None:
-            new = settle(new, "rank")
-            done = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < options.tolerance
-        elif n % settle_every == 0:
-            new = settle(new, "rank")
-        rank = new.select("block_id", "p", "rank")
+            moved += abs(next_c - c) * flow.head_mass
+            if moved + abs(next_sunk - sunk) < options.tolerance:  # the sinks move by this much at least
+                done = moved + abs(next_c - c) * sink_p + d * (given_move + abs(c - old_c) * sink_q) < options.tolerance  # and by this at most
+                if not done:
+                    done = moved + _sums(to_sinks(move), F.abs((next_c - c) * F.col("p") + d * (F.col("got") + (c - old_c) * F.col("q"))))[0] < options.tolerance
+        state, given_now, given_move, sunk, old_c, c, n = new, next_given, next_move, next_sunk, c, next_c, n + 1
+    rank = state.select("block_id", "rank").unionAll(to_sinks(old).select("block_id", c * F.col("p") + d * (F.col("got") + old_c * F.col("q"))))
+    rank = rank.unionAll(flow.heads.select("block_id", c * F.col("p")))
     return rank.select("block_id", "rank", F.lit(n).cast("long").alias("iterations"), F.lit(bool(done)).alias("converged"))
 
 
-def pagerank(graph: Graph, weights: dict, options: RankOptions = RankOptions(), iterations: int | None = None, engine: str = "auto") -> DataFrame:
-    """(block_id, rank, iterations, converged); `iterations` fixes their number, else they run to the tolerance."""
-    start, edges = teleport(graph.block, options), adjacency(graph, weights, options)
-    if engine != "one_task":
-        start, edges = settle(start, "teleport"), settle(edges, "adjacency")
+def pagerank(graph: Graph, weights: dict, options: RankOptions = RankOptions(), iterations: int | None = None, engine: str = "auto", ready: Flow | None = None) -> DataFrame:
+    """(block_id, rank, iterations, converged); `iterations` fixes their number, else they run to the tolerance; `ready`: a folded flow to run on."""
+    ready = ready or flow(graph, weights, options, engine)
     if engine == "auto":
-        engine = "one_task" if edges.count() + start.count() <= options.one_task_edges else "joins"
-    return (_one_task if engine == "one_task" else _joins)(start, edges, options, iterations)
+        engine = "one_task" if ready.size <= options.one_task_edges else "joins"
+    return (_one_task if engine == "one_task" else _joins)(ready, options, iterations)
 
 
 def blend(influence: DataFrame, orchestration: DataFrame, options: RankOptions = RankOptions()) -> DataFrame:

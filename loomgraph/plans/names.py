@@ -150,7 +150,8 @@ def pagerank_joins_10(spark, sf_dir):
 def pagerank_settled(spark, sf_dir):
     """Both engines, run to a (coarse) tolerance, stop after the same round with the same ranks."""
     g, options = Star(spark, sf_dir).graph(), K.RankOptions(tolerance=1e-3)
-    one, many = (K.pagerank(g, INFLUENCE, options, engine=e) for e in ("one_task", "joins"))
+    ready = K.flow(g, INFLUENCE, options, "joins")
+    one, many = (K.pagerank(g, INFLUENCE, options, engine=e, ready=ready) for e in ("one_task", "joins"))
     both = one.join(many.select("block_id", F.col("rank").alias("other"), F.col("iterations").alias("rounds"), F.col("converged").alias("done")), "block_id")
     return both.agg(F.count("*").alias("blocks"), F.min((F.col("iterations") == F.col("rounds")) & F.col("converged") & F.col("done")).alias("alike"), (F.max(F.abs(F.col("rank") - F.col("other"))) < 1e-9).alias("near"))
 
