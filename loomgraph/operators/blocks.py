@@ -50,13 +50,15 @@ def owned_symbols(block: DataFrame, symbol: DataFrame) -> DataFrame:
 
 
 def members(block: DataFrame) -> DataFrame:
-    """(owner, owner_kind, member, member_kind): children that belong to their parent by kind."""
-    up = block.select(F.col("block_id").alias("owner"), F.col("kind").alias("owner_kind"))
-    down = block.select(F.col("block_id").alias("member"), F.col("kind").alias("member_kind"), F.col("parent_id").alias("owner"))
+    """(owner, owner_kind, member, member_kind): children that belong to their parent by kind; a column parent_kind spares the join."""
+    known = "parent_kind" in block.columns
+    down = block.select(F.col("block_id").alias("member"), F.col("kind").alias("member_kind"), F.col("parent_id").alias("owner"), *([F.col("parent_kind").alias("owner_kind")] if known else []))
     fits = F.lit(False)
     for child, parents in MEMBERS.items():
         fits = fits | ((F.col("member_kind") == child) & F.col("owner_kind").isin(*parents))
-    return down.join(up, "owner").where(fits).select("owner", "owner_kind", "member", "member_kind")
+    if not known:
+        down = down.join(block.select(F.col("block_id").alias("owner"), F.col("kind").alias("owner_kind")), "owner")
+    return down.where(fits).select("owner", "owner_kind", "member", "member_kind")
 
 
 def positional_names(block: DataFrame) -> DataFrame:

@@ -121,13 +121,13 @@ class Graph:
         mine = self.hop("has_field").where(F.col("src") == owner).select(F.col("dst").alias("block_id"))
         return self.block.join(mine, "block_id", "left_semi").where(F.col("name") == name).orderBy("block_id").first()
 
-    def actual_types(self, symbol: DataFrame) -> DataFrame:
-        """(block_id, type_symbol_id, type_block_id): what a block's type stands for, over one alias link; types without a block go."""
+    def actual_types(self, symbol: DataFrame, *keep: str) -> DataFrame:
+        """(block_id, type_symbol_id, type_block_id) and the block's columns `keep`: what a block's type stands for, over one alias link; types without a block go."""
         actual = F.when(F.col("kind").isin(*KIND_SETS["alias_link"]), F.coalesce("type_of", "symbol_id")).otherwise(F.col("symbol_id"))
         step = symbol.select("symbol_id", actual.alias("type_symbol_id"))
         owner = symbol.where("block_id is not null").select(F.col("symbol_id").alias("type_symbol_id"), F.col("block_id").alias("type_block_id"))
-        typed = self.block.where("type_symbol_id is not null").select("block_id", F.col("type_symbol_id").alias("symbol_id"))
-        return typed.join(step, "symbol_id").join(owner, "type_symbol_id").select("block_id", "type_symbol_id", "type_block_id")
+        typed = self.block.where("type_symbol_id is not null").select("block_id", *keep, F.col("type_symbol_id").alias("symbol_id"))
+        return typed.join(step, "symbol_id").join(owner, "type_symbol_id").select("block_id", "type_symbol_id", "type_block_id", *keep)
 
     def nested_type_blocks(self, symbol: DataFrame) -> DataFrame:
         """(block_id, place, type_block_id): a block's type arguments in order; those without a block go."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..kinds import KIND_SETS
 from .blocks import members
-from .relations import with_inverses
+from .relations import hop, union_all, with_inverses
 from .resolve import chase
 
 
@@ -49,10 +49,22 @@ class Linker:
 
     def bounds(self) -> DataFrame:
         """Functions, traits and interfaces use the bounds of the type parameters in their scope."""
-        own = self._symbols_of("func", "method", "trait", "interface").where("owned_scope_id is not null").select("src", F.col("owned_scope_id").alias("scope_id"))
-        params = self.scope_symbol.select("scope_id", F.col("symbol_id").alias("p")).join(self.symbol.where("kind = 'type_parameter' and type_of is not null").select(F.col("symbol_id").alias("p"), F.col("type_of").alias("bound")), "p")
+        own = self._scopes_of("func", "method", "trait", "interface")
+        params = self.scope_symbol.select("scope_id", F.col("symbol_id").alias("p")).join(self._typed_symbols().where("kind = 'type_parameter'").select(F.col("symbol_id").alias("p"), F.col("type_of").alias("bound")), "p")
         return self._facts(self._to_block(own.join(params, "scope_id"), "bound"), "uses")
 
+    def _scopes_of(self, *kinds: str) -> DataFrame:
+        return self._symbols_of(*kinds).where("owned_scope_id is not null").select("src", F.col("owned_scope_id").alias("scope_id"))
+
+    def _typed_symbols(self) -> DataFrame:
+        return self.symbol.where("type_of is not null").select("symbol_id", "kind", "type_of")
+
+    def _bases(self, kind: str) -> DataFrame:
+        return self._symbols_of(kind).where("type_of is not null").select("src", "type_of")
+
+    def _types(self, *kinds: str) -> DataFrame:
+        return self.block.where(F.col("kind").isin(*kinds) & F.col("type_symbol_id").isNotNull()).select(F.col("block_id").alias("src"), F.col("type_symbol_id").alias("s"))
+
     def _nested(self, *kinds: str) -> DataFrame:
         return self._to_block(self._symbols_of(*kinds).select("src", "kind", F.explode("nested_types").alias("n")), "n")
 
@@ -64,7 +76,7 @@ class Linker:
         hit = self._to_block(self.calls.select(F.col("enclosing_id").alias("src"), F.col("symbol_id").alias("s")).where("src is not null"), "s", follow=False)
         bodies = hit.where(F.col("dst_kind").isin(*KIND_SETS["callable_body"])).select("src", "dst", F.lit(True).alias("is_call"))
         made = hit.where(F.col("dst_kind").isin(*KIND_SETS["constructable"])).select("src", "dst", F.lit(False).alias("is_call"))
-        methods = self.calls.join(self.symbol.where("kind = 'method' and type_of is not null").select("symbol_id", "type_of"), "symbol_id").select(F.col("enclosing_id").alias("src"), "type_of")
+        methods = self.calls.join(self._typed_symbols().where("kind = 'method'").select("symbol_id", "type_of"), "symbol_id").select(F.col("enclosing_id").alias("src"), "type_of")
         receivers = self._to_block(methods.where("src is not null"), "type_of").select("src", "dst", F.lit(False).alias("is_call"))
         return bodies.unionAll(made).unionAll(receivers).distinct()
 
@@ -82,7 +94,7 @@ class Linker:
         return self._facts(hit, "calls")
 
     def classes(self) -> DataFrame:
-        bases = self._to_block(self._symbols_of("class").where("type_of is not null"), "type_of")
+        bases = self._to_block(self._bases("class"), "type_of")
         nested = self._nested("class")
         contract, constraint = nested.where("dst_kind = 'interface'"), nested.where("dst_kind in ('trait', 'interface')")
         return self._facts(bases, "extends").unionAll(self._facts(constraint, "uses")).unionAll(self._facts(contract, "implements")).unionAll(self._facts(self._decorators("class"), "uses"))
@@ -97,17 +109,22 @@ class Linker:
         contract = self._to_block(self.impls.where("contract_symbol is not null").select(F.col("block_id").alias("src"), F.col("contract_symbol").alias("s")), "s")
         return self._facts(target, "impl_for").unionAll(self._facts(contract, "implements"))
 
-    def typed(self) -> DataFrame:
-        """Parameters, returns, constants, fields and aliases point at their types."""
-        rows = self.block.where(F.col("kind").isin("parameter", "return", "const", "field", "alias") & F.col("type_symbol_id").isNotNull()).select(F.col("block_id").alias("src"), F.col("type_symbol_id").alias("s"))
-        return self._facts(self._to_block(rows, "s"), "type_of")
+    def typed(self, *kinds: str) -> DataFrame:
+        """Parameters, returns, constants, fields and aliases point at their types; `kinds` are some of these."""
+        return self._facts(self._to_block(self._types(*(kinds or ("parameter", "return", "const", "field", "alias"))), "s"), "type_of")
+
+    #: the rules that make a relation
+    RULES = {
+        "contains": ("containment",), "has_parameters": ("signatures",), "has_return": ("signatures",), "has_field": ("member_facts",), "has_method": ("member_facts",), "uses": ("bounds", "callables", "classes"),
+        "calls": ("function_calls", "call_sites"), "extends": ("classes", "interfaces"), "implements": ("classes", "implementations"), "impl_for": ("implementations",), "type_of": ("typed",),
+    }
 
     def relations(self) -> DataFrame:
-        rules = [self.containment(), self.signatures(), self.member_facts(), self.bounds(), self.callables(), self.call_sites(), self.classes(), self.interfaces(), self.implementations(), self.typed()]
-        out = rules[0]
-        for r in rules[1:]:
-            out = out.unionAll(r)
-        return with_inverses(out)
+        return with_inverses(union_all([self.containment(), self.signatures(), self.member_facts(), self.bounds(), self.callables(), self.call_sites(), self.classes(), self.interfaces(), self.implementations(), self.typed()]))
+
+    def one(self, relation: str, *kinds: str) -> DataFrame:
+        """(src, dst) of one relation, which no other is derived for; inverses are not in `RULES`. `type_of` may be asked for blocks of some kinds."""
+        return hop(union_all([getattr(self, rule)(*kinds) for rule in self.RULES[relation]]), relation).distinct()
 
     def type_deps(self) -> DataFrame:
         """(block_id, type_deps): arguments of implementation targets and what classes nest or are decorated with."""

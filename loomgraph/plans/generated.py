@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import MEMBERS
+from ..operators.graph import Graph
 from .project import Project, build
 from .star import table
 
@@ -88,78 +90,92 @@ sales as (select c_nationkey::bigint as n, o_orderkey as o, c_custkey as c, sup.
 """
 
 
-def _named(p: Project, side: str) -> DataFrame:
-    """Blocks as one end of a relation: their file, kind and name."""
-    return p.block.select(F.col("block_id").alias(side), F.col("unit_id").alias(f"{side}_file"), F.col("kind").alias(f"{side}_kind"), F.col("name").alias(f"{side}_name"))
+def _named(p: Project, side: str, *kinds: str) -> DataFrame:
+    """Blocks, of these kinds or all, as one end of a relation: their file, kind and name."""
+    block = p.located.where(F.col("kind").isin(*kinds)) if kinds else p.located
+    return block.select(F.col("block_id").alias(side), F.col("unit_id").alias(f"{side}_file"), F.col("kind").alias(f"{side}_kind"), F.col("name").alias(f"{side}_name"))
+
+
+def _meant(p: Project, side: str = "dst") -> DataFrame:
+    """The blocks that a name can lead to, in the same form."""
+    return p.declared.select(F.col("symbol_id").alias(side), F.col("unit_id").alias(f"{side}_file"), F.col("block_kind").alias(f"{side}_kind"), F.col("name").alias(f"{side}_name"))
 
 
 def linked(p: Project, relation: str) -> DataFrame:
-    return _ends(p, p.graph.hop(relation))
+    """A relation of the whole graph with both ends."""
+    return p.graph.hop(relation).join(_named(p, "src"), "src").join(_named(p, "dst"), "dst")
+
 
+def _to_named(p: Project, edges: DataFrame, *kinds: str) -> DataFrame:
+    """Edges from blocks of these kinds to what a name led to, with both ends."""
+    return edges.join(_meant(p), "dst").join(_named(p, "src", *kinds), "src")
 
-def _ends(p: Project, edges: DataFrame) -> DataFrame:
-    return edges.join(_named(p, "src"), "src").join(_named(p, "dst"), "dst")
+
+# each query asks for the relations that it reads, and for no other
 
 
 def source_blocks(spark, sf_dir):
-    return project(spark, sf_dir).graph.block.groupBy(F.col("unit_id").alias("file"), "kind").agg(F.count("*").alias("n"))
+    return project(spark, sf_dir).located.groupBy(F.col("unit_id").alias("file"), "kind").agg(F.count("*").alias("n"))
 
 
 def source_field_types(spark, sf_dir):
     p = project(spark, sf_dir)
-    owner = p.graph.hop("has_field").join(_named(p, "src"), "src").select(F.col("src_name").alias("owner"), F.col("dst").alias("src"))
-    return linked(p, "type_of").join(owner, "src").select(F.col("src_file").alias("file"), "owner", F.col("src_name").alias("field"), F.col("dst_name").alias("type"), F.col("dst_file").alias("type_file"))
+    owner = p.linker.one("has_field").join(_named(p, "src", *MEMBERS["field"]), "src").select(F.col("src_name").alias("owner"), F.col("dst").alias("src"))
+    out = _to_named(p, p.linker.one("type_of", "field"), "field").join(owner, "src")
+    return out.select(F.col("src_file").alias("file"), "owner", F.col("src_name").alias("field"), F.col("dst_name").alias("type"), F.col("dst_file").alias("type_file"))
 
 
 def source_signatures(spark, sf_dir):
     p = project(spark, sf_dir)
-    parts = p.graph.hop("has_parameters").withColumn("role", F.lit("takes")).unionAll(p.graph.hop("has_return").withColumn("role", F.lit("gives")))
-    parts = parts.join(_named(p, "src"), "src").select(F.col("src_file").alias("file"), F.col("src_name").alias("func"), "role", F.col("dst").alias("src"))
-    return parts.join(linked(p, "type_of").select("src", F.col("dst_name").alias("type"), F.col("dst_file").alias("type_file")), "src").select("file", "func", "role", "type", "type_file")
+    parts = p.linker.one("has_parameters").withColumn("role", F.lit("takes")).unionAll(p.linker.one("has_return").withColumn("role", F.lit("gives"))).withColumnRenamed("dst", "part")
+    types = p.linker.one("type_of", "parameter", "return").withColumnRenamed("src", "part")
+    out = _to_named(p, parts.join(types, "part"), "func", "method")
+    return out.select(F.col("src_file").alias("file"), F.col("src_name").alias("func"), "role", F.col("dst_name").alias("type"), F.col("dst_file").alias("type_file"))
 
 
 def source_calls(spark, sf_dir):
     p = project(spark, sf_dir)
-    out = _ends(p, p.linker.function_calls()).where("src_kind in ('func', 'method')")  # no other relation is derived
+    out = _to_named(p, p.linker.function_calls(), "func", "method")
     return out.groupBy(F.col("src_file").alias("file"), F.col("src_name").alias("caller"), F.col("dst_name").alias("callee"), F.col("dst_file").alias("callee_file")).agg(F.countDistinct("src").alias("n"))
 
 
 def source_impls(spark, sf_dir):
     p = project(spark, sf_dir)
-    target = linked(p, "impl_for").select("src", F.col("dst_name").alias("target"), F.col("dst_file").alias("target_file"))
-    contract = linked(p, "implements").select("src", F.col("dst_name").alias("contract"), F.col("dst_file").alias("contract_file"))
+    target = p.linker.one("impl_for").join(_meant(p), "dst").select("src", F.col("dst_name").alias("target"), F.col("dst_file").alias("target_file"))
+    contract = p.linker.one("implements").join(_meant(p), "dst").select("src", F.col("dst_name").alias("contract"), F.col("dst_file").alias("contract_file"))
     return target.join(contract, "src").select("target", "target_file", "contract", "contract_file")
 
 
 def source_methods(spark, sf_dir):
-    out = linked(project(spark, sf_dir), "has_method")
+    p = project(spark, sf_dir)
+    out = p.linker.one("has_method").join(_named(p, "src", *MEMBERS["method"]), "src").join(_named(p, "dst", "method"), "dst")
     return out.select(F.col("src_file").alias("file"), F.col("src_kind").alias("owner_kind"), F.col("src_name").alias("owner"), F.col("dst_name").alias("method"))
 
 
 def source_bounds(spark, sf_dir):
-    out = linked(project(spark, sf_dir), "uses").where("src_kind = 'func'")
+    p = project(spark, sf_dir)
+    out = _to_named(p, p.linker.one("uses"), "func")
     return out.select(F.col("src_file").alias("file"), F.col("src_name").alias("func"), F.col("dst_name").alias("bound"), F.col("dst_file").alias("bound_file"))
 
 
 def source_package_calls(spark, sf_dir):
     p = project(spark, sf_dir)
     package = p.unit_meta.select("unit_id", "package_name")
-    out = linked(p, "calls").where("src_kind = 'func'")
+    out = _to_named(p, p.linker.function_calls(), "func")
     out = out.join(package.select(F.col("unit_id").alias("src_file"), F.col("package_name").alias("caller")), "src_file").join(package.select(F.col("unit_id").alias("dst_file"), F.col("package_name").alias("callee")), "dst_file")
     return out.groupBy("caller", "callee").agg(F.count("*").alias("n"))
 
 
 def source_actual_types(spark, sf_dir):
     p = project(spark, sf_dir)
-    types = p.graph.actual_types(p.symbol).select("block_id", F.col("type_block_id").alias("dst")).join(_named(p, "dst"), "dst")
-    out = types.join(_named(p, "src"), F.col("block_id") == F.col("src"))
-    return out.groupBy(F.col("src_file").alias("file"), F.col("src_kind").alias("kind"), F.col("dst_name").alias("type"), F.col("dst_file").alias("type_file")).agg(F.count("*").alias("n"))
+    types = Graph(p.typed, None).actual_types(p.target, "unit_id", "kind").withColumnRenamed("type_block_id", "dst")
+    return types.join(_meant(p), "dst").groupBy(F.col("unit_id").alias("file"), "kind", F.col("dst_name").alias("type"), F.col("dst_file").alias("type_file")).agg(F.count("*").alias("n"))
 
 
 def source_type_arguments(spark, sf_dir):
     p = project(spark, sf_dir)
-    out = p.graph.nested_type_blocks(p.symbol).withColumnRenamed("block_id", "src").withColumnRenamed("type_block_id", "dst").join(_named(p, "src"), "src").join(_named(p, "dst"), "dst")
-    return out.select(F.col("src_file").alias("file"), F.col("src_name").alias("field"), "place", F.col("dst_name").alias("argument"), F.col("dst_file").alias("argument_file"))
+    out = Graph(p.argued, None).nested_type_blocks(p.target).withColumnRenamed("block_id", "src").withColumnRenamed("type_block_id", "dst")
+    return _to_named(p, out).select(F.col("src_file").alias("file"), F.col("src_name").alias("field"), "place", F.col("dst_name").alias("argument"), F.col("dst_file").alias("argument_file"))
 
 
 ORACLES = {
